@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: Query name -> module of this package; a module has query(spark, sf_dir) and perhaps ORACLE.
 MODULES = {
+    "op1_nearest": "ann",
+    "op2_packing": "packing",
     "op3_mixing": "mixing",
+    "op4_warc": "warc",
+    "op5_exact_dedup": "exact_dedup",
     "op9_line_dedup": "line_dedup",
 }
 
