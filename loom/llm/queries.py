@@ -11,7 +11,9 @@ MODULES = {
     "op3_mixing": "mixing",
     "op4_warc": "warc",
     "op5_exact_dedup": "exact_dedup",
+    "op6_ngram_join": "ngram_join",
     "op7_toxicity": "toxicity",
+    "op8_pseudo_likelihood": "lm",
     "op9_line_dedup": "line_dedup",
     "op10_quality": "quality",
 }
