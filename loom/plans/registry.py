@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 _FOUND: dict[str, tuple] = {}
 
 
@@ -15,7 +17,13 @@ def query(sql: str | None = None, name: str | None = None):
     return held
 
 
+#: Modules of this package whose queries are registered.
+MODULES = ["vector_queries"]
+
+
 def _all() -> dict[str, tuple]:
+    for name in MODULES:
+        import_module(f"loom.plans.{name}")
     return _FOUND
 
 
