@@ -74,6 +74,11 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
+def stored(size: int) -> str:
+    """The narrowest number that holds ids below `size`."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def tokenised(path: str, end_id: int):
     """Arrow function: (pk_id, pk_text) -> rows of at most CHUNK ids with their document's curve key."""
 
@@ -81,18 +86,18 @@ def tokenised(path: str, end_id: int):
         from loom.llm.tokens import tokenizer
 
         cache = tokenizer(path)
-        table = projection(max(cache.tok.get_vocab_size(with_added_tokens=True), end_id + 1))
+        size = max(cache.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
+        table, kind = projection(size), stored(size)
         for b in batches:
-            ids_of = b.column(0).to_pylist()
-            texts = b.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                some = [np.append(x, np.uint32(end_id)) for x in cache.encode(texts[a : a + 256])]
+            for a in range(0, b.num_rows, 256):
+                ids_of, texts = (c.to_pylist() for c in b.slice(a, 256).columns)
+                some = [np.append(x, np.uint32(end_id)) for x in cache.encode(texts)]
                 sizes = np.array([len(x) for x in some])
                 starts = np.cumsum(sizes) - sizes
                 keys = curve_keys(np.add.reduceat(table[np.concatenate(some)], starts, axis=0))
                 rows = [
-                    (int(k), i, s, len(x), x[s : s + CHUNK].astype("<u4").tobytes())
-                    for k, i, x in zip(keys, ids_of[a : a + 256], some) for s in range(0, len(x), CHUNK)
+                    (int(k), i, s, len(x), x[s : s + CHUNK].astype(kind).tobytes())
+                    for k, i, x in zip(keys, ids_of, some) for s in range(0, len(x), CHUNK)
                 ]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -103,7 +108,7 @@ def tokenised(path: str, end_id: int):
     return run
 
 
-def packed(length: int):
+def packed(length: int, kind: str):
     """Arrow function over the sorted rows of one range: the pieces of its sequences, numbered from 0."""
 
     def powers(rest: int) -> list[int]:
@@ -135,7 +140,9 @@ def packed(length: int):
 
         for b in batches:
             out: list[tuple] = []
-            for i, s, n, data in zip(*(b.column(k).to_pylist() for k in ("pk_id", "pk_start", "pk_tokens", "pk_ids"))):
+            rows = (r for a in range(0, b.num_rows, 256) for r in zip(*(b.slice(a, 256).column(k).to_pylist() for k in ("pk_id", "pk_start", "pk_tokens", "pk_ids"))))
+            for i, s, n, data in rows:
+                data = np.frombuffer(data, kind).astype("<u4").tobytes()
                 view, at, k = memoryview(data), 0, len(data) // 4
                 while at < k:
                     take = min(room, k - at)
@@ -166,6 +173,12 @@ def packed(length: int):
     return run
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
@@ -181,9 +194,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("pk_id"), text_of(text_col).alias("pk_text"))
     rows = rows.mapInArrow(tokenised(tokenizer_path, end_id), "pk_key long, pk_id long, pk_start long, pk_tokens long, pk_ids binary")
     rows = written(rows, "ids").withColumn("pk_crc", F.crc32("pk_ids"))
+    kind = stored(max(vocabulary_size(tokenizer_path), end_id + 1))
     order = ["pk_key", "pk_id", "pk_tokens", "pk_start", "pk_crc"]
     sorted_rows = rows.repartitionByRange(parts(spark), "pk_key", "pk_id", "pk_start").sortWithinPartitions(*order)
-    out = sorted_rows.select("pk_id", "pk_start", "pk_tokens", "pk_ids").mapInArrow(packed(length), PIECES)
+    out = sorted_rows.select("pk_id", "pk_start", "pk_tokens", "pk_ids").mapInArrow(packed(length, kind), PIECES)
     return out.select(F.col("doc_id").cast(ids).alias(id_col), *[f.split()[0] for f in PIECES.split(", ")[1:]])
 
 

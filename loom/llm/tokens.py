@@ -2,7 +2,8 @@
 
 The word tokenizer's normaliser and splitter never join anything across white space, so the ids of a
 text are those of its chunks one after the other. Most chunks of a corpus repeat: a dictionary finds
-them, and only new ones go to the tokenizer.
+them. New ones are taken apart once more, into a word and the punctuation after it, and only words that
+are new as well go to the tokenizer.
 """
 
 from __future__ import annotations
@@ -13,9 +14,14 @@ import numpy as np
 
 from loom.llm.common import single_thread
 
-#: Python's split() takes these four for white space and the tokenizer doesn't; such texts go to it whole.
-ODD = re.compile("[\x1c-\x1f]")
-MOST_CHUNKS = 400_000
+#: Texts that go to the tokenizer whole: with one of the four characters that only Python's split() takes
+#: for white space, or with what may be a special token.
+WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+#: The tokenizer lower-cases; within Latin-1 so does str.lower(), letter by letter.
+WIDE = re.compile("[^\x00-\xff]")
+#: After a letter or digit, a run of these at the end of a chunk is a piece of its own.
+MARKS = ".,;:!?%&$#*"
+MOST_CHUNKS = 300_000
 
 _LOADED: dict[str, "ChunkCache"] = {}
 
@@ -27,6 +33,16 @@ def tokenizer(path: str) -> "ChunkCache":
     return _LOADED[path]
 
 
+class _Places(dict):
+    """Chunk -> its place; new chunks get the next places and are noted."""
+
+    def __missing__(self, chunk: str) -> int:
+        place = len(self)
+        self[chunk] = place
+        self.new.append(chunk)
+        return place
+
+
 class ChunkCache:
     def __init__(self, path: str, most: int = MOST_CHUNKS):
         single_thread()
@@ -34,53 +50,68 @@ class ChunkCache:
 
         self.tok = Tokenizer.from_file(path)
         self.most = most
-        self.at: dict[str, int] = {}
+        self.at = _Places()
+        self.at.new = []
+        self.cores: dict[str, tuple[int, ...]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int32)
-        self.n = 0
+        self.length = np.zeros(1 << 14, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _ids(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of chunks, words and marks apart."""
+        parts = []
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            parts.append((core, c[len(core) :]) if len(core) < len(c) and core and core[-1].isalnum() else (c, ""))
+        cores = self.cores
+        new = list({p for pair in parts for p in pair if p and p not in cores})
+        for a in range(0, len(new), 4096):
+            some = new[a : a + 4096]
+            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                cores[p] = tuple(e.ids)
+        out = [cores[a] + cores[b] if b else cores[a] for a, b in parts]
+        if len(cores) > self.most:  # later words are rare ones; keep the early, frequent ones
+            for p in list(cores)[self.most // 2 :]:
+                del cores[p]
+        return out
+
     def _add(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False)):
-            ids = e.ids
-            k = len(ids)
-            if self.used + k > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(k, len(self.flat)), np.uint32)])
-            if self.n == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + k] = ids
-            self.start[self.n], self.length[self.n] = self.used, k
-            self.at[chunk] = self.n
-            self.used += k
-            self.n += 1
+        first = len(self.at) - len(chunks)
+        ids = self._ids(chunks)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        need, places = self.used + int(lengths.sum()), first + len(chunks)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, 2 * len(self.flat)) - len(self.flat), np.uint32)])
+        if places > len(self.start):
+            more = np.zeros(max(places, 2 * len(self.start)) - len(self.start), np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.flat[self.used : need] = [x for one in ids for x in one]
+        self.length[first:places] = lengths
+        self.start[first:places] = self.used + np.cumsum(lengths) - lengths
+        self.used = need
 
     def _forget(self, kept: int) -> None:
         """Drops the chunks that came after the first `kept`."""
-        for chunk in list(self.at)[kept:]:
-            del self.at[chunk]
-        self.n = kept
+        while len(self.at) > kept:
+            self.at.popitem()
         self.used = int(self.start[kept - 1] + self.length[kept - 1]) if kept else 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if ODD.search(t):
-                out[i] = self.whole(t)
-            else:
-                plain.append(i)
         group: list[int] = []
         size = 0
-        for i in plain:
+        for i, t in enumerate(texts):
+            if WHOLE.search(t):
+                out[i] = self.whole(t)
+                continue
             group.append(i)
-            size += len(texts[i])
-            if size >= 2_000_000:
+            size += len(t)
+            if size >= 1_000_000:
                 self._group(texts, group, out)
                 group, size = [], 0
         if group:
@@ -91,15 +122,16 @@ class ChunkCache:
         words: list[str] = []
         counts = np.zeros(len(group), np.int64)
         for k, i in enumerate(group):
-            own = texts[i].split()
+            t = texts[i]
+            own = (t if WIDE.search(t) else t.lower()).split()
             counts[k] = len(own)
             words += own
-        kept = self.n
-        new = list({w for w in words if w not in self.at})
-        if new:
-            self._add(new)
+        kept = len(self.at)
+        self.at.new = []
         found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        length, start = self.length[found].astype(np.int64), self.start[found]
+        if self.at.new:
+            self._add(self.at.new)
+        length, start = self.length[found], self.start[found]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(total)]
@@ -107,5 +139,5 @@ class ChunkCache:
         ends = np.concatenate([[0], ends])
         for k, i in enumerate(group):
             out[i] = ids[ends[word_ends[k] - counts[k]] : ends[word_ends[k]]]
-        if self.n > self.most:
+        if len(self.at) > self.most:
             self._forget(max(kept, self.most) if kept <= self.most else kept)
