@@ -28,12 +28,12 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folds neighbours of a sorted run that agree in digest and fingerprint: the first one stays (the
     sort has put the row to keep first), and counts are added. One open row is carried between batches."""
     held: pa.Table | None = None
-    schema = None
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in RUN_SCHEMA.split(", ")])
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b])
-        schema = t.schema
+        t = pa.Table.from_arrays(b.columns, schema=schema)
         if held is not None:
             t = pa.concat_tables([held, t])
         n = t.num_rows
@@ -45,12 +45,12 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (sha[1:] != sha[:-1]).any(1) | (other[1:] != other[:-1]).any(1)
         at = np.flatnonzero(first)
         counts = np.add.reduceat(t.column("xd_count").to_numpy(), at)
-        t = t.take(pa.array(at)).set_column(t.schema.get_field_index("xd_count"), "xd_count", pa.array(counts, pa.int64()))
+        t = t.take(pa.array(at)).set_column(schema.get_field_index("xd_count"), schema.field("xd_count"), pa.array(counts, pa.int64()))
         held = t.slice(t.num_rows - 1, 1)
         if t.num_rows > 1:
-            yield from t.slice(0, t.num_rows - 1).cast(schema).to_batches()
+            yield from t.slice(0, t.num_rows - 1).to_batches()
     if held is not None:
-        yield from held.cast(schema).to_batches()
+        yield from held.to_batches()
 
 
 def merged(runs: DataFrame, n: int) -> DataFrame:
