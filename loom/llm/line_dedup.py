@@ -40,6 +40,17 @@ def line_dedup(
     Repeated rows get equal results. If every line is dropped the text becomes empty. Columns of the
     input other than the text pass through; those named n_lines or n_dropped are replaced.
     """
+    out = _kept(docs, id_col, text_col, min_chars, min_docs, broadcast_lines)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, F.col("__ld_lines").alias("n_lines"), F.col("__ld_dropped").alias("n_dropped"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """docs with the kept texts, all other columns as they were, whatever their names."""
+    return _kept(docs, id_col, text_col, min_chars, min_docs, BROADCAST_LINES).select(*docs.columns)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, broadcast_lines: int) -> DataFrame:
     text = text_of(text_col)
     # equal (id, text) rows have equal decisions, so the pair of id and text hash finds them again
     mark = [F.col(id_col).alias("__ld_id"), F.xxhash64(text).alias("__ld_h"), F.length(text).alias("__ld_n")]
@@ -64,7 +75,7 @@ def line_dedup(
         .filter(~F.col("__ld_id").eqNullSafe(F.col("__ld_keep")))
         .groupBy("__ld_id", "__ld_h", "__ld_n").agg(F.collect_set("__ld_pos").alias("__ld_drop"))
     )
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = docs.columns
     left = docs.select(*own, F.xxhash64(text).alias("__ld_h0"), F.length(text).alias("__ld_n0"))
     on = F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_h0") == F.col("__ld_h")) & (F.col("__ld_n0") == F.col("__ld_n"))
     both = left.join(dropped, on, "left")
@@ -83,8 +94,8 @@ def line_dedup(
     kept = F.array_join(F.zip_with(F.split(text, "\n"), flags, lambda line, d: F.when(~d, line)), "\n")
     return both.select(
         *[F.when(F.col("__ld_drop").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in own],
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        n_lines.cast("long").alias("__ld_lines"),
+        F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long").alias("__ld_dropped"),
     )
 
 

@@ -44,18 +44,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
     return ranked.select("mx_key", "mx_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=0, carry: list[str] | None = None, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """The columns `carry` (the id unless given) with size, source_size, target (double) and taken (long).
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=0, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """One row per document: the id, size, source_size, target (double) and taken (long).
 
     taken counts words, repeats included: a document wholly inside both rounds has twice its size, the
     documents at a cut have part of it, the rest 0. The taken words of a source are its target without
     its fraction. The key is md5 of seed, id and text, so runs agree whatever the partitions.
 
     Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last;
-    an empty table gives an empty one; rows equal in id and text have equal keys and are interchangeable.
-    Columns of the input named like the four results are replaced.
+    an empty table gives an empty one; rows equal in id and text have equal keys and are interchangeable;
+    other columns play no part.
     """
-    carry = [id_col] if carry is None else carry
+    rows = _mix(docs, [id_col], id_col, text_col, source_col, seed, weights, share, most)
+    return rows.select(F.col("mx_c0").alias(id_col), F.col("mx_size").alias("size"), F.col("source_size"), F.col("target"), F.col("mx_taken").alias("taken"))
+
+
+def _mix(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, seed, weights, share, most) -> DataFrame:
+    """mx_c0, mx_c1, ... (the columns `carry`, the id first), mx_size, source_size, target, mx_taken."""
     text = text_of(text_col)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), text))
     size = word_count(text)
@@ -81,23 +86,24 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     taken = part_of(budget - at)
     for again in range(1, math.ceil(most)):
         taken = taken + part_of(budget - F.col("source_size") * again - at)
-    return rows.select(*[F.col(f"mx_c{i}").alias(c) for i, c in enumerate(carry)], F.col("mx_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(*[f"mx_c{i}" for i in range(len(carry))], "mx_size", "source_size", "target", taken.cast("long").alias("mx_taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, its columns as they were. A document cut
-    short at a budget keeps its first words, joined by single spaces."""
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=0, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """The mix itself: each document as often as it is taken, its columns as they were, whatever their names.
+    A document cut short at a budget keeps its first words, joined by single spaces."""
     own = docs.columns
-    if "taken" in own or "size" in own:
-        raise ValueError("rename the columns size, source_size, target and taken first")
-    out = mix(docs, id_col, text_col, source_col, carry=[id_col, *[c for c in own if c != id_col]], **options)
-    whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    rest = F.col("taken") - whole * F.col("size")
+    carry = [id_col, *[c for c in own if c != id_col]]
+    place = {c: f"mx_c{i}" for i, c in enumerate(carry)}
+    out = _mix(docs, carry, id_col, text_col, source_col, seed, weights, share, most)
+    whole = F.floor(F.col("mx_taken") / F.greatest(F.col("mx_size"), F.lit(1))).cast("int")
+    rest = F.col("mx_taken") - whole * F.col("mx_size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    out = out.select(*own, F.explode(copies).alias("mx_words"))
-    words = F.filter(F.split(F.col(text_col), f"[{WHITE_CLASS}]+"), lambda x: x != "")
+    out = out.select(*place.values(), F.explode(copies).alias("mx_words"))
+    text = F.col(place[text_col])
+    words = F.filter(F.split(text, f"[{WHITE_CLASS}]+"), lambda x: x != "")
     cut = F.array_join(F.slice(words, 1, F.greatest(F.col("mx_words"), F.lit(1)).cast("int")), " ")
-    return out.select(*[F.when(F.col("mx_words") < 0, F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in own])
+    return out.select(*[F.when(F.col("mx_words") < 0, text).otherwise(cut).alias(c) if c == text_col else F.col(place[c]).alias(c) for c in own])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

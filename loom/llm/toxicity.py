@@ -225,8 +225,8 @@ def scorer(model: dict):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS, keep: list[str] | None = None, threshold=THRESHOLD) -> DataFrame:
-    """The id (and the columns `keep`) with held_out (boolean), score (0 to 1) and predicted (int, score >= threshold).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS, threshold=THRESHOLD) -> DataFrame:
+    """The id with held_out (boolean), score (0 to 1) and predicted (int, score >= threshold).
 
     Labels are learned from rows with crc32(id as text) mod `folds` other than `fold`, at most `most` of
     either class by hash of the id; only the text is an input of the score.
@@ -235,16 +235,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     out; without labels of both classes every score is the smoothed share of toxic labels; repeated rows
     get equal scores; an empty table gives an empty one.
     """
+    out = _scored(docs, [id_col], labels, id_col, text_col, label_col, folds, fold, most)
+    held = held_out(F.col("tx_id"), folds, fold).alias("held_out")
+    return out.select(F.col("tx_0").alias(id_col), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS, threshold=THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they were, whose score is below the threshold."""
+    out = _scored(docs, docs.columns, labels, id_col, text_col, label_col, folds, fold, most)
+    return out.filter(F.col("score") < threshold).select(*[F.col(f"tx_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _scored(docs, keep: list[str], labels, id_col, text_col, label_col, folds, fold, most) -> DataFrame:
+    """tx_0, tx_1, ... (the columns `keep`), tx_id, score."""
     rows, counts = training_rows(docs, labels, label_col, folds, fold, id_col, text_col, most)
     model = learn(rows, counts)
-    keep = [id_col] if keep is None else keep
     given = docs.select(*[F.col(c).alias(f"tx_{i}") for i, c in enumerate(keep)], F.col(id_col).cast("string").alias("tx_id"), text_of(text_col).alias("tx_text"))
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]], "score double"])
-    out = given.mapInArrow(scorer(model), schema)
-    return out.select(
-        *[F.col(f"tx_{i}").alias(c) for i, c in enumerate(keep)],
-        held_out(F.col("tx_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    return given.mapInArrow(scorer(model), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
