@@ -23,13 +23,12 @@ def _with_chars(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is not toxic."""
-    out = toxic.toxicity(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return out.filter("predicted = 0").select(*docs.columns)
+    return toxic.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents share; one that loses all of them stays, empty."""
-    return _with_chars(lines.line_dedup(docs).select(*docs.columns))
+    return _with_chars(lines.deduplicated(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
