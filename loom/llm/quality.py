@@ -94,7 +94,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     triple = mix(h + np.uint64(3) * mix(np.roll(h, -1)) + np.uint64(7) * mix(mix(np.roll(h, -2))))
     ok = inside + 2 < n[doc]
     share = _distinct(doc[ok], triple[ok], len(texts)) / np.maximum(n - 2, 1)
-    out[:, k + 6] = np.repeat(np.where(n > 2, share, 1.0), per)
+    out[:, k + 6] = np.repeat(np.where(n > 2, share, n > 0), per)
     out[:, k + 7] = np.repeat(np.log1p(n) / 10, per)
     ends = _TABLE[w.data[w.end - 1]]
     out[:, k + 8] = np.bincount(which, (ends == 2) | (ends == 3), total) / known
