@@ -155,7 +155,7 @@ def test_energy_and_basis():
     assert np.allclose(d.T @ d, np.eye(2) / 3)
 
 
-def test_perplexity_and_joint(spark):
+def test_perplexity():
     d = ((lambda m: ((m[:, None] - m[None]) ** 2).sum(2))(rng.standard_normal((30, 3)))) + np.diag([np.inf] * 30)
     p = ts.conditional(d, 7.0)
     h = -(np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0)).sum(1)
