@@ -96,3 +96,19 @@ def numeric_first(names: DataFrame, col: str) -> DataFrame:
     digits = F.col(col).rlike("^[0-9]+$")
     order = [F.when(digits, 0).otherwise(1), F.when(digits, F.expr(f"try_cast({col} AS BIGINT)")), F.col(col)]
     return names.select(col).distinct().withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+
+
+def name_list(lines: DataFrame) -> DataFrame:
+    """(name) of a text list (spark.read.text): one per line, blank lines dropped."""
+    return lines.select(F.trim("value").alias("name")).filter("name <> ''")
+
+
+def first_fields(lines: DataFrame, sep: str = " ") -> DataFrame:
+    """(name): the first field of every line."""
+    return name_list(lines.select(F.split(F.col("value"), sep)[0].alias("value")))
+
+
+def annotations(lines: DataFrame, sep: str = "\t") -> DataFrame:
+    """(name, label): the first two fields of every line."""
+    parts = F.split(F.col("value"), sep)
+    return lines.filter(F.trim("value") != "").select(parts[0].alias("name"), F.trim(parts[1]).alias("label"))

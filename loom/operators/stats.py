@@ -179,3 +179,35 @@ def relu_projection(x: DataFrame, weight: np.ndarray | None = None) -> DataFrame
         return pa.table({"id": ids, "v": list(np.maximum(m @ w, 0))})
 
     return over_block(x, np.zeros(1), weight, work, "id long, v array<double>")
+
+
+def targets(modules: DataFrame, name: str, patterns: list[str]) -> DataFrame:
+    """Rows whose name one of the patterns matches from its beginning; no pattern matches all."""
+    return modules.filter(F.col(name).rlike("^(?:" + "|".join(patterns) + ")")) if patterns else modules
+
+
+def active_sum(deltas: DataFrame, task: int) -> DataFrame:
+    """(i, j, x): the adapters of tasks up to this one, added up."""
+    return deltas.filter(F.col("task") <= task).groupBy("i", "j").agg(F.sum("x").alias("x"))
+
+
+def fresh_block(old: np.ndarray | None, rows: int, width: int, seed: int) -> np.ndarray:
+    """`rows` orthonormal rows, orthogonal to the rows of `old`."""
+    new = np.random.default_rng(seed).standard_normal((rows, width))
+    if old is not None and len(old):
+        q = np.linalg.qr(old.T)[0]
+        new = new - (new @ q) @ q.T
+    return np.linalg.qr(new.T)[0].T
+
+
+def weighted_draws(u: list[Column], weights: list[float]) -> Column:
+    """Numbers of the choices that uniforms in [0, 1) fall on, in proportion to the weights, with replacement."""
+    ends = np.cumsum(np.array(weights, float) / sum(weights))
+
+    def one(x: Column) -> Column:
+        out = F.lit(len(ends) - 1)
+        for k in range(len(ends) - 2, -1, -1):
+            out = F.when(x < float(ends[k]), k).otherwise(out)
+        return out
+
+    return F.array(*[one(x) for x in u])

@@ -304,3 +304,35 @@ SELECT i AS vec_id, 0 AS c, round(4 * ga, 8) + 0.0 AS g FROM g UNION ALL SELECT
 def tsne_exact_gradient(spark, sf_dir):
     _, g = ts.evaluate(fixed_edges(spark, sf_dir), plane(spark, sf_dir))
     return g.select(F.col("id").alias("vec_id"), "c", r("g", 8).alias("g"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE regexp_matches(source, '^(?:src1$|src2|rc3)')")
+def lora_targets(spark, sf_dir):
+    """Names are matched from their beginning."""
+    return st.targets(load(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["src1$", "src2", "rc3"])
+
+
+@query(f"""WITH {V_SQL}, {_PAIR.replace('a.id // 2 AS r', 'a.id // 2 % 3 AS task')}, m AS ({_OUTER.format(by='task,')})
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x), 6) + 0.0 AS x FROM m WHERE task <= 1 GROUP BY i, j""")
+def task_lora_active(spark, sf_dir):
+    """Adapters of tasks 0 and 1 of three."""
+    m = st.outer_sums(pairs(spark, sf_dir).withColumn("task", F.col("r") % 3), "task")
+    return st.active_sum(m, 1).select("i", "j", r("x").alias("x"))
+
+
+@query("""SELECT vec_id, list_transform(range(192), lambda k: round(CAST(embedding[k // 3 + 1] AS DOUBLE), 6) + 0.0) AS v FROM embeddings""")
+def gray_channels(spark, sf_dir):
+    """Every value three times in a row: gray to colour, channels last."""
+    from loom.functions.scalars import repeat_channels
+
+    return load(spark, sf_dir, "embeddings").select("vec_id", repeat_channels(F.transform("embedding", lambda x: r(x.cast("double")))).alias("v"))
+
+
+@query("""WITH u AS (SELECT event_id, ('0x' || substr(md5('1:' || event_id), 1, 13))::BIGINT / 4503599627370496.0 AS a, ('0x' || substr(md5('2:' || event_id), 1, 13))::BIGINT / 4503599627370496.0 AS b FROM events)
+SELECT event_id, [CASE WHEN a < 0.5 THEN 0 WHEN a < 0.75 THEN 1 ELSE 2 END, CASE WHEN b < 0.5 THEN 0 WHEN b < 0.75 THEN 1 ELSE 2 END] AS picks FROM u""")
+def random_select(spark, sf_dir):
+    """Two draws with replacement from three choices of weights 2, 1, 1."""
+    from loom.plans.views import uniform
+
+    e = F.col("event_id")
+    return load(spark, sf_dir, "events").select("event_id", st.weighted_draws([uniform(1, e), uniform(2, e)], [2, 1, 1]).alias("picks"))
