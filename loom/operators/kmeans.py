@@ -60,6 +60,10 @@ def update(centroids: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
 
 
+#: k-means++ looks at so many ranges of ids at a time.
+RANGES = 1024
+
+
 def random_rows(x: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """k rows in the order of md5(seed:id)."""
     got = x.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(k).select("v").collect()
@@ -79,24 +83,27 @@ def plus_plus(x: DataFrame, k: int, seed: int = 0, metric: str | int = 2, power:
     rows = x.select("id", "v").persist()
     first = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(1).first()
     picks, chosen = [first["id"]], [first["v"]]
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    width = max(1, (high - low) // 1024 + 1)
+    first_id, last_id = rows.agg(F.min("id"), F.max("id")).first()
     while len(picks) < k:
         weighted = assign(rows, np.array(chosen, float), metric).select("id", F.pow(F.round("dist", 9), F.lit(power)).alias("w"))
-        totals = weighted.groupBy(F.floor((F.col("id") - low) / width).alias("g")).agg(F.sum("w").alias("w")).orderBy("g").collect()
         u = spark.range(1).select(uniform(seed, F.lit(1_000_000 + len(picks)))).first()[0]
-        aim, before = u * sum(t["w"] for t in totals), 0.0
-        for t in totals:
-            if before + t["w"] > aim:
-                break
-            before += t["w"]
-        inside = weighted.filter(F.floor((F.col("id") - low) / width) == t["g"]).orderBy("id").collect()  # one range
-        for r in inside:
-            before += r["w"]
-            if before > aim:
+        low, high, aim, before = first_id, last_id, None, 0.0
+        while True:  # 1,024 ranges of ids at a time, until the range that is hit has that many ids at most
+            width = max(1, -(-(high - low + 1) // RANGES))
+            inside = weighted.filter(F.col("id").between(low, high))
+            totals = inside.groupBy(F.floor((F.col("id") - low) / width).alias("g")).agg(F.sum("w").alias("w")).orderBy("g").collect()
+            aim = u * sum(t["w"] for t in totals) if aim is None else aim
+            for t in totals:
+                if before + t["w"] > aim:
+                    break
+                before += t["w"]
+            else:
+                before -= t["w"]  # sums of another order fell short: the last range it is
+            low, high = low + t["g"] * width, min(high, low + (t["g"] + 1) * width - 1)
+            if width == 1:
                 break
-        picks.append(r["id"])
-        chosen.append(rows.filter(F.col("id") == r["id"]).first()["v"])
+        picks.append(low)
+        chosen.append(rows.filter(F.col("id") == low).first()["v"])
     rows.unpersist()
     return picks
 
