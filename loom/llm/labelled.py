@@ -38,20 +38,23 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def logistic(x, y, weight, l2: float = 1.0, rounds: int = 30):
-    """Weights and intercept of a ridge logistic regression by Newton steps on the smaller side of x."""
+def logistic(x, dense, y, weight, l2: float = 1.0, rounds: int = 30, block: int = 1024):
+    """Weights (of x, then of dense) and intercept of a ridge logistic regression by Newton steps. x may be of a
+    narrow type: only `block` rows at a time are widened, so memory is that of x and of one Hessian."""
     import numpy as np
 
-    n, d = x.shape
-    x1 = np.concatenate([x, np.ones((n, 1), x.dtype)], 1)
-    w = np.zeros(d + 1)
-    ridge = np.full(d + 1, l2)
+    n, d = len(x), x.shape[1] + dense.shape[1] + 1
+    w, ridge = np.zeros(d), np.full(d, l2)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = sigmoid(x1 @ w)
-        g = x1.T @ (weight * (p - y)) + ridge * w
-        s = np.maximum(weight * p * (1 - p), 1e-9)
-        step = np.linalg.solve((x1 * s[:, None]).T @ x1 + np.diag(ridge), g)
+        g, h = ridge * w, np.diag(ridge)
+        for a in range(0, n, block):
+            some = slice(a, a + block)
+            x1 = np.concatenate([x[some].astype(float), dense[some], np.ones((len(x[some]), 1))], 1)
+            p = sigmoid(x1 @ w)
+            g += x1.T @ (weight[some] * (p - y[some]))
+            h += x1.T @ (x1 * np.maximum(weight[some] * p * (1 - p), 1e-9)[:, None])
+        step = np.linalg.solve(h, g)
         big = np.abs(step).max()
         w -= step * min(1.0, 5.0 / max(big, 1e-12))
         if big < 1e-6:

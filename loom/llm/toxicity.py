@@ -181,7 +181,7 @@ def learn(rows: DataFrame, counts: dict[int, int], n_terms=TERMS, n_voters=VOTER
     lexicon = {t: i for i, t in enumerate(terms)}
     got = rows.mapInArrow(bits_of(lexicon), "label int, bits binary, dense array<double>").collect()  # 2 * MOST_PER_CLASS bounded rows
     gold = np.array([r["label"] for r in got], np.int8)
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(lexicon)) for r in got]).astype(np.float32)
+    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(lexicon)) for r in got]).astype(np.int8, copy=False)
     dense = np.array([r["dense"] for r in got], np.float32)
     weight = np.where(gold == 1, (counts[1] or n1) / n1, (counts[0] or n0) / n0).astype(np.float64)
     return fitted(terms, x, dense, gold, weight, n_voters) | {"lexicon": lexicon}
@@ -206,7 +206,7 @@ def fitted(terms: list[str], x: np.ndarray, dense: np.ndarray, gold: np.ndarray,
     }
     names, votes = list(votes), np.stack(list(votes.values()), 1).astype(np.float32)
     model = LabelModel().fit(votes, np.where(gold == 1, 0.95, 0.05), weight)
-    w, b = logistic(np.concatenate([x, dense], 1).astype(np.float64), model.posterior(votes), weight)
+    w, b = logistic(x, dense, model.posterior(votes), weight)
     return {"w": w, "b": b, "voters": list(zip(names, model.accuracy.tolist(), model.share.tolist()))}
 
 
