@@ -26,6 +26,16 @@ MOST_CHUNKS = 300_000
 _LOADED: dict[str, "ChunkCache"] = {}
 
 
+def _letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _letters()
+
+
 def tokenizer(path: str) -> "ChunkCache":
     """One cache in each Python worker."""
     if path not in _LOADED:
@@ -68,7 +78,14 @@ class ChunkCache:
             core = c.rstrip(MARKS)
             parts.append((core, c[len(core) :]) if len(core) < len(c) and core and core[-1].isalnum() else (c, ""))
         cores = self.cores
-        new = list({p for pair in parts for p in pair if p and p not in cores})
+        new = {p for pair in parts for p in pair if p and p not in cores}
+        # lower-case words of Latin-1 letters: the normaliser and splitter leave them as they are, so the merges are all there is to do
+        model = self.tok.model
+        for p in [p for p in new if p.islower() and p.isalpha() and not WIDE.search(p)]:
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
+            cores[p] = tuple([t.id for t in model.tokenize(shown)])
+            new.discard(p)
+        new = list(new)
         for a in range(0, len(new), 4096):
             some = new[a : a + 4096]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
