@@ -64,10 +64,15 @@ class Terms:
         return out
 
 
+_ALL = bytes(range(256))
+_NOT_CAPITALS, _NOT_MARKS = (_ALL.translate(None, kept) for kept in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"%&$#*@"))
+
+
 def dense_of(text: str) -> list[float]:
-    """Pattern inputs: shouting, exclamation, symbols, and length on a log scale."""
-    n = max(1, len(text))
-    return [sum(map(str.isupper, text[:])) / n if text.isascii() else sum(c.isupper() for c in text) / n, text.count("!") / n, sum(text.count(c) for c in "%&$#*@") / n, float(np.log1p(len(text)) / 12)]
+    """Pattern inputs: shares of capitals A-Z, exclamation marks and symbols, and length on a log scale."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n = max(1, len(raw))
+    return [len(raw.translate(None, _NOT_CAPITALS)) / n, raw.count(b"!") / n, len(raw.translate(None, _NOT_MARKS)) / n, float(np.log1p(len(raw)) / 12)]
 
 
 def count_terms(most: int = 500_000):
