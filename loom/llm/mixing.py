@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loom.llm.common import WHITE_CLASS, global_index, text_of, word_count, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-ROWS_PER_RANGE, MOST_RANGES = 4096, 65_536
+ROWS_PER_RANGE, MOST_RANGES = 1024, 65_536
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
