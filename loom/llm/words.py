@@ -19,14 +19,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Tables of powers up to this length are kept for the next texts; a longer text's go with it.
+_KEPT = 1 << 21
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        p = np.full(_KEPT if n <= _KEPT else n, base, np.uint64)
+        p[0] = 1
+        made[name] = np.multiply.accumulate(p)
+    if n <= _KEPT:
+        _POWERS.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 class Words:
@@ -82,7 +89,7 @@ class Words:
         return out, offsets
 
 
-def grouped(texts: list[str], most: int = 1 << 22):
+def grouped(texts: list[str], most: int = 1 << 20):
     """Index ranges of texts of about `most` characters together (one longer text alone)."""
     a = size = 0
     for i, t in enumerate(texts):
