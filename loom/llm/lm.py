@@ -7,8 +7,9 @@ log-probabilities over all its words.
 
 Everything is gathered from all documents. Word counts are summed over the whole corpus; the CLASSES * SIZE
 words of highest count, less the buckets, are the vocabulary, and other words fall into buckets by their
-last bytes and length. Each epoch masks every MASK-th word of every document; each partition trains from
-the shared parameters, and the partitions' parameters are averaged by their numbers of masked words, in
+last bytes and length. A word's place in its document is its phase of MASK; the phases are dealt out to the
+epochs, so that every word of every document is masked in one of them. In each epoch, each partition trains
+from the shared parameters, and the partitions' parameters are averaged by their numbers of masked words, in
 rounds of FAN. Only parameters, whose size is fixed, come to the driver and go out again.
 """
 
@@ -159,28 +160,38 @@ class Window:
         d /= n
         grad = {"C": h.T @ d, "c": d.sum(0)}
         dh = d @ p["C"].T
+        # rows in the order of their classes: a slice of each array is a class
         order = np.argsort(k, kind="stable")
         ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for g in np.flatnonzero(np.diff(ends)):
-            at = order[ends[g] : ends[g + 1]]
-            d, _ = self.softmax(h[at] @ p["W"][g] + p["w"][g])
-            d[np.arange(len(at)), j[at]] -= 1
-            d /= n
-            dh[at] += d @ p["W"][g].T
-            self.apply("W", h[at].T @ d, rate, memory, g)
-            self.apply("w", d.sum(0), rate, memory, g)
+        some = np.flatnonzero(np.diff(ends))
+        own, back = h[order], np.empty_like(h)
+        d = p["w"][k[order]]
+        for g in some:
+            d[ends[g] : ends[g + 1]] += own[ends[g] : ends[g + 1]] @ p["W"][g]
+        d, _ = self.softmax(d)
+        d[np.arange(n), j[order]] -= 1
+        d /= n
+        for name in ("W", "w"):
+            grad[name] = np.zeros_like(p[name])
+        grad["w"][some] = np.add.reduceat(d, ends[some])
+        for g in some:
+            a, z = ends[g], ends[g + 1]
+            grad["W"][g] = own[a:z].T @ d[a:z]
+            back[a:z] = d[a:z] @ p["W"][g].T
+        dh[order] += back
         dh *= 1 - h * h
         grad["e"] = dh.sum(0)
         for name, x in grad.items():
             self.apply(name, x, rate, memory)
-        columns = np.arange(DIMS)
         for o, off in enumerate(OFFSETS):
-            c = ids[place + off]
-            seen, back = np.unique(c, return_inverse=True)
-            x = np.bincount((back[:, None] * DIMS + columns).ravel(), dh.ravel(), len(seen) * DIMS).reshape(-1, DIMS).astype(np.float32)
-            m = memory["E"][o]
-            m[seen] += x * x
-            p["E"][o][seen] -= rate * x / (np.sqrt(m[seen]) + 1e-6)
+            c = ids[place + off].astype(np.int16)  # EDGE is the largest; sorted by digits
+            order = np.argsort(c, kind="stable")
+            c = c[order]
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            seen, x = c[first], np.add.reduceat(dh[order], first)
+            m = memory["E"][o][seen] + x * x
+            memory["E"][o][seen] = m
+            p["E"][o][seen] -= rate * x / (np.sqrt(m) + 1e-6)
 
     def apply(self, name: str, x: np.ndarray, rate: float, memory: dict, at=...) -> None:
         memory[name][at] += x * x
@@ -198,7 +209,13 @@ class Window:
         return cls(p)
 
 
-def trained(vocabulary, flat, epoch: int):
+def masked(inside: np.ndarray, epoch: int, epochs: int) -> np.ndarray:
+    """Which words, by their places in their documents, this epoch masks; all are masked over the epochs."""
+    turns = min(epochs, MASK)
+    return inside % MASK % turns == epoch % turns
+
+
+def trained(vocabulary, flat, epoch: int, epochs: int):
     """Arrow function: (text) -> one row (group, run, weight, parameters): a partition's share of an epoch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +233,11 @@ def trained(vocabulary, flat, epoch: int):
                     continue
                 ids, place = padded(words(w), w.first)
                 inside = np.arange(len(place)) - np.repeat(w.first[:-1], np.diff(w.first))
-                masked = r.permutation(place[(inside + epoch * (MASK // 2) + MASK - 1) % MASK == 0])
-                for s in range(0, len(masked), BATCH):
-                    some = masked[s : s + BATCH]
+                targets = r.permutation(place[masked(inside, epoch, epochs)])
+                for s in range(0, len(targets), BATCH):
+                    some = targets[s : s + BATCH]
                     net.step(ids, some, RATE / (1 + epoch) * min(1.0, len(some) / BATCH + 0.1), memory)
-                seen += len(masked)
+                seen += len(targets)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]), pa.array([net.flat().tobytes()], pa.binary())], names=["g", "run", "weight", "p"])
 
@@ -261,7 +278,7 @@ def train(texts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarra
     flat, vocabulary = net.flat(), spark.sparkContext.broadcast(hashes)
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast(flat)
-        rows = written(texts.mapInArrow(trained(vocabulary, now, epoch), MODEL), "models")
+        rows = written(texts.mapInArrow(trained(vocabulary, now, epoch, epochs), MODEL), "models")
         n = (rows.agg(F.max("run")).first()[0] or 0) + 1
         while True:
             rows = rows.withColumn("run", F.floor(F.col("run") / FAN).cast("long")).groupBy("g", "run").applyInArrow(averaged, MODEL)
@@ -270,7 +287,7 @@ def train(texts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarra
                 break
         got = rows.collect()  # one row
         if not got:
-            break
+            continue
         flat = np.frombuffer(got[0]["p"], np.float32)
     return hashes, flat
 

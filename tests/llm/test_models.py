@@ -181,3 +181,22 @@ def test_window_gradient():
         up = loss(p)
         p[k][at] -= 2 * eps
         assert np.isclose((up - loss(p)) / (2 * eps), grad, rtol=2e-2, atol=2e-6), (k, at)
+
+
+def test_every_word_is_a_target_once(spark):
+    for epochs in (1, 2, 3, lm.MASK):
+        inside = np.arange(100)
+        assert (sum(lm.masked(inside, e, epochs).astype(int) for e in range(epochs)) == 1).all()
+    texts = documents(spark, "/root/testdata/sf0.001").select(F.coalesce("text", F.lit("")).alias("lm_text")).unionByName(spark.createDataFrame([("one",)], "lm_text string"))
+    words = sum(len(r.lm_text.encode().split()) for r in texts.collect())
+    sc, net = spark.sparkContext, lm.Window()
+    vocabulary, flat = sc.broadcast(np.zeros(0, np.uint64)), sc.broadcast(net.flat())
+    seen = [texts.mapInArrow(lm.trained(vocabulary, flat, e, 2), lm.MODEL).agg(F.sum("weight")).first()[0] for e in range(2)]
+    assert sum(seen) == words and min(seen) > 0.4 * words
+
+
+def test_words_at_edges_are_learned(spark):
+    docs = spark.createDataFrame([(i, "red" if i % 4 else "blue") for i in range(400)], "doc_id long, text string").coalesce(2)
+    _, flat = lm.train(docs.select(F.col("text").alias("lm_text")))
+    before, after = lm.Window(), lm.Window.of(flat)
+    assert all((after.p["E"][k][lm.EDGE] != before.p["E"][k][lm.EDGE]).any() for k in range(len(lm.OFFSETS)))
