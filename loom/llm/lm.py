@@ -11,6 +11,10 @@ last bytes and length. A word's place in its document is its phase of MASK; the
 epochs, so that every word of every document is masked in one of them. In each epoch, each partition trains
 from the shared parameters, and the partitions' parameters are averaged by their numbers of masked words, in
 rounds of FAN. Only parameters, whose size is fixed, come to the driver and go out again.
+
+A word in a bucket has the bucket's probability times its share of the bucket's count. The shares of up to
+KNOWN words of highest count are sent to all executors; the others, which are rare and so never crowd a key,
+are joined by hash.
 """
 
 from __future__ import annotations
@@ -28,12 +32,22 @@ from loom.llm.words import Words, grouped, mix
 WINDOW, DIMS, CLASSES, SIZE, BUCKETS = 2, 16, 64, 64, 512
 MASK, EPOCHS, BATCH, RATE, FAN = 16, 2, 2048, 0.15, 64
 VOCABULARY = CLASSES * SIZE
+KNOWN = 1 << 20
 #: Stands before the first and after the last word of a text.
 EDGE = VOCABULARY
 
 
+def keys(w: Words) -> np.ndarray:
+    """Hashes of words; the lowest bits are the bucket, by the last two bytes and the length."""
+    last = w.data[np.maximum(w.end - 1, 0)].astype(np.uint64)
+    prior = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    shape = mix(last * np.uint64(4096) + prior * np.uint64(16) + np.minimum((w.end - w.start) // 3, 15).astype(np.uint64))
+    low = np.uint64(BUCKETS - 1)  # BUCKETS is a power of two
+    return (w.hashes() & ~low) | (shape & low)
+
+
 def count_words(most: int = 1 << 21):
-    """Arrow function: (text) -> (hash, count), summed in pieces of bounded size."""
+    """Arrow function: (text) -> (hash, count) by `keys`, summed in pieces of bounded size."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         h, c = (np.concatenate(x) for x in zip(*parts))
@@ -49,7 +63,7 @@ def count_words(most: int = 1 << 21):
         for b in batches:
             texts = b.column(0).to_pylist()
             for a, z in grouped(texts):
-                h, c = np.unique(Words(texts[a:z]).hashes(), return_counts=True)
+                h, c = np.unique(keys(Words(texts[a:z])), return_counts=True)
                 if len(h):
                     held.append((h, c))
                     size += len(h)
@@ -74,11 +88,11 @@ class Vocabulary:
         self.buckets = VOCABULARY - BUCKETS
 
     def __call__(self, w: Words) -> np.ndarray:
-        h = w.hashes()
-        last = w.data[np.maximum(w.end - 1, 0)].astype(np.uint64)
-        prior = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
-        shape = mix(last * np.uint64(4096) + prior * np.uint64(16) + np.minimum((w.end - w.start) // 3, 15).astype(np.uint64))
-        ids = (self.buckets + (shape % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
+        return self.of(keys(w))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Ids by `keys`."""
+        ids = (self.buckets + (h & np.uint64(BUCKETS - 1)).astype(np.int64)).astype(np.int32)
         if len(self.hashes) and len(h):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             ids = np.where(self.hashes[at] == h, self.ids[at], ids)
@@ -117,70 +131,71 @@ class Window:
         return np.tanh(h)
 
     @staticmethod
-    def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities, logarithm of the normaliser); works in place."""
-        top = z.max(1, keepdims=True)
-        z -= top
+    def softmax(z: np.ndarray) -> np.ndarray:
+        """Probabilities down each column; works in place."""
+        z -= z.max(0)
         np.exp(z, out=z)
-        total = z.sum(1, keepdims=True)
-        z /= total
-        return z, np.log(total[:, 0]) + top[:, 0]
+        z /= z.sum(0)
+        return z
 
-    def log_probabilities(self, ids: np.ndarray, place: np.ndarray, step: int = 16_384) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, place: np.ndarray, step: int = 4096) -> np.ndarray:
         """log p(word | both sides) of the words at `place`."""
         p, out = self.p, np.empty(len(place))
+        to_class, to_word = np.ascontiguousarray(p["C"].T), np.ascontiguousarray(p["W"].transpose(0, 2, 1))
         for a in range(0, len(place), step):
             some = place[a : a + step]
             y = ids[some]
+            # words in the order of their classes, each a column
+            order = np.argsort(y.astype(np.int16), kind="stable")
+            some, y = some[order], y[order]
             k, j = y // SIZE, y % SIZE
-            h = self.hidden(ids, some)
-            z = h @ p["C"] + p["c"]
-            own = z[np.arange(len(some)), k]
-            _, norm = self.softmax(z)
-            score = own - norm
-            order = np.argsort(k, kind="stable")
-            ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
+            column = np.arange(len(some))
+            h = np.ascontiguousarray(self.hidden(ids, some).T)
+            score = self.chosen(to_class @ h + p["c"][:, None], k, column)
+            z = p["w"].T[:, k]
+            ends = np.searchsorted(k, np.arange(CLASSES + 1))
             for g in np.flatnonzero(np.diff(ends)):
-                at = order[ends[g] : ends[g + 1]]
-                z = h[at] @ p["W"][g] + p["w"][g]
-                own = z[np.arange(len(at)), j[at]]
-                _, norm = self.softmax(z)
-                score[at] += own - norm
-            out[a : a + step] = score
+                z[:, ends[g] : ends[g + 1]] += to_word[g] @ h[:, ends[g] : ends[g + 1]]
+            out[a + order] = score + self.chosen(z, j, column)
         return out
 
+    @staticmethod
+    def chosen(z: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Logarithms of the softmax of each column, at one row of it; works in place."""
+        z -= z.max(0)
+        own = z[row, column]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(0))
+
     def step(self, ids: np.ndarray, place: np.ndarray, rate: float, memory: dict) -> None:
         """One descent step on the mean cross-entropy of the words at `place`, scaled by past gradients."""
         p, n = self.p, len(place)
-        y = ids[place]
-        k, j = y // SIZE, y % SIZE
-        h = self.hidden(ids, place)
-        d, _ = self.softmax(h @ p["C"] + p["c"])
-        d[np.arange(n), k] -= 1
-        d /= n
-        grad = {"C": h.T @ d, "c": d.sum(0)}
-        dh = d @ p["C"].T
-        # rows in the order of their classes: a slice of each array is a class
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        # words in the order of their classes, each a column
+        place = place[np.argsort(ids[place].astype(np.int16), kind="stable")]
+        k, j = ids[place] // SIZE, ids[place] % SIZE
+        column = np.arange(n)
+        ends = np.searchsorted(k, np.arange(CLASSES + 1))
         some = np.flatnonzero(np.diff(ends))
-        own, back = h[order], np.empty_like(h)
-        d = p["w"][k[order]]
+        h = np.ascontiguousarray(self.hidden(ids, place).T)
+        d = self.softmax(p["C"].T @ h + p["c"][:, None])
+        d[k, column] -= 1
+        d /= n
+        grad = {"C": h @ d.T, "c": d.sum(1), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        dh = p["C"] @ d
+        d = p["w"].T[:, k]
         for g in some:
-            d[ends[g] : ends[g + 1]] += own[ends[g] : ends[g + 1]] @ p["W"][g]
-        d, _ = self.softmax(d)
-        d[np.arange(n), j[order]] -= 1
+            d[:, ends[g] : ends[g + 1]] += p["W"][g].T @ h[:, ends[g] : ends[g + 1]]
+        d = self.softmax(d)
+        d[j, column] -= 1
         d /= n
-        for name in ("W", "w"):
-            grad[name] = np.zeros_like(p[name])
-        grad["w"][some] = np.add.reduceat(d, ends[some])
+        grad["w"][some] = np.add.reduceat(d, ends[some], axis=1).T
         for g in some:
-            a, z = ends[g], ends[g + 1]
-            grad["W"][g] = own[a:z].T @ d[a:z]
-            back[a:z] = d[a:z] @ p["W"][g].T
-        dh[order] += back
+            own = slice(ends[g], ends[g + 1])
+            grad["W"][g] = h[:, own] @ d[:, own].T
+            dh[:, own] += p["W"][g] @ d[:, own]
         dh *= 1 - h * h
-        grad["e"] = dh.sum(0)
+        grad["e"] = dh.sum(1)
+        dh = np.ascontiguousarray(dh.T)
         for name, x in grad.items():
             self.apply(name, x, rate, memory)
         for o, off in enumerate(OFFSETS):
@@ -193,9 +208,9 @@ class Window:
             memory["E"][o][seen] = m
             p["E"][o][seen] -= rate * x / (np.sqrt(m) + 1e-6)
 
-    def apply(self, name: str, x: np.ndarray, rate: float, memory: dict, at=...) -> None:
-        memory[name][at] += x * x
-        self.p[name][at] -= rate * x / (np.sqrt(memory[name][at]) + 1e-6)
+    def apply(self, name: str, x: np.ndarray, rate: float, memory: dict) -> None:
+        memory[name] += x * x
+        self.p[name] -= rate * x / (np.sqrt(memory[name]) + 1e-6)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
@@ -257,11 +272,40 @@ def averaged(t: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([0], pa.int64()), "run": pa.array([run], pa.int64()), "weight": pa.array([weight.sum()]), "p": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(texts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the vocabulary by falling count, flat parameters), from all rows of a one-column DataFrame."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(hash, n) of all words of a one-column DataFrame, written."""
+    return written(texts.mapInArrow(count_words(), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
+
+
+def shares(counts: DataFrame, vocabulary: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, DataFrame, float]:
+    """Logarithms of the shares that words outside the vocabulary have in their buckets: (sorted hashes, values) of
+    the at most `known` words of highest count, a table (hash, share) of the rest, the value of a word never counted."""
+    bucket = F.col("hash").bitwiseAND(F.lit(BUCKETS - 1))
+    top = F.broadcast(counts.sparkSession.createDataFrame([(int(h),) for h in vocabulary.view(np.int64)], "hash long"))
+    counts = counts.join(top, "hash", "left_anti")
+    sums = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}  # BUCKETS rows
+    total = np.array([sums.get(b, 1) for b in range(BUCKETS)], float)
+    # the smallest count whose words, with those of higher counts, are `known` at most
+    least, words = 0, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(known + 1).collect():
+        words += r["words"]
+        if words > known:
+            least = r["n"] + 1
+            break
+    got = counts.filter(F.col("n") >= least).toArrow()
+    h, n = got.column("hash").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    in_bucket = F.element_at(F.array(*[F.lit(x) for x in total.tolist()]), (bucket + 1).cast("int"))
+    rest = counts.filter(F.col("n") < least).select("hash", F.log(F.col("n") / in_bucket).alias("share"))
+    return h, np.log(n / total[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]), rest, -float(np.log(total.sum()))
+
+
+def train(texts: DataFrame, epochs: int = EPOCHS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the vocabulary by falling count, flat parameters), from all rows of a one-column DataFrame; counts:
+    what `counted` gives for it."""
     spark = texts.sparkSession
-    counts = texts.mapInArrow(count_words(), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts")
+    counts = counted(texts) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY - BUCKETS).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
@@ -292,46 +336,89 @@ def train(texts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarra
     return hashes, flat
 
 
-def scored(vocabulary, flat):
+def scored(vocabulary, flat, known=None):
+    """Arrow function: (id, text) -> (id, n_tokens, score). With `known`, a broadcast of hashes and shares, words in
+    buckets add their shares, and two columns follow: a number of the row, and hashes of words that aren't known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words, net = Vocabulary(vocabulary.value), Window.of(flat.value)
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            n, total = [], []
+            n, total, rest, rests = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, int)]
             for a, z in grouped(texts):
                 w = Words(texts[a:z])
-                count = np.diff(w.first)
+                count, missing = np.diff(w.first), np.zeros(z - a, int)
                 sums = np.zeros(len(count))
                 if len(w.start):
-                    ids, place = padded(words(w), w.first)
-                    scores = np.concatenate([[0.0], np.cumsum(net.log_probabilities(ids, place))])
+                    h = keys(w)
+                    own = words.of(h)
+                    ids, place = padded(own, w.first)
+                    scores = net.log_probabilities(ids, place)
+                    if known is not None:
+                        at = np.flatnonzero(own >= words.buckets)
+                        found, share = shared(known.value, h[at])
+                        scores[at[found]] += share
+                        rest.append(h[at[~found]])
+                        missing = np.diff(np.searchsorted(at[~found], w.first))
+                    scores = np.concatenate([[0.0], np.cumsum(scores)])
                     sums = scores[w.first[1:]] - scores[w.first[:-1]]
                 n.append(count)
                 total.append(sums)
-            both = (np.concatenate(n), np.concatenate(total)) if n else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both[0].astype(np.int64)), pa.array(both[1])], names=[*b.schema.names[:-1], "n_tokens", "score"])
+                rests.append(missing)
+            columns = {"n_tokens": pa.array(np.concatenate(n).astype(np.int64)), "score": pa.array(np.concatenate(total))}
+            if known is not None:
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(rests))])
+                columns["row"] = pa.array(row + np.arange(len(texts)))
+                columns["rest"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(rest).view(np.int64)))
+                row += len(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns.values()], names=[*b.schema.names[:-1], *columns])
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text", epochs: int = EPOCHS) -> DataFrame:
+def shared(known: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes are known, the values of those)."""
+    if not len(known[0]):
+        return np.zeros(len(h), bool), np.zeros(0)
+    at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+    found = known[0][at] == h
+    return found, known[1][at[found]]
+
+
+def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text", epochs: int = EPOCHS, within: bool = False, known: int = KNOWN) -> DataFrame:
     """The id with n_tokens (long), score (sum of log p(word | both sides), double) and mean_score (score per
     word, null without words), the model being trained on all of docs.
 
     Defined cases: null and empty texts have no words and score 0; a text of one word is predicted from the
     edges alone; repeated rows train as often as they stand there and score alike; an empty table gives an
-    empty one; other columns play no part. Words outside the vocabulary are scored as their buckets. The
-    parameters depend on how the input is cut into partitions, as averaging does.
+    empty one; other columns play no part. Words outside the vocabulary are predicted as their buckets; `within` adds
+    log(count of the word / count of its bucket's words), so that the score is that of the words themselves
+    (a word that was never counted, which rows that stay the same don't have, counts as one of all words in
+    buckets). `known` bounds the words whose shares are broadcast, and changes no result. The parameters depend
+    on how the input is cut into partitions, as averaging does.
     """
     texts = docs.select(text_of(text_col).alias("lm_text"))
-    hashes, flat = train(texts, epochs)
+    counts = counted(texts)
+    hashes, flat = train(texts, epochs, counts)
     sc = docs.sparkSession.sparkContext
     given = docs.select(F.col(id_col).alias("lm_id"), text_of(text_col).alias("lm_text"))
-    out = given.mapInArrow(scored(sc.broadcast(hashes), sc.broadcast(flat)), f"lm_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double")
+    schema = f"lm_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double"
+    if within:
+        h, share, others, unseen = shares(counts, hashes, known)
+        out = given.mapInArrow(scored(sc.broadcast(hashes), sc.broadcast(flat), sc.broadcast((h, share))), f"{schema}, row long, rest array<long>")
+        out = written(out, "scores")
+        rest = out.select("row", F.explode("rest").alias("hash")).join(others, "hash", "left")
+        rest = rest.groupBy("row").agg(F.sum(F.coalesce("share", F.lit(unseen))).alias("more"))
+        out = out.drop("rest").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    else:
+        out = given.mapInArrow(scored(sc.broadcast(hashes), sc.broadcast(flat)), schema)
     return out.select(F.col("lm_id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from loom.llm.common import documents
 
-    return pseudo_likelihood(documents(spark, sf_dir))
+    return pseudo_likelihood(documents(spark, sf_dir), within=True)

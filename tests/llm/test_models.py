@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,3 +201,26 @@ def test_words_at_edges_are_learned(spark):
     _, flat = lm.train(docs.select(F.col("text").alias("lm_text")))
     before, after = lm.Window(), lm.Window.of(flat)
     assert all((after.p["E"][k][lm.EDGE] != before.p["E"][k][lm.EDGE]).any() for k in range(len(lm.OFFSETS)))
+
+
+def test_words_in_buckets_have_their_shares(spark):
+    docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, None), (None, "zyxwvut zyxwvut abczyxwvut"), (901, "zyxwvut")], docs.schema)).coalesce(2).cache()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    hashes, _ = lm.train(docs.select(F.coalesce("text", F.lit("")).alias("lm_text")), epochs=0)
+    keys = {i: lm.keys(Words([t])).tolist() for i, t in texts.items()}
+    count, vocabulary = Counter(h for own in keys.values() for h in own), set(hashes.tolist())
+    total = Counter()
+    for h, n in count.items():
+        total[h % lm.BUCKETS] += n * (h not in vocabulary)
+    whole = {r.doc_id: r.score for r in lm.pseudo_likelihood(docs, epochs=0).collect()}
+    want = {i: whole[i] + sum(np.log(count[h] / total[h % lm.BUCKETS]) for h in own if h not in vocabulary) for i, own in keys.items()}
+    assert want[None] < whole[None] and len(count) > len(vocabulary) + 100
+    for known in (0, 100, lm.KNOWN):  # all joined, some, none
+        got = {r.doc_id: r for r in lm.pseudo_likelihood(docs, epochs=0, within=True, known=known).collect()}
+        assert len(got) == len(want) and all(np.isclose(r.score, want[i], rtol=1e-6) for i, r in got.items())
+        assert got[900].score == 0 and got[900].mean_score is None and np.isclose(got[901].mean_score, want[901])
+    assert lm.pseudo_likelihood(docs.limit(0), within=True).count() == 0
+    asked = {r.doc_id: r.score for r in lm.query(spark, "/root/testdata/sf0.001").collect()}
+    full = {r.doc_id: r.score for r in lm.pseudo_likelihood(documents(spark, "/root/testdata/sf0.001"), within=True).collect()}
+    assert all(np.isclose(asked[i], s) for i, s in full.items())
