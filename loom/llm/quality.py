@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE words. Every passage is described by
 by how much its words and word triples repeat, and encoded by a small layer; gated attention (a tanh and a
 sigmoid gate, multiplied) weighs the passages of a bag against each other, and the weighted sum of the
 encodings is scored. Encoder, gates and score are learned together, from document labels only, by gradient
-descent in numpy over a bounded sample of labelled training rows.
+descent in numpy over a bounded sample of labelled training rows, with all their passages: those lie in a
+file of the driver's, and a few thousand at a time are in memory.
 
 Scoring describes all passages of all texts by array operations over joined bytes; the attention's softmax is
 summed per document, so a text of any length is one pass and a few numbers per passage.
@@ -12,6 +13,7 @@ summed per document, so a text of any length is one pass and a few numbers per p
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import text_of
+from loom.llm.common import text_of, written
 from loom.llm.labelled import MOST_PER_CLASS, held_out, sigmoid, training_rows
 from loom.llm.words import Words, grouped, mix
 
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
 PASSAGE, HIDDEN, GATES = 64, 16, 8
-#: A bag of the training sample keeps at most so many passages, spread evenly; scoring uses all.
-MOST_PASSAGES = 48
+#: Training takes about so many passages at a time (one longer bag alone) and adds up their gradients.
+PIECE = 8192
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"%&$#*@^~=_+<>{}[]\\", b"!?", b"|", b".,;:", b"\n", bytes(range(128, 256)), b"\"'()-/"]
 FEATURES = len(_CLASSES) + 9
 
@@ -145,8 +147,11 @@ class Attention:
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> "Attention":
         r = np.random.default_rng(seed)
-        every = np.concatenate(bags)
-        self.mean, self.sd = every.mean(0), np.maximum(every.std(0), 1e-3)
+        size = np.array([len(b) for b in bags])
+        joined = lambda some: np.concatenate([bags[i] for i in some]).astype(float)
+        every = pieces(np.arange(len(bags)), size)
+        self.mean = sum(joined(some).sum(0) for some in every) / size.sum()
+        self.sd = np.maximum(np.sqrt(sum(((joined(some) - self.mean) ** 2).sum(0) for some in every) / size.sum()), 1e-3)
         base = float((weight * y).sum() / weight.sum())
         self.p["b"][:] = np.log(max(base, 1e-3) / max(1 - base, 1e-3))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
@@ -154,9 +159,12 @@ class Attention:
         for epoch in range(epochs):
             order = r.permutation(len(bags))
             for a in range(0, len(order), batch):
-                some = order[a : a + batch]
-                off = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])])
-                grad = self.gradient(self.forward(np.concatenate([bags[i] for i in some]), off), y[some], weight[some])
+                grad = {k: np.zeros_like(x) for k, x in self.p.items()}
+                whole = weight[order[a : a + batch]].sum()
+                for some in pieces(order[a : a + batch], size):
+                    off = np.concatenate([[0], np.cumsum(size[some])])
+                    for k, g in self.gradient(self.forward(joined(some), off), y[some], weight[some]).items():
+                        grad[k] += g * (weight[some].sum() / whole)
                 step += 1
                 for k, g in grad.items():
                     g = g + decay * self.p[k]
@@ -166,30 +174,43 @@ class Attention:
         return self
 
 
+def pieces(some: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """`some`, cut into runs of at most PIECE passages together (one longer bag alone). size: passages of each bag."""
+    out, a, held = [], 0, 0
+    for i, n in enumerate(size[some]):
+        if held and held + n > PIECE:
+            out.append(some[a:i])
+            a, held = i, 0
+        held += n
+    return [*out, some[a:]]
+
+
 def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: (tr_text, tr_label) -> (label, passages), at most MOST_PASSAGES a bag."""
+    """Arrow function: (tr_text, tr_label) -> (label, all passages)."""
     for b in batches:
-        texts, labels, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+        texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
         for a, z in grouped(texts):
             x, off = passages(texts[a:z])
-            for i in range(z - a):
-                own = x[off[i] : off[i + 1]]
-                if len(own) > MOST_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, MOST_PASSAGES).astype(int)]
-                out.append(own.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["label", "bag"])
+            out = [x[off[i] : off[i + 1]].astype(np.float32).tobytes() for i in range(z - a)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[a:z], pa.int32()), pa.array(out, pa.binary())], names=["label", "bag"])
 
 
 def learn(rows: DataFrame, counts: dict[int, int]) -> Attention:
-    got = rows.select("tr_text", "tr_label").mapInArrow(bags_of, "label int, bag binary").collect()  # 2 * MOST_PER_CLASS bounded rows
-    model = Attention()
-    if not got:
-        return model
-    y = np.array([r["label"] for r in got], float)
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float) for r in got]
-    seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weight = np.where(y == 1, (counts[1] or seen[1]) / seen[1], (counts[0] or seen[0]) / seen[0])
-    return model.fit(bags, y, weight)
+    bags = written(rows.select("tr_text", "tr_label").mapInArrow(bags_of, "label int, bag binary"), "bags")
+    model, labels, ends = Attention(), [], [0]
+    with tempfile.TemporaryFile() as f:
+        for r in bags.toLocalIterator():  # 2 * MOST_PER_CLASS rows, a partition at a time
+            labels.append(r["label"])
+            ends.append(ends[-1] + len(r["bag"]) // (4 * FEATURES))
+            f.write(r["bag"])
+        if not labels:
+            return model
+        f.flush()
+        flat = np.asarray(np.memmap(f, np.float32, "r")).reshape(-1, FEATURES)
+        y = np.array(labels, float)
+        seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+        weight = np.where(y == 1, (counts[1] or seen[1]) / seen[1], (counts[0] or seen[0]) / seen[0])
+        return model.fit([flat[a:z] for a, z in zip(ends, ends[1:])], y, weight)
 
 
 def scorer(model: Attention):

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,22 @@ def test_words_in_buckets_have_their_shares(spark):
     asked = {r.doc_id: r.score for r in lm.query(spark, "/root/testdata/sf0.001").collect()}
     full = {r.doc_id: r.score for r in lm.pseudo_likelihood(documents(spark, "/root/testdata/sf0.001"), within=True).collect()}
     assert all(np.isclose(asked[i], s) for i, s in full.items())
+
+
+def test_bags_keep_all_passages():
+    texts = [" ".join(f"w{i}" for i in range(64 * 100 + 1)), "", "a b"]
+    got = pa.Table.from_batches(quality.bags_of([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0], pa.int32())], names=["tr_text", "tr_label"])]))
+    bags = [np.frombuffer(x, np.float32).reshape(-1, quality.FEATURES) for x in got.column("bag").to_pylist()]
+    assert [len(b) for b in bags] == [101, 1, 1] and got.column("label").to_pylist() == [1, 0, 0]
+    assert np.allclose(np.concatenate(bags), quality.passages(texts)[0], atol=1e-6)
+
+
+def test_pieces_add_up(monkeypatch):
+    r = np.random.default_rng(2)
+    bags = [r.standard_normal((n, quality.FEATURES)).astype(np.float32) for n in r.integers(1, 90, 40)]
+    y, w = (np.arange(40) % 3 == 0).astype(float), r.random(40) + 0.5
+    whole = quality.Attention().fit(bags, y, w, epochs=3)
+    monkeypatch.setattr(quality, "PIECE", 64)
+    cut = quality.Attention().fit(bags, y, w, epochs=3)
+    assert np.allclose(whole.mean, np.concatenate(bags).mean(0), atol=1e-5) and np.allclose(whole.sd, np.concatenate(bags).std(0), atol=1e-5)
+    assert all(np.allclose(whole.p[k], cut.p[k], atol=1e-6) for k in whole.p)
