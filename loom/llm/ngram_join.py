@@ -3,13 +3,13 @@
 1. Signatures. Texts become sets of 5-word shingles; texts with equal sets are one class. A class has TREES
    min-hash sequences of `depth` values, each a path in a prefix trie.
 2. Forest. Two classes are candidates where they share a trie node. Prefixes are shortened from the deepest
-   level until 1 - (1 - s^d)^TREES, the chance that a pair of similarity s shares a node, reaches the target;
-   where the node one level up holds few classes, the prefix is shortened once more, which costs little and
-   misses less. The trie is never built: a level is a grouping by the hash of a prefix, counted with map-side
+   level until 1 - (1 - s^d)^TREES, the chance that a pair of similarity s shares a node, reaches the target,
+   and once more, which misses less; a node's size plays no part in it. The trie is never built: a level is a grouping by the hash of a prefix, counted with map-side
    sums, so a node that holds a third of all classes is one row of each map task.
 3. Canonical nodes. A pair that shares several nodes is dealt with in the first tree where it does. Nodes are
    cut into tiles of at most TILE by TILE classes; a light pass over 8-byte node numbers finds which classes
-   have a pair to verify in which tile, and only their texts travel there.
+   have a pair to verify in which tile, and only their texts travel there. In crowded tiles, pairs whose sets
+   differ too much in size to be similar are left out, which loses none.
 4. Verification. A tile counts the shingles that pairs have in common and keeps pairs of similarity >= s,
    computed exactly from the sets. It returns, for each class, how many documents it is linked to, and the
    edges of a spanning forest: no list of pairs is ever written, so a group of n near copies gives n rows.
@@ -30,7 +30,9 @@ from loom.llm.common import parts, text_of, written
 from loom.llm.words import Words, grouped, mix
 
 SHINGLE, SIMILARITY, TREES, DEEPEST, RECALL = 5, 0.8, 16, 8, 0.995
-SMALL_NODE, TILE = 64, 512
+TILE = 512
+#: Tiles of more classes compare the sizes of sets before texts travel; this changes no result.
+SMALL_NODE = 64
 #: Wanted classes up to this many (24 bytes each) are sent to all executors to pick texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 300_000
 
@@ -56,8 +58,8 @@ def min_hashes(s: np.ndarray, offsets: np.ndarray, k: int, seed: int = 1) -> np.
 
 
 def signatures(trees: int, depth: int, size: int):
-    """Arrow function: (id, text hash, text) -> (ng_id, ng_mark, ng_set, ng_set2, ng_count, ng_long, ng_short): a
-    row for each text with words; ng_long and ng_short are its node numbers at `depth` and one level up."""
+    """Arrow function: (id, text hash, text) -> (ng_id, ng_mark, ng_set, ng_set2, ng_count, ng_nodes): a
+    row for each text with words; ng_nodes are its node numbers at `depth`."""
 
     def batch(ids: list, marks: list, texts: list[str]) -> pa.RecordBatch | None:
         w = Words(texts)
@@ -79,14 +81,12 @@ def signatures(trees: int, depth: int, size: int):
             two = mix(np.bitwise_xor.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts[:-1]) + np.uint64(1))
             m = min_hashes(s, starts, trees * depth).reshape(len(has), trees, depth).astype(np.uint64)
             node = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64) + np.uint64(77)), (len(has), trees))
-            short = node
             for d in range(depth):
-                short = node
                 node = mix(node * np.uint64(0x9E3779B97F4A7C15) + m[:, :, d])
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(has) + 1) * trees, trees, dtype=np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in has], pa.int64()), pa.array([marks[i] for i in has], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count.astype(np.int32)), lists(node), lists(short)],
-            names=["ng_id", "ng_mark", "ng_set", "ng_set2", "ng_count", "ng_long", "ng_short"],
+            [pa.array([ids[i] for i in has], pa.int64()), pa.array([marks[i] for i in has], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count.astype(np.int32)), lists(node)],
+            names=["ng_id", "ng_mark", "ng_set", "ng_set2", "ng_count", "ng_nodes"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +113,26 @@ def upper(n_left: int, n_right: int, same: bool) -> np.ndarray:
     return np.triu(np.ones((n_left, n_right), bool), 1) if same else np.ones((n_left, n_right), bool)
 
 
-def needed(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Group function over a tile: the classes that have a canonical pair here."""
-    tree, side = key[1].as_py(), t.column("side").to_numpy()
-    cls = t.column("cls").to_numpy()
-    nodes = np.array(t.column("nodes").to_pylist(), np.int64).reshape(len(cls), -1)
-    same = key[2].as_py() == key[3].as_py()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    ok = first_shared(nodes[left], nodes[right], tree) & upper(len(left), len(right), same)
-    wanted = np.unique(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))
-    t = t.take(pa.array(wanted))
-    kinds = {"node": pa.int64(), "tree": pa.int32(), "i": pa.int32(), "j": pa.int32(), "cls": pa.int64(), "side": pa.int32(), "nodes": pa.list_(pa.int64())}
-    return t.select(list(kinds)).cast(pa.schema(list(kinds.items())))
+def needed(similarity: float, small: int):
+    """Group function over a tile: the classes that have a canonical pair here, in tiles of more than `small`
+    classes one whose sizes of sets allow the similarity."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        tree, side = key[1].as_py(), t.column("side").to_numpy()
+        cls, size = t.column("cls").to_numpy(), t.column("size").to_numpy().astype(float)
+        nodes = np.array(t.column("nodes").to_pylist(), np.int64).reshape(len(cls), -1)
+        same = key[2].as_py() == key[3].as_py()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        ok = first_shared(nodes[left], nodes[right], tree) & upper(len(left), len(right), same)
+        if len(cls) > small:
+            a, b = size[left][:, None], size[right][None, :]
+            ok &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+        wanted = np.unique(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))
+        t = t.take(pa.array(wanted))
+        kinds = {"node": pa.int64(), "tree": pa.int32(), "i": pa.int32(), "j": pa.int32(), "cls": pa.int64(), "side": pa.int32(), "nodes": pa.list_(pa.int64())}
+        return t.select(list(kinds)).cast(pa.schema(list(kinds.items())))
+
+    return run
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -228,26 +236,21 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
     an empty table gives an empty one; other columns play no part.
     """
     spark = docs.sparkSession
-    depth = depth_for(similarity, trees, recall)
+    depth = max(1, depth_for(similarity, trees, recall) - 1)
     ids = docs.schema[id_col].dataType
     text = text_of(text_col)
     given = docs.select(F.col(id_col).cast("long").alias("ng_id"), F.xxhash64(text).alias("ng_mark"), text.alias("ng_text"))
-    schema = "ng_id long, ng_mark long, ng_set long, ng_set2 long, ng_count int, ng_long array<long>, ng_short array<long>"
+    schema = "ng_id long, ng_mark long, ng_set long, ng_set2 long, ng_count int, ng_nodes array<long>"
     rows = written(given.mapInArrow(signatures(trees, depth, size), schema), "signatures")
     same_set = ["ng_set", "ng_set2", "ng_count"]
-    nodes = F.struct("ng_long", "ng_short")
     # classes of equal sets; their smallest id and their number of rows
-    classes = rows.groupBy(*same_set).agg(F.min("ng_id").alias("copy_id"), F.min(F.struct("ng_id", "ng_mark")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(nodes).alias("nodes"))
-    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "copy_id", F.col("rep.ng_id").alias("rep_id"), F.col("rep.ng_mark").alias("rep_mark"), "copies", "nodes.*"), "classes")
-
-    # the forest: nodes with at least two classes, at the shorter prefix where few share it
-    paths = classes.select("cls", F.posexplode(F.arrays_zip("ng_long", "ng_short")).alias("tree", "x")).select("cls", "tree", F.col("x.ng_long").alias("long"), F.col("x.ng_short").alias("short"))
-    count = lambda df, col: df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wide = written(paths.join(count(paths, "short"), "short"), "wide")
-    few = wide.filter(F.col("n") <= SMALL_NODE).select("cls", "tree", F.col("short").alias("node"), "n")
-    many = wide.filter(F.col("n") > SMALL_NODE).drop("n")
-    many = many.join(count(many, "long"), "long").select("cls", "tree", F.col("long").alias("node"), "n")
-    found = written(few.unionByName(many), "nodes")
+    classes = rows.groupBy(*same_set).agg(F.min("ng_id").alias("copy_id"), F.min(F.struct("ng_id", "ng_mark")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("ng_nodes").alias("ng_nodes"))
+    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "copy_id", F.col("rep.ng_id").alias("rep_id"), F.col("rep.ng_mark").alias("rep_mark"), "copies", "ng_nodes"), "classes")
+
+    # the forest: nodes with at least two classes
+    paths = classes.select("cls", F.col("ng_count").alias("size"), F.posexplode("ng_nodes").alias("tree", "node"))
+    count = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = written(paths.join(count, "node").select("cls", "size", "tree", "node", "n"), "nodes")
 
     # all node numbers of a class, by tree; a class's own number, which nobody shares, where it has none
     all_nodes = found.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("at"))
@@ -256,9 +259,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(5), "cls"), tiles).cast("int")
     member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    member = member.select("node", "tree", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "nodes", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+    member = member.select("node", "tree", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "size", "nodes", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     tile = ["node", "tree", "i", "j"]
-    wanted = written(member.groupBy(*tile).applyInArrow(needed, "node long, tree int, i int, j int, cls long, side int, nodes array<long>"), "wanted")
+    wanted = written(member.groupBy(*tile).applyInArrow(needed(similarity, SMALL_NODE), "node long, tree int, i int, j int, cls long, side int, nodes array<long>"), "wanted")
 
     # one text of each wanted class travels: that of one row of it, found again by id and text hash
     chosen = written(wanted.select("cls").distinct().join(classes.select("cls", "rep_id", "rep_mark", "copies"), "cls"), "chosen")

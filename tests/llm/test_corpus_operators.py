@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loom.llm import exact_dedup, line_dedup, mixing, ngram_join, warc
 from loom.llm.common import written
+from loom.llm.words import Words
 
 WHITE = " \t\n\x0b\x0c\r"
 LONG = "a line that is long enough to count as one of the shared lines"
@@ -194,6 +195,25 @@ def test_ngram_join_finds_pairs_at_the_threshold(spark):
     assert sum(near) >= 0.98 * len(near) and sum(far) == 0
 
 
+def test_crowded_nodes_miss_no_more(spark, monkeypatch):
+    """Links don't depend on what counts as a crowded node, and one tree of prefixes of 4 finds what it must."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"v{rng.integers(1 << 30)}" for _ in range(104)], []
+    for k in range(100):  # any two have 90 of 110 shingles in common, or more
+        own = base[:]
+        own[5 + k % 95] = f"u{k}"
+        rows.append((k, " ".join(own)))
+    df, found = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), []
+    s, off = Words([t for _, t in rows]).shingles(5)
+    mins = ngram_join.min_hashes(s, off, 4)
+    together = Counter(map(bytes, mins))
+    assert max(together.values()) > 64  # crowded
+    for small in (1000, 64, 2):
+        monkeypatch.setattr(ngram_join, "SMALL_NODE", small)
+        found.append({r.doc_id: r.n_links for r in ngram_join.near_duplicates(df, trees=1, recall=0.3).collect()})
+        assert found[-1] == {k: together[bytes(m)] - 1 for k, m in enumerate(mins)}
+
+
 def test_depth_follows_recall():
     assert ngram_join.depth_for(0.8, 16, 0.995) == 5
     assert ngram_join.depth_for(0.8, 16, 0.9999) < 5 <= ngram_join.depth_for(0.9, 16, 0.995)
