@@ -19,7 +19,7 @@ WHITE_CLASS = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a folder of this machine is made and set.
+    Only where that is unset and the session runs on this machine alone (tests, a laptop), a folder is made and set.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,7 +60,7 @@ def parts(spark: SparkSession) -> int:
 
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(named(name).cast("string"), F.lit(""))
 
 
 def word_count(text: Column) -> Column:
@@ -66,6 +68,50 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.ltrim(text, F.lit(WHITE)), f"[^{WHITE_CLASS}]+[{WHITE_CLASS}]*", "x")).cast("long")
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ranges(column, most: int = 1 << 20):
+    """Index ranges of a string or binary Arrow array whose values are about `most` bytes together (one longer value alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, z
+        a = z
+
+
+def slices(batches, column: int = -1, most: int = 2 << 20):
+    """Arrow batches cut into slices by the bytes of one column, so that no more than `most` (or one longer value)
+    becomes Python objects at a time."""
+    import pyarrow as pa
+
+    for b in batches:
+        for a, z in ranges(b.column(column if column >= 0 else b.num_columns + column), most):
+            yield b.slice(a, z - a)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def texts_of(column) -> list[bytes]:
+    """The values of a string column in UTF-8; null counts as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
+def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """How many partitions so many bytes are dealt into: the session's number, or more where they would be over `each`."""
+    return max(parts(spark), -(-int(size) // each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import parts, text_of, written
+from loom.llm.common import named, parts_for, slices, text_of, texts_of, written
 
 LENGTH, END_ID, CHUNK = 2048, 1, 1 << 16
 DIMS, BITS, HASHED, SEED = 4, 12, 1024, 11
@@ -88,22 +88,18 @@ def tokenised(path: str, end_id: int):
         cache = tokenizer(path)
         size = max(cache.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
         table, kind = projection(size), stored(size)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                ids_of, texts = (c.to_pylist() for c in b.slice(a, 256).columns)
-                some = [np.append(x, np.uint32(end_id)) for x in cache.encode(texts)]
-                sizes = np.array([len(x) for x in some])
-                starts = np.cumsum(sizes) - sizes
-                keys = curve_keys(np.add.reduceat(table[np.concatenate(some)], starts, axis=0))
-                rows = [
-                    (int(k), i, s, len(x), x[s : s + CHUNK].astype(kind).tobytes())
-                    for k, i, x in zip(keys, ids_of, some) for s in range(0, len(x), CHUNK)
-                ]
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
-                    names=["pk_key", "pk_id", "pk_start", "pk_tokens", "pk_ids"],
-                )
+        for b in slices(batches, most=1 << 20):
+            some = [np.append(x, np.uint32(end_id)) for x in cache.encode(texts_of(b.column(1)))]
+            sums = np.stack([sum(table[x[s : s + CHUNK]].sum(0) for s in range(0, len(x), CHUNK)) for x in some])
+            rows = [
+                (int(k), i, s, len(x), x[s : s + CHUNK].astype(kind).tobytes())
+                for k, i, x in zip(curve_keys(sums), b.column(0).to_pylist(), some) for s in range(0, len(x), CHUNK)
+            ]
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
+                names=["pk_key", "pk_id", "pk_start", "pk_tokens", "pk_ids"],
+            )
 
     return run
 
@@ -138,9 +134,9 @@ def packed(length: int, kind: str):
             names = [f.split()[0] for f in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
-            rows = (r for a in range(0, b.num_rows, 256) for r in zip(*(b.slice(a, 256).column(k).to_pylist() for k in ("pk_id", "pk_start", "pk_tokens", "pk_ids"))))
+            rows = zip(*(b.column(k).to_pylist() for k in ("pk_id", "pk_start", "pk_tokens", "pk_ids")))
             for i, s, n, data in rows:
                 data = np.frombuffer(data, kind).astype("<u4").tobytes()
                 view, at, k = memoryview(data), 0, len(data) // 4
@@ -191,12 +187,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     ids = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("long").alias("pk_id"), text_of(text_col).alias("pk_text"))
+    rows = docs.select(named(id_col).cast("long").alias("pk_id"), text_of(text_col).alias("pk_text"))
     rows = rows.mapInArrow(tokenised(tokenizer_path, end_id), "pk_key long, pk_id long, pk_start long, pk_tokens long, pk_ids binary")
     rows = written(rows, "ids").withColumn("pk_crc", F.crc32("pk_ids"))
     kind = stored(max(vocabulary_size(tokenizer_path), end_id + 1))
     order = ["pk_key", "pk_id", "pk_tokens", "pk_start", "pk_crc"]
-    sorted_rows = rows.repartitionByRange(parts(spark), "pk_key", "pk_id", "pk_start").sortWithinPartitions(*order)
+    stored_bytes = (rows.filter("pk_start = 0").agg(F.sum("pk_tokens")).first()[0] or 0) * np.dtype(kind).itemsize
+    sorted_rows = rows.repartitionByRange(parts_for(spark, stored_bytes), "pk_key", "pk_id", "pk_start").sortWithinPartitions(*order)
     out = sorted_rows.select("pk_id", "pk_start", "pk_tokens", "pk_ids").mapInArrow(packed(length, kind), PIECES)
     return out.select(F.col("doc_id").cast(ids).alias(id_col), *[f.split()[0] for f in PIECES.split(", ")[1:]])
 

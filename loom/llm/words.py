@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _WHITE = np.zeros(256, bool)
@@ -36,14 +38,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made["up"][:n], made["down"][:n]
 
 
+#: Bytes that are hashed together: 8-byte numbers stand for that many at a time, whatever a text's length.
+PIECE = 1 << 18
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte spans start[i] to end[i], which follow each other. A span's hash
+    doesn't depend on where it stands."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, side="right")))
+        first, last = start[a], end[z - 1]
+        up, down = _powers(int(last - first))
+        with np.errstate(over="ignore"):
+            sums = np.empty(last - first + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64, out=sums[1:])
+            at, to = start[a:z] - first, end[a:z] - first
+            out[a:z] = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+        a = z
+    return out
+
+
 class Words:
     """Words are runs without space, \\t, \\n, \\v, \\f, \\r.
 
     data: the bytes of all texts, each followed by a line end. start, end: byte spans of the words.
     first: words first[i] to first[i+1] are of text i."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes]):
+        raw = [raw_bytes(t) for t in texts]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         white = _WHITE[self.data]
@@ -55,42 +80,82 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(len(self.data))
-        with np.errstate(over="ignore"):
-            sums = np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
-            low = np.where(self.start > 0, sums[self.start - 1], np.uint64(0))
-            return mix((sums[self.end - 1] - low) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data, self.start, self.end)
 
     def shingles(self, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all runs of `size` words, offsets per text). A text of fewer words is one shingle of
         all its words; a text without words has none. Repeats are kept."""
-        h = self.hashes()
-        n = np.diff(self.first)
-        with np.errstate(over="ignore"):
-            runs = max(0, len(h) - size + 1)
-            s = np.zeros(runs, np.uint64)
-            for k in range(size):
-                s += mix(h[k : k + runs] + np.uint64(k + 1))
-            s = mix(s)
-            full = np.maximum(n - size + 1, 0)
-            count = np.where((n > 0) & (n < size), 1, full)
-            offsets = np.concatenate([[0], np.cumsum(count)])
-            out = np.zeros(offsets[-1], np.uint64)
-            whole = np.flatnonzero(full > 0)
-            if len(whole):
-                at = np.repeat(self.first[whole] - (np.cumsum(full[whole]) - full[whole]), full[whole]) + np.arange(full[whole].sum())
-                to = np.repeat(offsets[whole] - (np.cumsum(full[whole]) - full[whole]), full[whole]) + np.arange(full[whole].sum())
-                out[to] = s[at]
-            for i in np.flatnonzero((n > 0) & (n < size)):
-                own = h[self.first[i] : self.first[i + 1]]
-                out[offsets[i]] = mix(np.array([sum(int(mix(own[k : k + 1] + np.uint64(k + 1))[0]) for k in range(len(own))) + int(n[i]) & ((1 << 64) - 1)], np.uint64))[0]
-        return out, offsets
-
-
-def grouped(texts: list[str], most: int = 1 << 20):
-    """Index ranges of texts of about `most` characters together (one longer text alone)."""
+        return _shingles(self.hashes(), self.first, size)
+
+
+def shingles_of(texts: list[str | bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any texts; one of over LONG bytes is split into words a piece at a time."""
+    raw = [raw_bytes(t) for t in texts]
+    hashes, counts = [np.zeros(0, np.uint64)], []
+    for a, z in grouped(raw, LONG):
+        if len(raw[a]) <= LONG:
+            w = Words(raw[a:z])
+            hashes.append(w.hashes())
+            counts += np.diff(w.first).tolist()
+            continue
+        some = [Words([raw[a][b:c]]).hashes() for b, c in cuts(raw[a], LONG)]
+        hashes += some
+        counts.append(sum(map(len, some)))
+    return _shingles(np.concatenate(hashes), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), size)
+
+
+#: Texts of more bytes than this are not split into words whole.
+LONG = 4 << 20
+
+
+def _shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(first)
+    step = lambda k: mix(np.uint64(k + 1) + h[k : len(h) - size + 1 + k])
+    with np.errstate(over="ignore"):
+        runs = max(0, len(h) - size + 1)
+        s = np.zeros(runs, np.uint64)
+        for k in range(size if runs else 0):
+            s += step(k)
+        s = mix(s)
+        full = np.maximum(n - size + 1, 0)
+        short = np.flatnonzero((n > 0) & (n < size))
+        if len(n) == 1 and not len(short):
+            return s, np.array([0, len(s)])
+        count = full.copy()
+        count[short] = 1
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(offsets[-1], np.uint64)
+        whole = np.flatnonzero(full)
+        inside = np.arange(int(full.sum())) - np.repeat(np.cumsum(full[whole]) - full[whole], full[whole])
+        out[np.repeat(offsets[whole], full[whole]) + inside] = s[np.repeat(first[whole], full[whole]) + inside]
+        if len(short):
+            place = np.arange(int(n[short].sum())) - np.repeat(np.cumsum(n[short]) - n[short], n[short])
+            each = mix(h[np.repeat(first[short], n[short]) + place] + (place + 1).astype(np.uint64))
+            out[offsets[short]] = mix(np.add.reduceat(each, np.cumsum(n[short]) - n[short]) + n[short].astype(np.uint64))
+    return out, offsets
+
+
+def raw_bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def cuts(text: bytes, size: int):
+    """Ranges of about `size` bytes that end before white space (a word that is longer stays whole)."""
+    a = 0
+    while a < len(text):
+        z = len(text)
+        if a + size < z:
+            hit = _SPACE.search(text, a + size)
+            z = hit.start() if hit else z
+        yield a, z
+        a = z
+
+
+def grouped(texts: list[str | bytes], most: int = 1 << 20):
+    """Index ranges of texts of about `most` characters or bytes together (one longer text alone)."""
     a = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
