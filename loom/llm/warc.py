@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import fresh_path, parts, text_of, written
+from loom.llm.common import fresh_path, named, parts, slices, text_of, written
 
 CHUNK = 256 * 1024
 #: A new archive file begins once one has this many compressed bytes.
@@ -59,7 +59,7 @@ def decided(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None
     ordinary sort-merge join, whose hot keys Spark splits)."""
     payload = F.encode(text_of(payload_col), "UTF-8")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url") if url_col else F.lit(None).cast("string").alias("url"), payload.alias("payload"),
+        named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url") if url_col else F.lit(None).cast("string").alias("url"), payload.alias("payload"),
     ).withColumns({"sha": F.sha2("payload", 256), "sha1": F.sha1("payload"), "full_bytes": F.octet_length("payload").cast("long")})
     best = rows.groupBy("sha").agg(F.max("page_id").alias("best")).select(F.col("sha").alias("best_sha"), "best")
     both = rows.join(best, F.col("sha") == F.col("best_sha"))
@@ -107,7 +107,7 @@ def writer(folder: str, roll: int = ROLL, level: int = 1):
         done: list[tuple] = []
         out, name, count, size = None, "", 0, 0
         pack, sha, want = None, None, ""
-        for b in batches:
+        for b in slices(batches):
             cols = [b.column(k).to_pylist() for k in ("page_id", "url", "full_bytes", "digest", "refers_to", "chunk_no", "last", "chunk")]
             for page, url, full, digest, refers, no, last, data in zip(*cols):
                 if no == 0:
@@ -188,8 +188,9 @@ class Members:
         return out
 
 
-def reader(chunk: int = CHUNK):
-    """Arrow function: (file) -> the chunk rows of its records, column by column as in CHUNKS."""
+def reader(chunk: int = CHUNK, payload: bool = True):
+    """Arrow function: (file) -> the chunk rows of its records, column by column as in CHUNKS; without `payload` only the
+    last row of each record, and its bytes are counted and digested but not kept."""
 
     def fields(block: bytes) -> dict[str, str]:
         lines = block.decode("utf-8").split("\r\n")
@@ -213,13 +214,13 @@ def reader(chunk: int = CHUNK):
                     data, need = [], min(chunk, left)
                     while need:
                         x = m.some(need)
-                        data.append(x)
-                        need -= len(x)
-                    data = b"".join(data)
-                    left -= len(data)
-                    sha.update(data)
-                    crc, so_far = binascii.crc32(data, crc), so_far + len(data)
-                    yield (*same, no, data, so_far, crc, None if left else base64.b32encode(sha.digest()).decode(), not left)
+                        sha.update(x)
+                        crc, so_far = binascii.crc32(x, crc), so_far + len(x)
+                        need, left = need - len(x), left - len(x)
+                        if payload:
+                            data.append(x)
+                    if payload or not left:
+                        yield (*same, no, b"".join(data) if payload else None, so_far, crc, None if left else base64.b32encode(sha.digest()).decode(), not left)
                     no += 1
                     if not left:
                         break
@@ -237,8 +238,8 @@ def reader(chunk: int = CHUNK):
             for name in b.column(0).to_pylist():
                 for r in records(name):
                     rows.append(r)
-                    held += len(r[9])
-                    if held >= 8 << 20 or len(rows) >= 5000:
+                    held += len(r[9] or b"")
+                    if held >= 2 << 20 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, held = [], 0
         if rows:
@@ -247,10 +248,11 @@ def reader(chunk: int = CHUNK):
     return run
 
 
-def read_archives(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of the manifest's archives: one row per chunk, in order within a record."""
-    n = parts(manifest.sparkSession)
-    return manifest.select("file").repartition(n, "file").mapInArrow(reader(chunk), CHUNKS)
+def read_archives(manifest: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
+    """The chunked record table of the manifest's archives: one row per chunk, in order within a record; without
+    `payload` the last row of each record, `chunk` being null."""
+    n = max(parts(manifest.sparkSession), manifest.count())  # a file is at most about ROLL bytes
+    return manifest.select("file").repartition(n, "file").mapInArrow(reader(chunk, payload), CHUNKS)
 
 
 def round_trip(pages: DataFrame, id_col="page_id", payload_col="html", url_col: str | None = "url", least=0) -> DataFrame:
@@ -268,7 +270,7 @@ def round_trip(pages: DataFrame, id_col="page_id", payload_col="html", url_col:
     """
     spark = pages.sparkSession
     manifest = write_archives(pages, fresh_path(spark, "warc"), id_col, payload_col, url_col, least)
-    ends = read_archives(manifest).filter("last").drop("chunk")
+    ends = read_archives(manifest, payload=False)
     response = F.col("record_type") == "response"
     return ends.select(
         F.col("page_id").cast(pages.schema[id_col].dataType).alias("page_id"),
