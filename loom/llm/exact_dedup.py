@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import WHITE, parts, text_of, written
+from loom.llm.common import WHITE, named, parts_for, text_of, written
 
 FAN_BITS = 3
 RUN = ["xd_range", "xd_run", "xd_sha", "xd_len", "xd_check"]
@@ -73,16 +73,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     text = text_of(text_col)
     bare = F.translate(text, WHITE, "")
-    n = parts(spark)
     ids = docs.schema[id_col].dataType
     # the row number is fixed by being written: it tells repeated rows apart
     rows = docs.select(
-        F.col(id_col).cast("long").alias("xd_id"), F.length(text).alias("xd_chars"), bare.alias("xd_bare"),
+        named(id_col).cast("long").alias("xd_id"), F.length(text).alias("xd_chars"), bare.alias("xd_bare"),
     ).select(
         "xd_id", "xd_chars", F.unhex(F.sha2("xd_bare", 256)).alias("xd_sha"), F.length("xd_bare").alias("xd_len"), F.xxhash64("xd_bare").alias("xd_check"),
         F.monotonically_increasing_id().alias("xd_uid"),
     )
     rows = written(rows, "digests")
+    n = parts_for(spark, 100 * rows.count())  # a row of a run has about 100 bytes
     digest_range = F.pmod(F.conv(F.hex(F.substring("xd_sha", 1, 4)), 16, 10).cast("long"), F.lit(8 * n)).cast("int")
     runs = rows.select(
         digest_range.alias("xd_range"), F.shiftright("xd_uid", 33).alias("xd_run"), "xd_sha", "xd_len", "xd_check", "xd_chars",

@@ -41,16 +41,24 @@ def line_dedup(
     input other than the text pass through; those named n_lines or n_dropped are replaced.
     """
     out = _kept(docs, id_col, text_col, min_chars, min_docs, broadcast_lines)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = [F.col(f"__ld_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]
     return out.select(*own, F.col("__ld_lines").alias("n_lines"), F.col("__ld_dropped").alias("n_dropped"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with the kept texts, all other columns as they were, whatever their names."""
-    return _kept(docs, id_col, text_col, min_chars, min_docs, BROADCAST_LINES).select(*docs.columns)
+    """docs with the kept texts, all other columns as they were, whatever their names.
+
+    Defined cases: as in `line_dedup`; a document that loses all its lines stays, with an empty text, and a null
+    text becomes empty.
+    """
+    out = _kept(docs, id_col, text_col, min_chars, min_docs, BROADCAST_LINES)
+    return out.select(*[F.col(f"__ld_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, broadcast_lines: int) -> DataFrame:
+    """__ld_c0, __ld_c1, ... (the columns of docs by position, the text being the kept one), __ld_lines, __ld_dropped."""
+    place = {c: f"__ld_c{i}" for i, c in enumerate(docs.columns)}
+    docs, id_col, text_col = docs.toDF(*place.values()), place[id_col], place[text_col]
     text = text_of(text_col)
     # equal (id, text) rows have equal decisions, so the pair of id and text hash finds them again
     mark = [F.col(id_col).alias("__ld_id"), F.xxhash64(text).alias("__ld_h"), F.length(text).alias("__ld_n")]

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loom.llm.common import WHITE_CLASS, global_index, text_of, word_count, written
+from loom.llm.common import WHITE_CLASS, global_index, named, text_of, word_count, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 ROWS_PER_RANGE, MOST_RANGES = 1024, 65_536
@@ -62,11 +62,11 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 def _mix(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, seed, weights, share, most) -> DataFrame:
     """mx_c0, mx_c1, ... (the columns `carry`, the id first), mx_size, source_size, target, mx_taken."""
     text = text_of(text_col)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), text))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), named(id_col).cast("string"), text))
     size = word_count(text)
-    source = F.col(source_col)
+    source = named(source_col).cast("string")
     made = [F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("mx_key"), source.alias("mx_source"), size.alias("mx_size"), key.alias("mx_hash")]
-    rows = docs.select(*[F.col(c).alias(f"mx_c{i}") for i, c in enumerate(carry)], *made)
+    rows = docs.select(*[named(c).alias(f"mx_c{i}") for i, c in enumerate(carry)], *made)
     slim = text_col not in carry
     if slim:  # texts stay behind: one pass over them, then both uses read a few bytes a row
         rows = written(rows, "sizes")
@@ -91,7 +91,11 @@ def _mix(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_c
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=0, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The mix itself: each document as often as it is taken, its columns as they were, whatever their names.
-    A document cut short at a budget keeps its first words, joined by single spaces."""
+    A document cut short at a budget keeps its first words, joined by single spaces.
+
+    Defined cases: as in `mix`; a document without words is never taken, so it goes; repeated rows are documents
+    of their own; an empty table gives an empty one.
+    """
     own = docs.columns
     carry = [id_col, *[c for c in own if c != id_col]]
     place = {c: f"mx_c{i}" for i, c in enumerate(carry)}
