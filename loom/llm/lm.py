@@ -7,10 +7,12 @@ log-probabilities over all its words.
 
 Everything is gathered from all documents. Word counts are summed over the whole corpus; the CLASSES * SIZE
 words of highest count, less the buckets, are the vocabulary, and other words fall into buckets by their
-last bytes and length. A word's place in its document is its phase of MASK; the phases are dealt out to the
-epochs, so that every word of every document is masked in one of them. In each epoch, each partition trains
-from the shared parameters, and the partitions' parameters are averaged by their numbers of masked words, in
-rounds of FAN. Only parameters, whose size is fixed, come to the driver and go out again.
+last bytes and length. Documents are written once as word numbers, and dealt into shards by a hash of id and
+text, in the order of that hash; how many shards depends on the number of words alone, so parameters and scores
+don't depend on how the input is partitioned. A word's place in its document is its phase of MASK; the phases
+are dealt out to the epochs, so that every word of every document is masked in one of them. In each epoch, each
+shard trains from the shared parameters, and the shards' parameters are averaged by their numbers of masked
+words, in rounds of FAN. Only parameters, whose size is fixed, come to the driver and go out again.
 
 A word in a bucket has the bucket's probability times its share of the bucket's count. The shares of up to
 KNOWN words of highest count are sent to all executors; the others, which are rare and so never crowd a key,
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import text_of, written
-from loom.llm.words import Words, grouped, mix
+from loom.llm.common import named, slices, text_of, texts_of, written
+from loom.llm.words import LONG, Words, cuts, grouped, mix
 
 WINDOW, DIMS, CLASSES, SIZE, BUCKETS = 2, 16, 64, 64, 512
-MASK, EPOCHS, BATCH, RATE, FAN = 16, 2, 2048, 0.15, 64
+MASK, EPOCHS, BATCH, RATE, FAN = 16, 2, 8192, 0.25, 64
+#: Words that are shuffled together; words of a shard, for parallel work on little data and at most.
+GROUP, LEAST_SHARD, MOST_SHARD, SPREAD = 1 << 18, 1 << 20, 1 << 24, 64
 VOCABULARY = CLASSES * SIZE
 KNOWN = 1 << 20
 #: Stands before the first and after the last word of a text.
@@ -46,6 +50,17 @@ def keys(w: Words) -> np.ndarray:
     return (w.hashes() & ~low) | (shape & low)
 
 
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all words, where each text's begin and end); a long text is split a piece at a time."""
+    found, counts = [np.zeros(0, np.uint64)], [0]
+    for t0, t1 in grouped(texts, LONG):
+        pieces = [texts[t0:t1]] if len(texts[t0]) <= LONG else [[texts[t0][a:z]] for a, z in cuts(texts[t0], LONG)]
+        some = [Words(x) for x in pieces]
+        found += [keys(w) for w in some]
+        counts += np.diff(some[0].first).tolist() if len(some) == 1 else [sum(len(w.start) for w in some)]
+    return np.concatenate(found), np.cumsum(counts)
+
+
 def count_words(most: int = 1 << 21):
     """Arrow function: (text) -> (hash, count) by `keys`, summed in pieces of bounded size."""
 
@@ -60,19 +75,17 @@ def count_words(most: int = 1 << 21):
         held: list = []
         size = 0
         out = lambda h, c: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "n"])
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for a, z in grouped(texts):
-                h, c = np.unique(keys(Words(texts[a:z])), return_counts=True)
-                if len(h):
-                    held.append((h, c))
-                    size += len(h)
-                if size > most:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > most // 2:
-                        yield out(*held[0])
-                        held, size = [], 0
+        for b in slices(batches):
+            h, c = np.unique(keys_of(texts_of(b.column(0)))[0], return_counts=True)
+            if len(h):
+                held.append((h, c))
+                size += len(h)
+            if size > most:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield out(*held[0])
+                    held, size = [], 0
         if held:
             yield out(*merged(held))
 
@@ -179,7 +192,6 @@ class Window:
         h = np.ascontiguousarray(self.hidden(ids, place).T)
         d = self.softmax(p["C"].T @ h + p["c"][:, None])
         d[k, column] -= 1
-        d /= n
         grad = {"C": h @ d.T, "c": d.sum(1), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         dh = p["C"] @ d
         d = p["w"].T[:, k]
@@ -187,7 +199,6 @@ class Window:
             d[:, ends[g] : ends[g + 1]] += p["W"][g].T @ h[:, ends[g] : ends[g + 1]]
         d = self.softmax(d)
         d[j, column] -= 1
-        d /= n
         grad["w"][some] = np.add.reduceat(d, ends[some], axis=1).T
         for g in some:
             own = slice(ends[g], ends[g + 1])
@@ -197,7 +208,8 @@ class Window:
         grad["e"] = dh.sum(1)
         dh = np.ascontiguousarray(dh.T)
         for name, x in grad.items():
-            self.apply(name, x, rate, memory)
+            self.apply(name, x / np.float32(n), rate, memory)
+        dh /= n
         for o, off in enumerate(OFFSETS):
             c = ids[place + off].astype(np.int16)  # EDGE is the largest; sorted by digits
             order = np.argsort(c, kind="stable")
@@ -230,31 +242,49 @@ def masked(inside: np.ndarray, epoch: int, epochs: int) -> np.ndarray:
     return inside % MASK % turns == epoch % turns
 
 
-def trained(vocabulary, flat, epoch: int, epochs: int):
-    """Arrow function: (text) -> one row (group, run, weight, parameters): a partition's share of an epoch."""
+def shards_of(words: int) -> int:
+    """How many shards so many words make."""
+    return max(1, -(-words // MOST_SHARD), min(SPREAD, -(-words // LEAST_SHARD)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, net = Vocabulary(vocabulary.value), Window.of(flat.value)
-        memory = {k: np.full(s, 1e-8, np.float32) for k, s in Window.SHAPES.items()}
-        r = np.random.default_rng(TaskContext.get().partitionId())
-        seen = 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for a, z in grouped(texts):
-                w = Words(texts[a:z])
-                if not len(w.start):
-                    continue
-                ids, place = padded(words(w), w.first)
-                inside = np.arange(len(place)) - np.repeat(w.first[:-1], np.diff(w.first))
-                targets = r.permutation(place[masked(inside, epoch, epochs)])
+def trained(flat, epoch: int, epochs: int):
+    """Arrow function: rows (shard, ids) in the order of their shards -> one row (group, run, weight, parameters) for each
+    shard, its share of an epoch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, net, memory, seen, held, size = None, None, {}, 0, [], 0
+
+        def learn() -> None:
+            nonlocal seen, held, size
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            if first[-1]:
+                ids, place = padded(np.concatenate(held), first)
+                inside = np.arange(len(place)) - np.repeat(first[:-1], np.diff(first))
+                targets = np.random.default_rng([now, seen]).permutation(place[masked(inside, epoch, epochs)])
                 for s in range(0, len(targets), BATCH):
                     some = targets[s : s + BATCH]
                     net.step(ids, some, RATE / (1 + epoch) * min(1.0, len(some) / BATCH + 0.1), memory)
                 seen += len(targets)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]), pa.array([net.flat().tobytes()], pa.binary())], names=["g", "run", "weight", "p"])
+            held, size = [], 0
+
+        def model() -> Iterator[pa.RecordBatch]:
+            learn()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([now]), pa.array([float(seen)]), pa.array([net.flat().tobytes()], pa.binary())], names=["g", "run", "weight", "p"])
+
+        for b in slices(batches):
+            for shard, ids in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if shard != now:
+                    if now is not None:
+                        yield from model()
+                    now, net, seen = shard, Window.of(flat.value), 0
+                    memory = {k: np.full(s, 1e-8, np.float32) for k, s in Window.SHAPES.items()}
+                held.append(np.frombuffer(ids, np.int16).astype(np.int32))
+                size += len(held[-1])
+                if size >= GROUP:
+                    learn()
+        if now is not None:
+            yield from model()
 
     return run
 
@@ -263,7 +293,8 @@ MODEL = "g long, run long, weight double, p binary"
 
 
 def averaged(t: pa.Table) -> pa.Table:
-    """Group function: the weighted mean of up to FAN parameter rows."""
+    """Group function: the weighted mean of up to FAN parameter rows, in the order of their runs."""
+    t = t.sort_by("run")
     weight = np.array(t.column("weight").to_pylist())
     total = np.zeros(len(t.column("p")[0].as_py()) // 4)
     for w, p in zip(weight, t.column("p")):
@@ -301,17 +332,49 @@ def shares(counts: DataFrame, vocabulary: np.ndarray, known: int) -> tuple[np.nd
     return h, np.log(n / total[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]), rest, -float(np.log(total.sum()))
 
 
-def train(texts: DataFrame, epochs: int = EPOCHS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the vocabulary by falling count, flat parameters), from all rows of a one-column DataFrame; counts:
-    what `counted` gives for it."""
-    spark = texts.sparkSession
-    counts = counted(texts) if counts is None else counts
+def vocabulary_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes of the vocabulary by falling count, their counts, the number of all words)."""
     top = counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY - BUCKETS).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
+    return np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], float), total
+
+
+def encoder(vocabulary, known=None):
+    """Arrow function: (id, key, text) -> (id, key, ids, more, rest): the word numbers as 16-bit integers; with `known`, a
+    broadcast of hashes and shares, the sum of the shares of words in buckets and the hashes of those that aren't known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(vocabulary.value)
+        for b in slices(batches):
+            h, first = keys_of(texts_of(b.column(2)))
+            ids = words.of(h)
+            more, rest, ends = np.zeros(b.num_rows), np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
+            if known is not None:
+                at = np.flatnonzero(ids >= words.buckets)
+                found, share = shared(known.value, h[at])
+                text = np.searchsorted(first, at, side="right") - 1
+                more = np.bincount(text[found], share, b.num_rows)
+                rest, ends = h[at[~found]], np.searchsorted(at[~found], first)
+            ids = ids.astype(np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([ids[a:z].tobytes() for a, z in zip(first, first[1:])], pa.binary()), pa.array(more, pa.float64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rest.view(np.int64)))],
+                names=["lm_id", "lm_key", "ids", "more", "rest"],
+            )
+
+    return run
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary, known=None) -> DataFrame:
+    """What `encoder` makes of docs, written; lm_key is a hash of id and text."""
+    text = text_of(text_col)
+    given = docs.select(named(id_col).alias("lm_id"), F.xxhash64(named(id_col), text).alias("lm_key"), text.alias("lm_text"))
+    return written(given.mapInArrow(encoder(vocabulary, known), f"lm_id {docs.schema[id_col].dataType.simpleString()}, lm_key long, ids binary, more double, rest array<long>"), "encoded")
+
+
+def fitted(rows: DataFrame, known: np.ndarray, total: int, epochs: int) -> np.ndarray:
+    """Flat parameters, from rows (lm_key, ids); known: the counts of the vocabulary; total: the number of all words."""
     net = Window()
     # start the output biases at the words' shares
-    known = np.array([r["n"] for r in top], float)
     share = np.full(VOCABULARY, 1.0)
     share[: len(known)] += known
     share[VOCABULARY - BUCKETS :] += (total - known.sum()) / BUCKETS
@@ -319,62 +382,50 @@ def train(texts: DataFrame, epochs: int = EPOCHS, counts: DataFrame | None = Non
     share = share.reshape(CLASSES, SIZE)
     net.p["c"][:] = np.log(share.sum(1))
     net.p["w"][:] = np.log(share / share.sum(1, keepdims=True))
-    flat, vocabulary = net.flat(), spark.sparkContext.broadcast(hashes)
+    flat, shards = net.flat(), shards_of(int(total))
+    if epochs:  # each shard is a partition of its own
+        shard = F.pmod(F.col("lm_key"), F.lit(shards)).cast("int")
+        rows = rows.select(shard.alias("shard"), "lm_key", "ids").filter(F.octet_length("ids") > 0)
     for epoch in range(epochs):
-        now = spark.sparkContext.broadcast(flat)
-        rows = written(texts.mapInArrow(trained(vocabulary, now, epoch, epochs), MODEL), "models")
-        n = (rows.agg(F.max("run")).first()[0] or 0) + 1
+        now = rows.sparkSession.sparkContext.broadcast(flat)
+        own = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "lm_key", "ids").select("shard", "ids")
+        models, n = written(own.mapInArrow(trained(now, epoch, epochs), MODEL), "models"), shards
         while True:
-            rows = rows.withColumn("run", F.floor(F.col("run") / FAN).cast("long")).groupBy("g", "run").applyInArrow(averaged, MODEL)
+            models = models.withColumn("run", F.floor(F.col("run") / FAN).cast("long")).groupBy("g", "run").applyInArrow(averaged, MODEL)
             n = -(-n // FAN)
             if n <= 1:
                 break
-        got = rows.collect()  # one row
-        if not got:
-            continue
-        flat = np.frombuffer(got[0]["p"], np.float32)
-    return hashes, flat
+        got = models.collect()  # one row
+        if got:
+            flat = np.frombuffer(got[0]["p"], np.float32)
+    return flat
+
+
+def train(docs: DataFrame, id_col="doc_id", text_col="text", epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the vocabulary by falling count, flat parameters), from all rows."""
+    hashes, known, total = vocabulary_of(counted(docs.select(text_of(text_col).alias("lm_text"))))
+    rows = encoded(docs, id_col, text_col, docs.sparkSession.sparkContext.broadcast(hashes))
+    return hashes, fitted(rows, known, total, epochs)
 
 
-def scored(vocabulary, flat, known=None):
-    """Arrow function: (id, text) -> (id, n_tokens, score). With `known`, a broadcast of hashes and shares, words in
-    buckets add their shares, and two columns follow: a number of the row, and hashes of words that aren't known."""
+def scored(flat):
+    """Arrow function: (id, more, rest, ids) -> (id, n_tokens, score, row, rest): the sum of the words' log-probabilities,
+    with `more` added, and a number of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, net = Vocabulary(vocabulary.value), Window.of(flat.value)
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            n, total, rest, rests = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, int)]
-            for a, z in grouped(texts):
-                w = Words(texts[a:z])
-                count, missing = np.diff(w.first), np.zeros(z - a, int)
-                sums = np.zeros(len(count))
-                if len(w.start):
-                    h = keys(w)
-                    own = words.of(h)
-                    ids, place = padded(own, w.first)
-                    scores = net.log_probabilities(ids, place)
-                    if known is not None:
-                        at = np.flatnonzero(own >= words.buckets)
-                        found, share = shared(known.value, h[at])
-                        scores[at[found]] += share
-                        rest.append(h[at[~found]])
-                        missing = np.diff(np.searchsorted(at[~found], w.first))
-                    scores = np.concatenate([[0.0], np.cumsum(scores)])
-                    sums = scores[w.first[1:]] - scores[w.first[:-1]]
-                n.append(count)
-                total.append(sums)
-                rests.append(missing)
-            columns = {"n_tokens": pa.array(np.concatenate(n).astype(np.int64)), "score": pa.array(np.concatenate(total))}
-            if known is not None:
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(rests))])
-                columns["row"] = pa.array(row + np.arange(len(texts)))
-                columns["rest"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(rest).view(np.int64)))
-                row += len(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns.values()], names=[*b.schema.names[:-1], *columns])
+        net, row = Window.of(flat.value), TaskContext.get().partitionId() << 33
+        for b in slices(batches, most=1 << 19):
+            own = [np.frombuffer(x, np.int16) for x in b.column(3).to_pylist()]
+            count = np.array([len(x) for x in own], np.int64)
+            first = np.concatenate([[0], np.cumsum(count)])
+            ids, place = padded(np.concatenate(own), first)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probabilities(ids, place))])
+            score = sums[first[1:]] - sums[first[:-1]] + b.column(1).to_numpy()
+            columns = {"lm_id": b.column(0), "n_tokens": pa.array(count), "score": pa.array(score), "row": pa.array(row + np.arange(len(own))), "rest": b.column(2)}
+            row += len(own)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -397,24 +448,25 @@ def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text", epochs:
     empty one; other columns play no part. Words outside the vocabulary are predicted as their buckets; `within` adds
     log(count of the word / count of its bucket's words), so that the score is that of the words themselves
     (a word that was never counted, which rows that stay the same don't have, counts as one of all words in
-    buckets). `known` bounds the words whose shares are broadcast, and changes no result. The parameters depend
-    on how the input is cut into partitions, as averaging does.
+    buckets). `known` bounds the words whose shares are broadcast, and changes no result. Scores don't depend on how
+    the input is cut into partitions.
     """
-    texts = docs.select(text_of(text_col).alias("lm_text"))
-    counts = counted(texts)
-    hashes, flat = train(texts, epochs, counts)
     sc = docs.sparkSession.sparkContext
-    given = docs.select(F.col(id_col).alias("lm_id"), text_of(text_col).alias("lm_text"))
-    schema = f"lm_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double"
+    counts = counted(docs.select(text_of(text_col).alias("lm_text")))
+    hashes, frequent, total = vocabulary_of(counts)
+    others, unseen, held = None, 0.0, None
     if within:
         h, share, others, unseen = shares(counts, hashes, known)
-        out = given.mapInArrow(scored(sc.broadcast(hashes), sc.broadcast(flat), sc.broadcast((h, share))), f"{schema}, row long, rest array<long>")
+        held = sc.broadcast((h, share))
+    rows = encoded(docs, id_col, text_col, sc.broadcast(hashes), held)
+    flat = sc.broadcast(fitted(rows, frequent, total, epochs))
+    schema = f"lm_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double, row long, rest array<long>"
+    out = rows.select("lm_id", "more", "rest", "ids").mapInArrow(scored(flat), schema)
+    if within:
         out = written(out, "scores")
         rest = out.select("row", F.explode("rest").alias("hash")).join(others, "hash", "left")
-        rest = rest.groupBy("row").agg(F.sum(F.coalesce("share", F.lit(unseen))).alias("more"))
-        out = out.drop("rest").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-    else:
-        out = given.mapInArrow(scored(sc.broadcast(hashes), sc.broadcast(flat)), schema)
+        rest = rest.groupBy("row").agg(F.sum(F.coalesce("share", F.lit(unseen))).alias("lacking"))
+        out = out.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("lacking", F.lit(0.0)))
     return out.select(F.col("lm_id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 

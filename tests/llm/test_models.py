@@ -130,7 +130,7 @@ def test_pseudo_likelihood_equals_brute_force(spark):
     docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", F.lit(1).alias("score"), F.lit(2).alias("n_tokens"))
     extra = spark.createDataFrame([(900, None, 1, 2), (901, "", 1, 2), (None, "one", 1, 2), (902, "one", 1, 2), (902, "one", 1, 2)], docs.schema)
     docs = docs.unionByName(extra).coalesce(3).cache()
-    hashes, flat = lm.train(docs.select(F.coalesce("text", F.lit("")).alias("lm_text")))
+    hashes, flat = lm.train(docs)
     got = {r.doc_id: r for r in lm.pseudo_likelihood(docs).collect()}
     assert got[900].score == got[901].score == 0 and got[900].mean_score is None and got[900].n_tokens == 0
     assert got[902].score == got[None].score < 0
@@ -160,6 +160,13 @@ def test_pseudo_likelihood_equals_brute_force(spark):
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_scores_dont_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_SHARD", 2000)
+    docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    runs = [{r.doc_id: r.score for r in lm.pseudo_likelihood(docs.repartition(n, "text"), within=True).collect()} for n in (1, 7)]
+    assert runs[0].keys() == runs[1].keys() and all(np.isclose(runs[0][i], runs[1][i], rtol=1e-6) for i in runs[0])
+
+
 def test_training_raises_the_likelihood(spark):
     rows = [(i, " ".join(["red", "blue", "green"][(i + k) % 3] for k in range(60))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
@@ -193,13 +200,14 @@ def test_every_word_is_a_target_once(spark):
     words = sum(len(r.lm_text.encode().split()) for r in texts.collect())
     sc, net = spark.sparkContext, lm.Window()
     vocabulary, flat = sc.broadcast(np.zeros(0, np.uint64)), sc.broadcast(net.flat())
-    seen = [texts.mapInArrow(lm.trained(vocabulary, flat, e, 2), lm.MODEL).agg(F.sum("weight")).first()[0] for e in range(2)]
+    rows = lm.encoded(texts, "lm_text", "lm_text", vocabulary).select(F.lit(0).alias("shard"), "ids")
+    seen = [rows.mapInArrow(lm.trained(flat, e, 2), lm.MODEL).agg(F.sum("weight")).first()[0] for e in range(2)]
     assert sum(seen) == words and min(seen) > 0.4 * words
 
 
 def test_words_at_edges_are_learned(spark):
     docs = spark.createDataFrame([(i, "red" if i % 4 else "blue") for i in range(400)], "doc_id long, text string").coalesce(2)
-    _, flat = lm.train(docs.select(F.col("text").alias("lm_text")))
+    _, flat = lm.train(docs)
     before, after = lm.Window(), lm.Window.of(flat)
     assert all((after.p["E"][k][lm.EDGE] != before.p["E"][k][lm.EDGE]).any() for k in range(len(lm.OFFSETS)))
 
@@ -208,7 +216,7 @@ def test_words_in_buckets_have_their_shares(spark):
     docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(900, None), (None, "zyxwvut zyxwvut abczyxwvut"), (901, "zyxwvut")], docs.schema)).coalesce(2).cache()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    hashes, _ = lm.train(docs.select(F.coalesce("text", F.lit("")).alias("lm_text")), epochs=0)
+    hashes, _ = lm.train(docs, epochs=0)
     keys = {i: lm.keys(Words([t])).tolist() for i, t in texts.items()}
     count, vocabulary = Counter(h for own in keys.values() for h in own), set(hashes.tolist())
     total = Counter()
