@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters look at a document and say toxic, clean, or nothing: one voter for each term of a mined lexicon,
-pattern voters over seed insults, shouting and word beginnings, one for the absence of all of these, and
-the annotators' label as one more voter. A generative label model fits each voter's accuracy without
-taking any voter for the truth (expectation maximisation over the unknown class) and the correlations
-of voters within a class; correlated voters share their say. A linear classifier is trained on the
-model's posterior labels and scores every document.
+Voters look at a document and say toxic or nothing: one voter for each term of a mined lexicon (words and word
+beginnings that training rows labelled toxic hold far more often than others, and seed insults), and pattern
+voters over shouting and exclamation. A generative label model sees only their votes, on labelled and unlabelled
+training rows alike: expectation maximisation over the unknown class estimates how often each voter speaks in
+either class, and the correlations of voters within the classes; voters that nearly always speak together share
+their say. The annotators' labels choose which of the two classes is toxic, and are otherwise no part of it. A
+linear classifier is trained on the model's posterior labels and scores every document.
 
 What learning needs is gathered on the executors: term counts of a bounded sample of labelled training
 rows, then one row of bits per sampled document. Scoring reads whole texts, a stream of Arrow batches.
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import text_of, written
-from loom.llm.labelled import MOST_PER_CLASS, held_out, logistic, sigmoid, training_rows
+from loom.llm.common import named, slices, text_of, texts_of, written
+from loom.llm.labelled import MOST_PER_CLASS, held_out, logistic, sigmoid, training_rows, unlabelled_rows
 
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 TERMS, VOTERS, LEAST_DOCS = 1500, 200, 4
+#: A term is a voter if the logarithm of how much oftener toxic rows hold it is over LIFT, SURE standard errors below its estimate.
+LIFT, SURE = 1.5, 1.64
 #: A short list of common insults, the seed lexicon.
 SEEDS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown fool jerk imbecile dummkopf trottel abschaum widerlich estúpido imbécil basura asqueroso crétin connard ordure minable".split()
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
@@ -46,7 +49,7 @@ def terms_of(chunk: str) -> tuple[str, ...]:
 class Terms:
     """Terms of texts by way of a bounded cache of chunks; with a lexicon, the places of its terms."""
 
-    def __init__(self, lexicon: dict[str, int] | None = None, most: int = 300_000):
+    def __init__(self, lexicon: dict[str, int] | None = None, most: int = 150_000):
         self.lexicon, self.most, self.known = lexicon, most, {}
 
     def __call__(self, text: str) -> set:
@@ -84,9 +87,9 @@ def count_terms(most: int = 500_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, by = Terms(), (Counter(), Counter())
-        for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by[label].update(terms(text))
+        for b in slices(batches, 0):
+            for text, label in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
+                by[label].update(terms(text.decode("utf-8", "replace")))
                 if len(by[0]) + len(by[1]) > most:
                     yield batch(by[1], by[0])
                     by = (Counter(), Counter())
@@ -101,9 +104,10 @@ def bits_of(lexicon: dict[str, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(lexicon)
-        for b in batches:
+        for b in slices(batches, 0):
             bits, dense = [], []
-            for text in b.column(0).to_pylist():
+            for raw in texts_of(b.column(0)):
+                text = raw.decode("utf-8", "replace")
                 row = np.zeros(len(lexicon), np.uint8)
                 row[list(terms(text))] = 1
                 bits.append(np.packbits(row).tobytes())
@@ -116,148 +120,164 @@ def bits_of(lexicon: dict[str, int]):
 class LabelModel:
     """Votes in {-1 clean, 0 silent, 1 toxic} -> posterior of toxic.
 
-    For each voter and class the probabilities of its three votes; `prior` of the classes; `share`, by
-    which a voter's log-likelihood ratio counts: 1 / (1 + its summed correlations with the others within
-    the classes), so that ten voters that always speak together count about as one.
+    `table`: for each class the probabilities of a voter's three votes; `prior` of toxic; `share`, by which a
+    voter's log-likelihood ratio counts: 1 / (1 + its correlations with other voters within the classes, those
+    above TOGETHER), so that ten voters that always speak together count about as one; `accuracy`: how often a
+    voter that speaks is right. A voter's word is never evidence against what it says."""
 
-    Left alone, the two classes drift to whatever splits the votes best, such as languages; so the last
-    voter, the annotators, keeps the error rate `error` in either class and its full share."""
+    TOGETHER = 0.9
 
-    def __init__(self, rounds: int = 12, error: float = 0.03):
-        self.rounds, self.error = rounds, error
+    def __init__(self, rounds: int = 40, every: int = 10):
+        self.rounds, self.every = rounds, every
 
     def fit(self, votes: np.ndarray, start: np.ndarray, weight: np.ndarray) -> "LabelModel":
-        kinds = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
-        post = start.astype(np.float64)
-        self.share = np.ones(votes.shape[1])
+        """start: a first guess of the posterior, such as the majority's word."""
+        said = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
+        post = start
         for r in range(self.rounds):
-            self.prior = float(np.clip((weight * post).sum() / weight.sum(), 1e-3, 1 - 1e-3))
-            self.table = np.zeros((2, 3, votes.shape[1]))
-            for y, p in ((0, 1 - post), (1, post)):
-                w = (weight * p).astype(np.float32)
-                for k, kind in enumerate(kinds):
-                    self.table[y, k] = (w @ kind + 0.5) / (w.sum() + 1.5)
-            self.table[:, :, -1] = [[1 - self.error, 1, self.error], [self.error, 1, 1 - self.error]]
-            if r in (0, self.rounds // 2):
-                self.share[:-1] = 1 / (1 + self.correlations(votes[:, :-1], post, weight))
-            post = self.posterior(votes)
-        hit = self.table[1, 2] * self.prior + self.table[0, 0] * (1 - self.prior)
-        miss = self.table[0, 2] * (1 - self.prior) + self.table[1, 0] * self.prior
-        self.accuracy = hit / np.maximum(hit + miss, 1e-12)
+            by_class = np.stack([weight * (1 - post), weight * post])
+            size = by_class.sum(1)
+            self.prior = float(np.clip(size[1] / size.sum(), 1e-3, 1 - 1e-3))
+            self.table = np.stack([(by_class @ x + 0.5) / (size[:, None] + 1.5) for x in said], 1)
+            if r % self.every == 0:
+                self.correlation = sum(p.sum() / size.sum() * self._within(votes, p) for p in by_class if p.sum() >= 1)
+                np.fill_diagonal(self.correlation, 0)
+                self.share = 1 / (1 + np.where(self.correlation > self.TOGETHER, self.correlation, 0).sum(1))
+            post = self._posterior(said)
+        joint = self.table * np.array([1 - self.prior, self.prior])[:, None, None]
+        right = joint[0, 0] + joint[1, 2]
+        self.accuracy = right / (right + joint[0, 2] + joint[1, 0])
         return self
 
-    def correlations(self, votes: np.ndarray, post: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Each voter's sum of positive correlations with the others, within the classes."""
-        total = np.zeros((votes.shape[1],) * 2)
-        for p in (post, 1 - post):
-            w = weight * p
-            if w.sum() < 1:
-                continue
-            mean = w @ votes / w.sum()
-            x = (votes - mean) * np.sqrt(w / w.sum())[:, None]
-            cov = x.T @ x
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            total += w.sum() / weight.sum() * cov / np.outer(sd, sd)
-        np.fill_diagonal(total, 0)
-        return np.where(total > 0.2, total, 0).sum(1)
+    @staticmethod
+    def _within(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Correlations of the votes of rows that count p."""
+        x = votes - p @ votes / p.sum()
+        cov = (x * (p / p.sum())[:, None]).T @ x
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+        return cov / np.outer(sd, sd)
+
+    def _posterior(self, said: list[np.ndarray]) -> np.ndarray:
+        clean, silent, toxic = np.log(self.table[1]) - np.log(self.table[0])
+        ratios = (np.minimum(clean, 0), silent, np.maximum(toxic, 0))
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + sum(x @ (r * self.share) for x, r in zip(said, ratios)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.table[1]) - np.log(self.table[0])
-        z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
-        for k, v in enumerate((-1, 0, 1)):
-            z += (votes == v).astype(np.float32) @ (ratio[k] * self.share)
-        return sigmoid(z)
+        return self._posterior([(votes == v).astype(np.float32) for v in (-1, 0, 1)])
+
 
+def oriented(posterior: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """The posterior, or its complement where labelled rows (gold 0 or 1, others -1) say the classes are exchanged."""
+    known = gold >= 0
+    return posterior if posterior[known & (gold == 1)].mean() >= posterior[known & (gold == 0)].mean() else 1 - posterior
 
-def learn(rows: DataFrame, counts: dict[int, int], n_terms=TERMS, n_voters=VOTERS) -> dict:
-    """Lexicon, linear classifier and label model from the training sample."""
+
+def learn(rows: DataFrame, counts: dict[int, int], unlabelled: DataFrame | None = None, n_terms=TERMS, n_voters=VOTERS) -> dict:
+    """Lexicon, linear classifier and label model from the training samples."""
     rows = written(rows.select("tr_text", "tr_label"), "train")
     seen = {r["tr_label"]: r["n"] for r in rows.groupBy("tr_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = seen.get(1, 0), seen.get(0, 0)
+    base = (n1 + 0.5) / (n1 + n0 + 1)
+    nothing = {"lexicon": {}, "w": np.zeros(DENSE), "b": float(np.log(base / (1 - base))), "voters": []}
     if not n1 or not n0:  # nothing to tell apart: the classes' share is all that is known
-        base = (n1 + 0.5) / (n1 + n0 + 1)
-        return {"lexicon": {}, "w": np.zeros(DENSE), "b": float(np.log(base / (1 - base))), "voters": []}
+        return nothing
     found = rows.mapInArrow(count_terms(), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     p1, p0 = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1)
     strength = (F.col("t") / n1 - F.col("c") / n0) * F.log(p1 / p0)  # symmetric information about the class
     found = found.filter(F.col("t") + F.col("c") >= LEAST_DOCS).withColumn("s", strength).orderBy(F.desc("s"), "term").limit(n_terms)
     found = found.collect()  # n_terms rows
-    terms = [r["term"] for r in found]
-    lexicon = {t: i for i, t in enumerate(terms)}
-    got = rows.mapInArrow(bits_of(lexicon), "label int, bits binary, dense array<double>").collect()  # 2 * MOST_PER_CLASS bounded rows
+    if not found:
+        return nothing
+    lexicon = {r["term"]: i for i, r in enumerate(found)}
+    t, c = (np.array([r[k] for r in found]) + 0.5 for k in "tc")
+    lift = np.log(t / n1) - np.log(c / n0) - SURE * np.sqrt(1 / t + 1 / c)
+    if unlabelled is not None:
+        rows = rows.unionByName(unlabelled.select("tr_text", F.lit(-1).alias("tr_label")))
+    got = rows.mapInArrow(bits_of(lexicon), "label int, bits binary, dense array<double>").collect()  # 4 * MOST_PER_CLASS bounded rows
     gold = np.array([r["label"] for r in got], np.int8)
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(lexicon)) for r in got]).astype(np.int8, copy=False)
     dense = np.array([r["dense"] for r in got], np.float32)
-    weight = np.where(gold == 1, (counts[1] or n1) / n1, (counts[0] or n0) / n0).astype(np.float64)
-    return fitted(terms, x, dense, gold, weight, n_voters) | {"lexicon": lexicon}
-
-
-def fitted(terms: list[str], x: np.ndarray, dense: np.ndarray, gold: np.ndarray, weight: np.ndarray, n_voters=VOTERS) -> dict:
-    """Voters, label model and linear classifier from the bits of the sample."""
-    n1, n0 = (gold == 1).sum(), (gold == 0).sum()
-    rate1, rate0 = x[gold == 1].mean(0), x[gold == 0].mean(0)
-    lift = np.log((rate1 + 0.5 / n1) / (rate0 + 0.5 / n0))
-    gain = (rate1 - rate0) * lift
-    toxic_terms = [i for i in np.argsort(-gain) if lift[i] > 1.5][: n_voters - 20]
-    clean_terms = [i for i in np.argsort(-gain) if lift[i] < -0.5][:16]
-    seeds = [i for i, t in enumerate(terms) if t in SEEDS]
-    stems = [i for i in toxic_terms if terms[i].endswith("*")]
-    some = lambda at: x[:, at].max(1) if at else np.zeros(len(x))
-    votes = {f"has {terms[i]}": x[:, i] for i in toxic_terms} | {f"clean {terms[i]}": -x[:, i] for i in clean_terms}
-    votes |= {
-        "seed lexicon": some(seeds), "word beginnings": some(stems), "shouting": np.where(dense[:, 0] > 0.5, 1, 0),
-        "exclamation": np.where(dense[:, 1] > 0.02, 1, 0), "no toxic term": -(some(toxic_terms) == 0).astype(np.float32),
-        "annotators": np.where(gold == 1, 1, -1),
-    }
-    names, votes = list(votes), np.stack(list(votes.values()), 1).astype(np.float32)
-    model = LabelModel().fit(votes, np.where(gold == 1, 0.95, 0.05), weight)
-    w, b = logistic(x, dense, model.posterior(votes), weight)
+    each = {0: max(n0, counts[0]) / n0, 1: max(n1, counts[1]) / n1}  # how many rows of its class a sampled one stands for
+    each[-1] = (each[0] * n0 + each[1] * n1) / (n0 + n1)
+    weight = np.array([each[int(k)] for k in gold])
+    return fitted(list(lexicon), lift, x, dense, gold, weight / weight.mean(), n_voters) | {"lexicon": lexicon}
+
+
+def votes_of(terms: list[str], lift: np.ndarray, x: np.ndarray, dense: np.ndarray, n_voters=VOTERS) -> tuple[list[str], np.ndarray]:
+    """(names of the voters, their votes): the first terms that are whose lift is over LIFT or that are in the seed lexicon, and patterns."""
+    chosen = [i for i, t in enumerate(terms) if lift[i] > LIFT or t in SEEDS][: n_voters - 2]
+    patterns = {"shouting": dense[:, 0] > 0.5, "exclamation": dense[:, 1] > 0.02}
+    return [*(f"has {terms[i]}" for i in chosen), *patterns], np.column_stack([x[:, chosen], *patterns.values()]).astype(np.float32)
+
+
+def fitted(terms: list[str], lift: np.ndarray, x: np.ndarray, dense: np.ndarray, gold: np.ndarray, weight: np.ndarray, n_voters=VOTERS) -> dict:
+    """Label model and linear classifier from the bits of the samples; gold: 0, 1, or -1 where there is no label."""
+    names, votes = votes_of(terms, lift, x, dense, n_voters)
+    model = LabelModel().fit(votes, np.where((votes > 0).any(1), 0.9, 0.05), weight)
+    w, b = logistic(x, dense, oriented(model.posterior(votes), gold), weight)
     return {"w": w, "b": b, "voters": list(zip(names, model.accuracy.tolist(), model.share.tolist()))}
 
 
-def scorer(model: dict):
-    lexicon, w, b = model["lexicon"], model["w"], model["b"]
+def scores(model: dict):
+    """texts (UTF-8) -> their scores, with a cache of chunks of its own."""
+    terms, w, b, k = Terms(model["lexicon"]), model["w"], model["b"], len(model["lexicon"])
+
+    def run(texts: list[bytes]) -> np.ndarray:
+        z = np.empty(len(texts))
+        for i, raw in enumerate(texts):
+            text = raw.decode("utf-8", "replace")
+            z[i] = b + w[list(terms(text))].sum() + w[k:] @ dense_of(text)
+        return sigmoid(z)
+
+    return run
+
+
+def scorer(model: dict, text_at: int, back: int):
+    """Arrow function: rows -> their first `back` columns and the score of the text in column `text_at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, k = Terms(lexicon), len(lexicon)
-        for batch in batches:
-            z = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                text = text or ""
-                z[i] = b + w[list(terms(text))].sum() + w[k:] @ dense_of(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigmoid(z))], names=[*batch.schema.names[:-1], "score"])
+        score = scores(model)
+        for b in slices(batches, text_at):
+            yield pa.RecordBatch.from_arrays([*b.columns[:back], pa.array(score(texts_of(b.column(text_at))))], names=[*b.schema.names[:back], "score"])
 
     return run
 
 
+def trained(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS) -> dict:
+    rows, counts = training_rows(docs, labels, label_col, folds, fold, id_col, text_col, most)
+    return learn(rows, counts, unlabelled_rows(docs, labels, label_col, folds, fold, id_col, text_col, 2 * most))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS, threshold=THRESHOLD) -> DataFrame:
     """The id with held_out (boolean), score (0 to 1) and predicted (int, score >= threshold).
 
-    Labels are learned from rows with crc32(id as text) mod `folds` other than `fold`, at most `most` of
-    either class by hash of the id; only the text is an input of the score.
+    Learned from rows with crc32(id as text) mod `folds` other than `fold`, by hash of the id: at most `most`
+    labelled ones of either class, and 2 * `most` without a label, whose votes alone are learned from; only the
+    text is an input of the score.
 
     Defined cases: null and empty texts are scored like any, by the intercept; a null id counts as held
-    out; without labels of both classes every score is the smoothed share of toxic labels; repeated rows
-    get equal scores; an empty table gives an empty one.
+    out; without labels of both classes, or without a term in LEAST_DOCS texts, every score is the smoothed share
+    of toxic labels; repeated rows get equal scores; an empty table gives an empty one; other columns play no part.
     """
-    out = _scored(docs, [id_col], labels, id_col, text_col, label_col, folds, fold, most)
-    held = held_out(F.col("tx_id"), folds, fold).alias("held_out")
-    return out.select(F.col("tx_0").alias(id_col), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = trained(docs, labels, id_col, text_col, label_col, folds, fold, most)
+    given = docs.select(named(id_col).alias("tx_id"), text_of(text_col).alias("tx_text"))
+    out = given.mapInArrow(scorer(model, 1, 1), f"tx_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return out.select(F.col("tx_id").alias(id_col), held_out(F.col("tx_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=FOLDS, fold=FOLD, most=MOST_PER_CLASS, threshold=THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns as they were, whose score is below the threshold."""
-    out = _scored(docs, docs.columns, labels, id_col, text_col, label_col, folds, fold, most)
-    return out.filter(F.col("score") < threshold).select(*[F.col(f"tx_{i}").alias(c) for i, c in enumerate(docs.columns)])
-
+    """The rows of docs, all columns as they were, whose score is below the threshold.
 
-def _scored(docs, keep: list[str], labels, id_col, text_col, label_col, folds, fold, most) -> DataFrame:
-    """tx_0, tx_1, ... (the columns `keep`), tx_id, score."""
-    rows, counts = training_rows(docs, labels, label_col, folds, fold, id_col, text_col, most)
-    model = learn(rows, counts)
-    given = docs.select(*[F.col(c).alias(f"tx_{i}") for i, c in enumerate(keep)], F.col(id_col).cast("string").alias("tx_id"), text_of(text_col).alias("tx_text"))
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]], "score double"])
-    return given.mapInArrow(scorer(model), schema)
+    Defined cases: as in `toxicity`; columns may have any names; each text travels to Python once.
+    """
+    model = trained(docs, labels, id_col, text_col, label_col, folds, fold, most)
+    given = docs.toDF(*[f"tx_{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        given, at = given.withColumn("tx_text", F.col(f"tx_{at}").cast("string")), len(docs.columns)
+    kinds = ", ".join(f"tx_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    out = given.mapInArrow(scorer(model, at, len(docs.columns)), f"{kinds}, score double")
+    return out.filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
