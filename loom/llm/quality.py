@@ -1,7 +1,8 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Every passage is described by shares of byte classes and
-by how much its words and word triples repeat, and encoded by a small layer; gated attention (a tanh and a
+A document is a bag of passages of PASSAGE words. Every passage is described by what stands in it alone: shares
+of byte classes, how much its words and word triples repeat, and hashed counts of its words and pairs of
+bytes; a small layer encodes it. Gated attention (a tanh and a
 sigmoid gate, multiplied) weighs the passages of a bag against each other, and the weighted sum of the
 encodings is scored. Encoder, gates and score are learned together, from document labels only, by gradient
 descent in numpy over a bounded sample of labelled training rows, with all their passages: those lie in a
@@ -21,16 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import text_of, written
+from loom.llm.common import named, slices, text_of, texts_of, written
 from loom.llm.labelled import MOST_PER_CLASS, held_out, sigmoid, training_rows
-from loom.llm.words import Words, grouped, mix
+from loom.llm.words import Words, cuts, grouped, mix, raw_bytes
 
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
 PASSAGE, HIDDEN, GATES = 64, 16, 8
 #: Training takes about so many passages at a time (one longer bag alone) and adds up their gradients.
 PIECE = 8192
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"%&$#*@^~=_+<>{}[]\\", b"!?", b"|", b".,;:", b"\n", bytes(range(128, 256)), b"\"'()-/"]
-FEATURES = len(_CLASSES) + 9
+#: Words and neighbouring bytes are counted in so many bins each, by hash.
+BINS = 64
+FEATURES = len(_CLASSES) + 7 + 2 * BINS
+WORDS, LETTERS = slice(FEATURES - 2 * BINS, FEATURES - BINS), slice(FEATURES - BINS, FEATURES)
+#: Bytes of text that are described together.
+TEXT = 1 << 20
 
 
 def _table() -> np.ndarray:
@@ -41,6 +47,7 @@ def _table() -> np.ndarray:
 
 
 _TABLE = _table()
+_PAIRS = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(BINS)).astype(np.uint8)
 
 
 def _distinct(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
@@ -54,55 +61,68 @@ def _distinct(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(own[new], minlength=groups).astype(float)
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, offsets per text). A text without words is one passage of zeros."""
-    w = Words(texts)
+def _described(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all passages of the texts of w, offsets per text)."""
     n = np.diff(w.first)
-    per = np.maximum(1, -(-n // PASSAGE))
-    offsets = np.concatenate([[0], np.cumsum(per)])
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(1, -(-n // PASSAGE)))])
     total = int(offsets[-1])
-    out = np.zeros((total, FEATURES), np.float64)
+    out = np.zeros((total, FEATURES), np.float32)
     if not len(w.start):
         return out, offsets
-    doc = np.repeat(np.arange(len(texts)), n)
-    inside = np.arange(len(doc)) - w.first[doc]
-    which = offsets[doc] + inside // PASSAGE
-    words = np.bincount(which, minlength=total).astype(float)
-    known = np.maximum(words, 1)
+    text = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(text)) - w.first[text]
+    which = offsets[text] + inside // PASSAGE
+    share = lambda at, kinds, each: np.bincount(at, minlength=total * kinds).reshape(total, kinds) / np.maximum(each, 1)[:, None]
+    words = np.bincount(which, minlength=total)
+    # bytes of each passage, its first word's first byte to its last word's last
     head = np.flatnonzero(inside % PASSAGE == 0)
-    filled = which[head]
-    begin = w.start[head]
-    stop = w.end[np.concatenate([head[1:], [len(doc)]]) - 1]
-    # bytes of each passage by class: one histogram over (passage, class)
-    place = np.repeat(filled, stop - begin)
-    at = np.repeat(begin - (np.cumsum(stop - begin) - (stop - begin)), stop - begin) + np.arange(int((stop - begin).sum()))
-    kinds = len(_CLASSES) + 1
-    counts = np.bincount(place * kinds + _TABLE[w.data[at]], minlength=total * kinds).reshape(total, kinds)
-    size = np.maximum(counts.sum(1), 1)
+    begin, stop = w.start[head], w.end[np.append(head[1:], len(text)) - 1]
+    place = np.repeat(which[head], stop - begin)
+    at = np.repeat(begin - (np.cumsum(stop - begin) - (stop - begin)), stop - begin) + np.arange(len(place))
+    size = np.bincount(place, minlength=total)
     k = len(_CLASSES)
-    out[:, :k] = counts[:, :k] / size[:, None]
+    own = w.data[at]
+    out[:, :k] = share(place * (k + 1) + _TABLE[own], k + 1, size)[:, :k]
+    pairs = place[1:] * BINS + _PAIRS[own[:-1].astype(np.uint16) * 256 + own[1:]]
+    out[:, LETTERS] = share(pairs[place[1:] == place[:-1]], BINS, size)
+    del place, at, own, pairs
     length = (w.end - w.start).astype(float)
-    mean = np.bincount(which, length, total) / known
+    per = np.maximum(words, 1)
+    mean = np.bincount(which, length, total) / per
     out[:, k] = mean / 10
-    out[:, k + 1] = np.sqrt(np.maximum(np.bincount(which, length**2, total) / known - mean**2, 0)) / 10
+    out[:, k + 1] = np.sqrt(np.maximum(np.bincount(which, length**2, total) / per - mean**2, 0)) / 10
     h = w.hashes()
     same = np.zeros(len(h))
-    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    out[:, k + 2] = np.bincount(which, same, total) / known
-    out[:, k + 3] = _distinct(which, h, total) / known
+    same[1:] = (h[1:] == h[:-1]) & (which[1:] == which[:-1])
+    out[:, k + 2] = np.bincount(which, same, total) / per
+    out[:, k + 3] = _distinct(which, h, total) / per
     out[:, k + 4] = np.log1p(words) / 5
-    per_doc = np.maximum(n, 1)
-    out[:, k + 5] = np.repeat(_distinct(doc, h, len(texts)) / per_doc, per)
-    triple = mix(h + np.uint64(3) * mix(np.roll(h, -1)) + np.uint64(7) * mix(mix(np.roll(h, -2))))
-    ok = inside + 2 < n[doc]
-    share = _distinct(doc[ok], triple[ok], len(texts)) / np.maximum(n - 2, 1)
-    out[:, k + 6] = np.repeat(np.where(n > 2, share, n > 0), per)
-    out[:, k + 7] = np.repeat(np.log1p(n) / 10, per)
-    ends = _TABLE[w.data[w.end - 1]]
-    out[:, k + 8] = np.bincount(which, (ends == 2) | (ends == 3), total) / known
+    whole = np.flatnonzero(which[2:] == which[:-2])  # word triples inside a passage
+    triple = mix(h[whole] + np.uint64(3) * mix(h[whole + 1]) + np.uint64(7) * mix(mix(h[whole + 2])))
+    out[:, k + 5] = np.where(words > 2, _distinct(which[whole], triple, total) / np.maximum(words - 2, 1), words > 0)
+    last = _TABLE[w.data[w.end - 1]]
+    out[:, k + 6] = np.bincount(which, (last == 2) | (last == 3), total) / per
+    out[:, WORDS] = share(which * BINS + (h >> np.uint64(40)).astype(np.int64) % BINS, BINS, words)
     return out, offsets
 
 
+def passages(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all passages, offsets per text). A text without words is one passage of zeros. Passages don't
+    cross the cuts, at white space, of a text of over TEXT bytes, which is described a piece at a time."""
+    found, counts = [], []
+    raw = [raw_bytes(t) for t in texts]
+    for a, z in grouped(raw, TEXT):
+        if len(raw[a]) <= TEXT:
+            x, offsets = _described(Words(raw[a:z]))
+            found.append(x)
+            counts += np.diff(offsets).tolist()
+            continue
+        some = [_described(Words([raw[a][b:c]]))[0] for b, c in cuts(raw[a], TEXT)]
+        found += some
+        counts.append(sum(map(len, some)))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(counts)])
+
+
 class Attention:
     """encode: tanh(x E + e); weight of a passage: softmax over its bag of (tanh(h V) * sigmoid(h U)) a; score: weighted sum of encodings, times c, plus b."""
 
@@ -145,7 +165,7 @@ class Attention:
         out["E"], out["e"] = f["x"].T @ de, de.sum(0)
         return out
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> "Attention":
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> "Attention":
         r = np.random.default_rng(seed)
         size = np.array([len(b) for b in bags])
         joined = lambda some: np.concatenate([bags[i] for i in some]).astype(float)
@@ -187,12 +207,10 @@ def pieces(some: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
 
 def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: (tr_text, tr_label) -> (label, all passages)."""
-    for b in batches:
-        texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for a, z in grouped(texts):
-            x, off = passages(texts[a:z])
-            out = [x[off[i] : off[i + 1]].astype(np.float32).tobytes() for i in range(z - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(labels[a:z], pa.int32()), pa.array(out, pa.binary())], names=["label", "bag"])
+    for b in slices(batches, 0):
+        x, off = passages(texts_of(b.column(0)))
+        out = [x[a:z].tobytes() for a, z in zip(off, off[1:])]
+        yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(out, pa.binary())], names=["label", "bag"])
 
 
 def learn(rows: DataFrame, counts: dict[int, int]) -> Attention:
@@ -215,10 +233,9 @@ def learn(rows: DataFrame, counts: dict[int, int]) -> Attention:
 
 def scorer(model: Attention):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            scores = [model.forward(*passages(texts[a:z]))["out"] for a, z in grouped(texts, 1 << 20)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names[:-1], "score"])
+        for b in slices(batches):
+            score = model.forward(*passages(texts_of(b.column(b.num_columns - 1))))["out"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
 
     return run
 
@@ -235,7 +252,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text"
     """
     rows, counts = training_rows(docs, labels, label_col, folds, fold, id_col, text_col, most)
     model = learn(rows, counts)
-    given = docs.select(F.col(id_col).alias("ql_id"), text_of(text_col).alias("ql_text"))
+    given = docs.select(named(id_col).alias("ql_id"), text_of(text_col).alias("ql_text"))
     out = given.mapInArrow(scorer(model), f"ql_id {docs.schema[id_col].dataType.simpleString()}, score double")
     return out.select(F.col("ql_id").alias(id_col), held_out(F.col("ql_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
