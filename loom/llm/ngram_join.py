@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import parts, text_of, written
-from loom.llm.words import Words, grouped, mix
+from loom.llm.common import WHITE, named, parts_for, ranges, slices, text_of, texts_of, written
+from loom.llm.words import mix, shingles_of
 
 SHINGLE, SIMILARITY, TREES, DEEPEST, RECALL = 5, 0.8, 16, 8, 0.995
 TILE = 512
@@ -61,9 +61,8 @@ def signatures(trees: int, depth: int, size: int):
     """Arrow function: (id, text hash, text) -> (ng_id, ng_mark, ng_set, ng_set2, ng_count, ng_nodes): a
     row for each text with words; ng_nodes are its node numbers at `depth`."""
 
-    def batch(ids: list, marks: list, texts: list[str]) -> pa.RecordBatch | None:
-        w = Words(texts)
-        s, off = w.shingles(size)
+    def batch(ids: list, marks: list, texts: list[bytes]) -> pa.RecordBatch | None:
+        s, off = shingles_of(texts, size)
         has = np.flatnonzero(np.diff(off) > 0)
         if not len(has):
             return None
@@ -90,12 +89,10 @@ def signatures(trees: int, depth: int, size: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, marks, texts = (c.to_pylist() for c in b.columns)
-            for a, z in grouped(texts, 1 << 20):
-                out = batch(ids[a:z], marks[a:z], texts[a:z])
-                if out is not None:
-                    yield out
+        for b in slices(batches, most=1 << 20):
+            out = batch(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)))
+            if out is not None:
+                yield out
 
     return run
 
@@ -169,9 +166,9 @@ def verified(similarity: float, size: int):
         side, cls, copies = t.column("side").to_numpy(), t.column("cls").to_numpy(), t.column("copies").to_numpy()
         nodes = np.array(t.column("nodes").to_pylist(), np.int64).reshape(len(cls), -1)
         sets: list[np.ndarray] = []
-        texts = t.column("text").to_pylist()
-        for a, z in grouped(texts):
-            s, off = Words(texts[a:z]).shingles(size)
+        texts = t.column("text").combine_chunks()
+        for a, z in ranges(texts):
+            s, off = shingles_of(texts_of(texts.slice(a, z - a)), size)
             sets += [np.unique(s[off[k] : off[k + 1]]) for k in range(z - a)]
         n = np.array([len(s) for s in sets], np.float64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -235,17 +232,49 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
     that is null is never the smallest of a group beside others; repeated rows are copies of each other;
     an empty table gives an empty one; other columns play no part.
     """
+    given, linked = _linked(docs, id_col, text_col, similarity, size, trees, recall, broadcast_classes)
+    ids = docs.schema[id_col].dataType
+    cast = lambda c: F.col(c).cast(ids)
+    out = linked.select(cast("ng_id").alias(id_col), cast("best.id").alias("group_id"), cast("copy_id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    alone = given.filter(F.length(F.trim(F.col("ng_text"), F.lit(WHITE))) == 0)
+    alone = alone.select(*[cast("ng_id").alias(c) for c in (id_col, "group_id", "copy_id")], F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return out.unionByName(alone)
+
+
+def representatives(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
+    """One row of each group of links, with all columns of docs, whatever their names: of a group the row with the
+    smallest id, of rows with that id the one whose text's hash is smallest.
+
+    Defined cases: as in `near_duplicates`; a null id is chosen only where a group has no other; rows without words
+    stay, each id and text once; of rows equal in id and text one stays.
+    """
+    _, linked = _linked(docs, id_col, text_col, **how)
+    # rows that don't stay as they are: those of other ids or texts than the chosen ones, and repeated ones
+    seen = linked.select("ng_id", "ng_mark", ((F.col("best.mark") == F.col("ng_mark")) & F.col("best.id").eqNullSafe(F.col("ng_id"))).alias("chosen"))
+    odd = written(seen.groupBy("ng_id", "ng_mark").agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not chosen"), "odd")
+    place = {c: f"ng_c{i}" for i, c in enumerate(docs.columns)}
+    own, text = docs.toDF(*place.values()), text_of(place[text_col])
+    own = own.withColumns({"ng_key": F.col(place[id_col]).cast("long"), "ng_hash": F.xxhash64(text), "ng_empty": F.length(F.trim(text, F.lit(WHITE))) == 0})
+    both = own.join(odd, F.col("ng_key").eqNullSafe(F.col("ng_id")) & (F.col("ng_hash") == F.col("ng_mark")), "left")
+    plain = both.filter("chosen is null and not ng_empty")
+    once = both.filter("chosen or ng_empty").dropDuplicates(["ng_key", "ng_hash"])
+    return plain.select(*place.values()).unionByName(once.select(*place.values())).toDF(*docs.columns)
+
+
+def _linked(docs: DataFrame, id_col, text_col, similarity=SIMILARITY, size=SHINGLE, trees=TREES, recall=RECALL, broadcast_classes=BROADCAST_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """(ng_id, ng_mark, ng_text of all rows; ng_id, ng_mark, best, copy_id, copies, links of the rows with words). ng_mark is a
+    hash of the text; best (none, id, mark) is the row of the group that stands for it."""
     spark = docs.sparkSession
     depth = max(1, depth_for(similarity, trees, recall) - 1)
-    ids = docs.schema[id_col].dataType
     text = text_of(text_col)
-    given = docs.select(F.col(id_col).cast("long").alias("ng_id"), F.xxhash64(text).alias("ng_mark"), text.alias("ng_text"))
+    given = docs.select(named(id_col).cast("long").alias("ng_id"), F.xxhash64(text).alias("ng_mark"), text.alias("ng_text"))
     schema = "ng_id long, ng_mark long, ng_set long, ng_set2 long, ng_count int, ng_nodes array<long>"
     rows = written(given.mapInArrow(signatures(trees, depth, size), schema), "signatures")
     same_set = ["ng_set", "ng_set2", "ng_count"]
     # classes of equal sets; their smallest id and their number of rows
-    classes = rows.groupBy(*same_set).agg(F.min("ng_id").alias("copy_id"), F.min(F.struct("ng_id", "ng_mark")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("ng_nodes").alias("ng_nodes"))
-    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "copy_id", F.col("rep.ng_id").alias("rep_id"), F.col("rep.ng_mark").alias("rep_mark"), "copies", "ng_nodes"), "classes")
+    rep = F.min(F.struct(F.col("ng_id").isNull().alias("none"), F.col("ng_id").alias("id"), F.col("ng_mark").alias("mark"))).alias("rep")
+    classes = rows.groupBy(*same_set).agg(rep, F.count(F.lit(1)).alias("copies"), F.first("ng_nodes").alias("ng_nodes"))
+    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "rep", "copies", "ng_nodes"), "classes")
 
     # the forest: nodes with at least two classes
     paths = classes.select("cls", F.col("ng_count").alias("size"), F.posexplode("ng_nodes").alias("tree", "node"))
@@ -261,26 +290,24 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
     member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     member = member.select("node", "tree", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "size", "nodes", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     tile = ["node", "tree", "i", "j"]
-    wanted = written(member.groupBy(*tile).applyInArrow(needed(similarity, SMALL_NODE), "node long, tree int, i int, j int, cls long, side int, nodes array<long>"), "wanted")
+    # tiles are work for processors, not bytes: their number of partitions is fixed, so that none are put together
+    copies = found.agg(F.sum(F.ceil(F.col("n") / TILE))).first()[0] or 0
+    n = parts_for(spark, 200 * copies, 4 << 20)
+    wanted = written(member.repartition(n, *tile).groupBy(*tile).applyInArrow(needed(similarity, SMALL_NODE), "node long, tree int, i int, j int, cls long, side int, nodes array<long>"), "wanted")
 
     # one text of each wanted class travels: that of one row of it, found again by id and text hash
-    chosen = written(wanted.select("cls").distinct().join(classes.select("cls", "rep_id", "rep_mark", "copies"), "cls"), "chosen")
+    chosen = written(wanted.select("cls").distinct().join(classes.select("cls", F.col("rep.id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"), "copies"), "cls"), "chosen")
     on = F.col("ng_id").eqNullSafe(F.col("rep_id")) & (F.col("ng_mark") == F.col("rep_mark"))
     picked = given.join(F.broadcast(chosen) if chosen.count() <= broadcast_classes else chosen, on).select("cls", "copies", F.col("ng_text").alias("text")).dropDuplicates(["cls"])
     loaded = wanted.join(picked, "cls").select(*tile, "cls", "side", "nodes", "copies", "text")
-    got = written(loaded.groupBy(*tile).applyInArrow(verified(similarity, size), "cls long, links long, root long"), "links")
+    got = written(loaded.repartition(n, *tile).groupBy(*tile).applyInArrow(verified(similarity, size), "cls long, links long, root long"), "links")
 
     links = got.groupBy("cls").agg(F.sum("links").alias("links"))
     comp = components(got.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    least = comp.join(classes.select("cls", "copy_id"), "cls").groupBy("root").agg(F.min("copy_id").alias("least"))
-    of_class = classes.join(links, "cls", "left").join(comp.join(least, "root").select("cls", "least"), "cls", "left")
-    of_class = of_class.select(*same_set, "copy_id", F.coalesce("least", "copy_id").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    linked = rows.select("ng_id", *same_set).join(of_class, same_set)
-    cast = lambda c: F.col(c).cast(ids)
-    out = linked.select(cast("ng_id").alias(id_col), cast("group_id").alias("group_id"), cast("copy_id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
-    alone = given.filter(F.length(F.trim(F.col("ng_text"), F.lit(" \t\n\x0b\x0c\r"))) == 0)
-    alone = alone.select(*[cast("ng_id").alias(c) for c in (id_col, "group_id", "copy_id")], F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return out.unionByName(alone)
+    best = comp.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("best"))
+    of_class = classes.join(links, "cls", "left").join(comp.join(best, "root").select("cls", "best"), "cls", "left")
+    of_class = of_class.select(*same_set, F.col("rep.id").alias("copy_id"), F.coalesce("best", "rep").alias("best"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return given, rows.select("ng_id", "ng_mark", *same_set).join(of_class, same_set).drop(*same_set)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
