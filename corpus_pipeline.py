@@ -13,39 +13,54 @@ from pyspark.sql import functions as F
 from loom.llm import line_dedup as lines
 from loom.llm import mixing, ngram_join, packing
 from loom.llm import toxicity as toxic
-from loom.llm.common import documents, table, text_of, written
+from loom.llm.common import documents, named, table, text_of, written
 
 
 def _with_chars(docs: DataFrame) -> DataFrame:
     """docs with n_chars, where it has that column, as its text now is."""
-    return docs.withColumn("n_chars", F.length(text_of()).cast("long")) if "n_chars" in docs.columns else docs
+    return docs.select(*[F.length(text_of()).cast("long").alias(c) if c == "n_chars" else named(c).alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted label is not toxic."""
+    """Documents whose predicted label is not toxic.
+
+    Defined cases: null and empty texts are scored by the intercept and stay while that is below the threshold;
+    documents with a null id are scored like others; repeated rows go or stay together; without labels of both
+    classes the score is the share of toxic labels; an empty table gives an empty one; columns may have any names."""
     return toxic.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many documents share; one that loses all of them stays, empty."""
+    """Documents without the lines that many documents share.
+
+    Defined cases: a document that loses all its lines stays, with an empty text; a null text becomes empty; rows
+    of equal ids are one document for the count, a null id one of its own; repeated rows get equal texts; an empty
+    table gives an empty one; columns may have any names."""
     return _with_chars(lines.deduplicated(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of repeated rows, one."""
-    stay = ngram_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    stay = stay.select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.withColumn("pl_h", F.xxhash64(text_of())).join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "pl_h"]).select(*docs.columns)
+    """One document of each group, the one with the smallest id; rows equal in id and text are one document.
+
+    Defined cases: documents without words belong to no group and stay; a null id stays only where its group has no
+    other; of several texts with the smallest id the one that has the smallest hash stays; an empty table gives an
+    empty one; columns may have any names."""
+    return ngram_join.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's cut keeps its first words."""
+    """Documents as often as the mix takes them; the one at a source's cut keeps its first words.
+
+    Defined cases: a document without words is not taken; a null source is a source of its own; repeated rows are
+    taken each by itself; an empty table gives an empty one; columns may have any names."""
     return _with_chars(mixing.mixed_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences, as op2 returns them."""
+    """The pieces of all sequences, as op2 returns them.
+
+    Defined cases: null and empty texts are the end id alone; a null id passes through; repeated rows are packed
+    each by itself; an empty table gives an empty one; other columns play no part."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
