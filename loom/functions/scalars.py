@@ -157,6 +157,18 @@ def valid_slice(start: Column, stop: Column, duration: Column) -> Column:
     return (start >= 0) & (stop <= duration) & (start < stop)
 
 
+def requiring(step, *names: str):
+    """The step, which raises ValueError where the metadata lack one of the names."""
+
+    def checked(meta: dict[str, Column]) -> dict[str, Column]:
+        lost = [n for n in names if n not in meta]
+        if lost:
+            raise ValueError(f"{getattr(step, '__name__', 'the step')} needs {', '.join(lost)} in the metadata")
+        return step(meta)
+
+    return checked
+
+
 def composed(steps: list, meta: dict[str, Column]) -> dict[str, Column]:
     """Steps from a metadata dict to its changes, one after the other."""
     return reduce(lambda m, step: m | step(m), steps, meta)

@@ -85,12 +85,12 @@ def plus_plus(x: DataFrame, k: int, seed: int = 0, metric: str | int = 2, power:
     picks, chosen = [first["id"]], [first["v"]]
     first_id, last_id = rows.agg(F.min("id"), F.max("id")).first()
     while len(picks) < k:
-        weighted = assign(rows, np.array(chosen, float), metric).select("id", F.pow(F.round("dist", 9), F.lit(power)).alias("w"))
+        weighted = lambda some: assign(some, np.array(chosen, float), metric).select("id", F.pow(F.round("dist", 9), F.lit(power)).alias("w"))  # noqa: B023, E731
         u = spark.range(1).select(uniform(seed, F.lit(1_000_000 + len(picks)))).first()[0]
         low, high, aim, before = first_id, last_id, None, 0.0
         while True:  # 1,024 ranges of ids at a time, until the range that is hit has that many ids at most
             width = max(1, -(-(high - low + 1) // RANGES))
-            inside = weighted.filter(F.col("id").between(low, high))
+            inside = weighted(rows.filter(F.col("id").between(low, high)))  # distances of these rows only
             totals = inside.groupBy(F.floor((F.col("id") - low) / width).alias("g")).agg(F.sum("w").alias("w")).orderBy("g").collect()
             aim = u * sum(t["w"] for t in totals) if aim is None else aim
             for t in totals:
@@ -156,6 +156,20 @@ class KMeans:
             raise ValueError("fit first")
         return assign(x, self.centroids, self.dist)
 
+    def labels(self, x: DataFrame) -> DataFrame:
+        """(id, cid): the cluster of each row."""
+        return self.predict(x).select("id", "cid")
+
+    def distances(self, x: DataFrame) -> DataFrame:
+        """(id, dist): each row's distance to the centroid of its cluster."""
+        return self.predict(x).select("id", "dist")
+
+    def mask(self, x: DataFrame, cluster: int) -> DataFrame:
+        """(id, inside): whether a row is in that cluster."""
+        if not 0 <= cluster < self.n_clusters:
+            raise ValueError(f"there is no cluster {cluster} of {self.n_clusters}")
+        return self.predict(x).select("id", (F.col("cid") == cluster).alias("inside"))
+
     def fit_predict(self, x: DataFrame) -> DataFrame:
         return self.fit(x).predict(x)
 

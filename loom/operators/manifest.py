@@ -60,6 +60,39 @@ def signature_lines(signed: DataFrame) -> DataFrame:
     return signed.orderBy("rel").select(F.concat_ws(": ", "rel", "hash").alias("value"))
 
 
+def sign_folder(spark, folder: str, kind: str = "sha256", to: str | None = None) -> str:
+    """Writes the signature file of all files below a folder that are not hidden, `to` being <folder>/.<kind> where it isn't
+    given; hashes are computed by tasks, and the lines pass through the driver one partition at a time."""
+    to = to or f"{folder.rstrip('/')}/.{kind}"
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(to)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    for line in signature_lines(folder_signature(spark, folder, kind, to)).toLocalIterator():
+        out.write(bytearray(f"{line['value']}\n".encode()))
+    out.close()
+    return to
+
+
+def folder_signature(spark, folder: str, kind: str = "sha256", but: str | None = None) -> DataFrame:
+    """(rel, hash) of all files below a folder that are not hidden, without the file `but`."""
+    from loom.sources.files import directory
+
+    names = directory(spark, folder).select("path", "rel")
+    if but:
+        names = names.filter(~F.regexp_replace("path", "^file:/+", "/").eqNullSafe(F.regexp_replace(F.lit(but), "^file:/+", "/")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("from"), "content")
+    return signature(names.join(files, F.col("path") == F.col("from")), "rel", "content", kind)
+
+
+def validate_folder(spark, folder: str, kind: str = "sha256", signed: str | None = None) -> None:
+    """Raises ValueError with the first files that were added, are missing or were changed since the folder was signed."""
+    signed = signed or f"{folder.rstrip('/')}/.{kind}"
+    lines = spark.read.option("pathGlobFilter", "*").text(signed)
+    found = changes(read_signature(lines), folder_signature(spark, folder, kind, signed)).orderBy("change", "rel").limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{r['change']}: {r['rel']}" for r in found))
+
+
 def read_signature(lines: DataFrame) -> DataFrame:
     """(rel, hash) from such lines; the last colon divides, blank lines are skipped."""
     v = F.col("value")

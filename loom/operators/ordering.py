@@ -1,15 +1,18 @@
 """Positions in a total order without a task that gets all rows.
 
-Rows fall into buckets that follow the order (a slice of a hash key, or of an id range). Buckets are counted,
-their counts summed up, and rows numbered inside each bucket; a bucket's number of rows is bounded by the
-choice of buckets, whatever the size of a group."""
+Rows are dealt into ranges of the order, whose bounds Spark samples from the rows themselves, sorted there, and written once
+with their places in the range. Ranges are counted, the counts summed up, and a row's position is its place and the rows
+before its range; nothing is sorted or scanned a second time, and no group or gap of ids makes a range larger."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from loom.operators.stored import written
+
+#: The place in the partition, in Spark's increasing ids.
+_PLACE = (1 << 33) - 1
 
 
 def shuffle_key(seed: int, c: Column) -> Column:
@@ -17,32 +20,24 @@ def shuffle_key(seed: int, c: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def key_bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets, 32)
-
-
-def id_bucket(df: DataFrame, id_col: str, buckets: int = BUCKETS) -> Column:
-    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = low or 0, high or 0
-    return F.floor((F.col(id_col) - low) / max(1, (high - low) // buckets + 1))
-
-
-def positions(df: DataFrame, name: str, bucket: Column, order: list, by: tuple[str, ...] = ()) -> DataFrame:
+def positions(df: DataFrame, name: str, order: list, by: tuple[str, ...] = ()) -> DataFrame:
     """df with `name` (long): the position from 0 in `order` within each group of the columns `by`."""
-    df = df.withColumn("__bucket", bucket)
-    keys = [*by, "__bucket"]
-    before = Window.partitionBy(*by).orderBy("__bucket") if by else Window.orderBy("__bucket")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*[F.col(k).alias(f"__o_{k}") for k in keys], (F.sum("__n").over(before) - F.col("__n")).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    on = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
-    return df.withColumn("__at", inside).join(offsets, on).withColumn(name, (F.col("__at") + F.col("__base")).cast("long")).select(*[c for c in df.columns if c != "__bucket"], name)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*map(F.col, by), *order]
+    row = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"__range": F.shiftright(row, 33), "__place": row.bitwiseAND(F.lit(_PLACE))})
+    rows = written(rows, "positions")
+    counts = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    before = Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")  # a row for each group and range
+    base = (F.sum("__n").over(before) - F.col("__n") - F.col("__first")).alias("__base")
+    base = counts.select(*[F.col(k).alias(f"__o_{k}") for k in by], F.col("__range").alias("__o_range"), base)
+    on = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in by] + [F.col("__range") == F.col("__o_range")]
+    return rows.join(base, on).select(*df.columns, (F.col("__place") + F.col("__base")).cast("long").alias(name))
 
 
 def shuffled(df: DataFrame, name: str, seed: int, id_col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    key = shuffle_key(seed, F.col(id_col))
-    return positions(df.withColumn("__key", key), name, key_bucket(F.col("__key")), ["__key", id_col], by).drop("__key")
+    return positions(df, name, [shuffle_key(seed, F.col(id_col)), F.col(id_col)], by)
 
 
 def in_order(df: DataFrame, name: str, id_col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return positions(df, name, id_bucket(df, id_col), [id_col], by)
+    return positions(df, name, [F.col(id_col)], by)

@@ -211,3 +211,17 @@ def weighted_draws(u: list[Column], weights: list[float]) -> Column:
         return out
 
     return F.array(*[one(x) for x in u])
+
+
+def ridge_scores(x: DataFrame, weights: np.ndarray, digits: int | None = None) -> DataFrame:
+    """(id, cid, score): the class whose row of `weights` (classes, width) has the largest product with the vector of each
+    row of (id, v), ties to the smaller class. The weights have a fixed size and go to every task."""
+    from loom.operators.vectors import over_block
+
+    def work(ids, m, _, w) -> pa.Table:
+        z = m @ w.T
+        z = z if digits is None else np.round(z, digits)
+        best = z.argmax(1)
+        return pa.table({"id": ids, "cid": best.astype(np.int64), "score": z[np.arange(len(z)), best]})
+
+    return over_block(x.select("id", "v"), np.arange(len(weights)), weights, work, "id long, cid long, score double")

@@ -1,11 +1,12 @@
 """Splitting labelled samples into tasks: disjoint and blurry categories, exposure, shares and batches.
 
-Random permutations are orders of md5(seed:id). Samples are numbered by buckets (ordering.positions), so a
+Random permutations are orders of md5(seed:id). Samples are numbered by ranges (ordering.positions), so a
 task or category that holds most samples is still many tasks' work; only categories are sorted in one place."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,18 @@ from loom.operators.labels import UNLABELED
 from loom.operators.ordering import in_order, shuffle_key, shuffled
 
 
+def checked_axes(samples: DataFrame, axes: list[str]) -> DataFrame:
+    """samples, if every axis is one of its columns (else AttributeError) and has a value in every row (else ValueError)."""
+    lost = [a for a in axes if a not in samples.columns]
+    if lost:
+        raise AttributeError(f"the samples have no label axis {lost[0]!r}")
+    row = samples.agg(*[F.count(F.lit(1)).alias("n"), *[F.count(F.col(a)).alias(f"n_{i}") for i, a in enumerate(axes)]]).first()
+    for i, a in enumerate(axes):
+        if row[f"n_{i}"] != row["n"]:
+            raise ValueError(f"label axis {a!r} has {row[f'n_{i}']} values for {row['n']} samples")
+    return samples
+
+
 def categories(samples: DataFrame, key: str) -> DataFrame:
     """(category, at): sorted distinct keys without UNLABELED."""
     found = samples.select(F.col(key).alias("category")).filter(F.col("category") != UNLABELED if dict(samples.dtypes)[key] != "string" else F.lit(True)).distinct()
@@ -66,12 +79,14 @@ def split_categories(cats: DataFrame, tasks: int, n: int, seed: int, varying: bo
 def configured(cats: DataFrame, config: list[list]) -> DataFrame:
     """The same from explicit lists of categories, all disjoint; a category listed twice is in the last task."""
     home = {c: t for t, task in enumerate(config) for c in task}
-    known = {r["category"]: r["at"] for r in cats.collect()}
+    kind = cats.schema["category"].dataType.simpleString()
+    listed = cats.sparkSession.createDataFrame(list(home.items()), f"category {kind}, task int")
+    out = cats.join(F.broadcast(listed), "category").select("category", "at", F.lit("disjoint").alias("kind"), "task")
+    known = {r["category"] for r in out.select("category").collect()}  # at most the listed ones
     lost = [c for c in home if c not in known]
     if lost:
         raise ValueError(f"unknown categories: {lost[:8]}")
-    kind = cats.schema["category"].dataType.simpleString()
-    return cats.sparkSession.createDataFrame([(c, known[c], "disjoint", t) for c, t in home.items()], f"category {kind}, at int, kind string, task int")
+    return out
 
 
 def homes(samples: DataFrame, key: str, split: DataFrame, id_col: str = "idx") -> DataFrame:
@@ -83,14 +98,16 @@ def exchanged(home: DataFrame, m: int, seed: int, id_col: str = "idx", counts: l
     """home with the first m percent of each task's blurry samples pooled, permuted, and dealt back in equal numbers
     (or counts[task], at most what the task has)."""
     blurry = in_order(home.filter("kind = 'blurry'"), "pos", id_col, ("task",))
-    sizes = blurry.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    given = F.floor(F.col("n") * m / 100) if counts is None else F.least(F.col("n"), F.element_at(F.array(*[F.lit(c) for c in counts]), F.col("task") + 1))
-    ends = Window.orderBy("task")  # one row for each task
-    sizes = sizes.withColumn("give", given.cast("long")).withColumn("end", F.sum("give").over(ends)).select(F.col("task").alias("t"), "give", (F.col("end") - F.col("give")).alias("begin"), "end")
-    marked = blurry.join(F.broadcast(sizes), F.col("task") == F.col("t"))
-    stay = marked.filter(F.col("pos") >= F.col("give")).select(id_col, "kind", "task")
-    pool = shuffled(marked.filter(F.col("pos") < F.col("give")).select(id_col, "kind"), "at", seed, id_col)
-    dealt = pool.join(F.broadcast(sizes), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).select(id_col, "kind", F.col("t").alias("task"))
+    sizes = {r["task"]: r["n"] for r in blurry.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each task
+    give = {t: n * m // 100 if counts is None else min(n, counts[t]) for t, n in sorted(sizes.items())}
+    if not give:
+        return home.filter("kind = 'disjoint'").select(id_col, "kind", "task")
+    given = F.element_at(F.create_map(*[F.lit(x) for pair in give.items() for x in pair]), F.col("task"))
+    stay = blurry.filter(F.col("pos") >= given).select(id_col, "kind", "task")
+    pool = shuffled(blurry.filter(F.col("pos") < given).select(id_col, "kind"), "at", seed, id_col)
+    # the task of a place in the pool: that of the first end beyond it
+    ends = F.array(*[F.struct(F.lit(e).alias("end"), F.lit(t).cast("int").alias("task")) for t, e in zip(give, accumulate(give.values()))])
+    dealt = pool.select(id_col, "kind", F.element_at(F.filter(ends, lambda e: e["end"] > F.col("at")), 1)["task"].alias("task"))
     return home.filter("kind = 'disjoint'").select(id_col, "kind", "task").unionByName(stay).unionByName(dealt)
 
 

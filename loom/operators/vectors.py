@@ -70,10 +70,12 @@ def collected(df: DataFrame, most: int = BLOCK_BYTES) -> tuple[np.ndarray, np.nd
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size(df.columns[1]))).first()
     if n * ((width or 0) * 8 + 8) > most:
         return None
-    got = df.orderBy(df.columns[0]).toArrow()
     if not n:
         return np.zeros(0, np.int64), np.zeros((0, 0))
-    return got.column(0).to_numpy(), rows_of(got.column(1).combine_chunks())
+    got = df.toArrow()
+    ids, values = got.column(0).to_numpy(), rows_of(got.column(1).combine_chunks())
+    order = np.argsort(ids, kind="stable")
+    return ids[order], values[order]
 
 
 def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -121,29 +123,70 @@ def distance_matrix(x: DataFrame, y: DataFrame, metric: str | int, most: int = B
     return _against(x, y, work, "i long, j long, dist double", most)
 
 
+def candidates(a: np.ndarray, b: np.ndarray, k: int, p: int, skip: np.ndarray | None, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a, rows of b) of pairs that hold every row's k nearest and all ties with them: by a matrix product where the
+    metric has one, with room for its rounding and for `slack`, by how much distances may be rounded later."""
+    if p == 2:
+        x, y = (a * a).sum(1), (b * b).sum(1)
+        far = y[None, :] - 2 * (a @ b.T) + x[:, None]
+    else:
+        far = distance_block(a, b, p)
+    if skip is not None:
+        far[skip] = np.inf
+    if len(b) <= k:
+        return np.nonzero(np.isfinite(far))
+    last = np.partition(far, k - 1, axis=1)[:, k - 1]
+    known = np.where(np.isfinite(last), np.maximum(last, 0), 0)
+    if p == 2:  # squares: rounding grows with the norms, and slack with the distance
+        error = 1e-12 * (x + y.max(initial=0.0))
+        room = 2 * error + 4 * slack * (np.sqrt(known + error) + slack)
+    else:
+        room = 1e-12 * (1 + known) + 2 * slack
+    return np.nonzero((far <= (last + room)[:, None]) & np.isfinite(far))
+
+
+def distance_pairs(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Distances of a's rows to the same rows of b."""
+    if p == 0:
+        return 1 - np.clip((a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)) + 1e-8), -1, 1)
+    d = np.abs(a - b)
+    return d.sum(1) if p == 1 else np.sqrt((d * d).sum(1)) if p == 2 else (d**p).sum(1) ** (1 / p)
+
+
 def nearest(x: DataFrame, y: DataFrame, k: int, metric: str | int = 2, exclude_same: bool = False, most: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
     """The k nearest rows of y for each row of x: (i, rank from 1, j, dist); ties to the smaller j. With `digits`,
-    distances are rounded before they are compared, so that engines that sum in other orders agree on ties."""
+    distances are rounded before they are compared, so that engines that sum in other orders agree on ties.
+
+    A matrix product finds the candidates of a block, a few more than k for each row; their distances are then computed
+    one by one. Where y is one block that every task gets, a row's neighbours are final there and nothing is shuffled."""
     from pyspark.sql import Window
 
     metric = metric_of(metric)
+    slack = 0.0 if digits is None else 10.0**-digits
+    schema = "i long, j long, dist double, rank int"
 
     def work(i, a, j, b) -> pa.Table:
-        if not len(i) or not len(j):
-            return pa.table({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "dist": np.zeros(0)})
-        d = distance_block(a, b, metric)
-        if digits is not None:
-            d = np.round(d, digits)
-        if exclude_same:
-            d = np.where(i[:, None] == j[None, :], np.inf, d)
-        order = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, :k]
-        out = np.take_along_axis(d, order, 1).ravel()
-        ok = np.isfinite(out)
-        return pa.table({"i": np.repeat(i, order.shape[1])[ok].astype(np.int64), "j": j[order].ravel()[ok].astype(np.int64), "dist": out[ok]})
-
-    pairs = _against(x, y, work, "i long, j long, dist double", most)
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+        step = max(1, (1 << 21) // max(1, len(j)))
+        for s in range(0, len(i) if len(j) else 0, step):
+            ids, own = i[s : s + step], a[s : s + step]
+            r, c = candidates(own, b, k, metric, ids[:, None] == j[None, :] if exclude_same else None, slack)
+            d = distance_pairs(own[r], b[c], metric)
+            d = d if digits is None else np.round(d, digits)
+            ok = np.isfinite(d)
+            r, c, d = r[ok], c[ok], d[ok]
+            order = np.lexsort((j[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            ok = rank < k
+            found.append((ids[r[ok]], j[c[ok]], d[ok], rank[ok] + 1))
+        return pa.table({n: np.concatenate(v).astype(t) for n, v, t in zip(("i", "j", "dist", "rank"), zip(*found), ("i8", "i8", "f8", "i4"))})
+
+    small = collected(y, most)
+    if small is not None:
+        return over_block(x, *small, work, schema).select("i", "rank", "j", "dist")
     best = Window.partitionBy("i").orderBy("dist", "j")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
+    return blocks_of(x, y, work, schema).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
 def column_sums(x: DataFrame, columns: list[str], products: bool = True) -> tuple[int, np.ndarray, np.ndarray]:

@@ -201,3 +201,18 @@ def dataset_registry(spark, sf_dir):
     """Names are looked up without regard to case."""
     asked = spark.createDataFrame([(n.upper(),) for n, _ in _REGISTRY], "asked string")
     return mf.find_datasets(asked, "asked").select("name", "n_classes")
+
+
+@query("""SELECT doc_id, md5(substr(q, 2, length(q) - 2)) AS h FROM (SELECT doc_id, CAST(to_json(text || chr(9) || chr(34) || chr(92) || chr(1)) AS VARCHAR) AS q FROM documents)""")
+def json_escape(spark, sf_dir):
+    from loom.sources.json_text import escaped
+
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(escaped(F.concat("text", F.lit('\t"\\\x01')))).alias("h"))
+
+
+@query("""SELECT CAST(to_json(struct_pack(n_name := n_name, n_nationkey := n_nationkey, n_regionkey := nullif(n_regionkey, 0))) AS VARCHAR) AS line FROM nation""")
+def json_dump(spark, sf_dir):
+    from loom.sources.json_text import dumped
+
+    nation = load(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") != 0, F.col("n_regionkey")))
+    return nation.select(dumped("n_regionkey", "n_name", "n_nationkey").alias("line"))

@@ -192,3 +192,38 @@ def _plus_sql(k: int) -> str:
 def kmeanspp_pick(spark, sf_dir):
     picks = km.plus_plus(vectors(spark, sf_dir), 4, SEED)
     return spark.createDataFrame(list(enumerate(picks)), "step int, vec_id long")
+
+
+def _container(kind):
+    def run(spark, sf_dir):
+        import json
+
+        from loom.sources.arrays import register
+        from loom.sources.writers import write_vectors
+
+        v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        files = [r["file"] for r in write_vectors(v.repartition(3, "id"), kind).collect()]  # one of each partition
+        register(spark)
+        source = spark.read.format("tensors" if kind == "safetensors" else "arrays").option("paths", json.dumps(files))
+        if kind == "records":
+            width = v.select(F.size("v")).first()[0]
+            source = source.option("records", json.dumps([["rows", "<f8", [width + 1]]]))
+        rows = source.load()
+        return rows.select(F.element_at("data", 1).cast("long").alias("vec_id"), F.transform(F.slice("data", 2, 1 << 20), lambda x: F.round(x, 6) + 0.0).alias("v"))
+
+    return run
+
+
+for _kind in ("idx", "mat", "safetensors", "records"):
+    query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0) AS v FROM embeddings", f"read_{_kind}")(_container(_kind))
+
+
+@query(f"""WITH {V_SQL}, {C_SQL} SELECT id AS vec_id, CAST(arg_min(cid, struct_pack(d := -d, c := cid)) AS BIGINT) AS cid, max(d) + 0.0 AS score
+    FROM (SELECT id, cid, round(list_dot_product(v, c), 6) AS d FROM v, c) GROUP BY id""")
+def ridge_classes(spark, sf_dir):
+    """The class of largest score, the centroids standing for the solved weights."""
+    from loom.operators.stats import ridge_scores
+
+    v = vectors(spark, sf_dir)
+    _, weights = collected(centroids(v))
+    return ridge_scores(v, weights, digits=6).select(F.col("id").alias("vec_id"), "cid", r("score").alias("score"))

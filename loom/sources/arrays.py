@@ -4,8 +4,9 @@
     spark.read.format("arrays").option("path", p).load()        # idx, MAT-file 5, safetensors by their first bytes
     spark.read.format("tensors").option("path", p).option("key", "w").option("slice", "0:1000").load()
 
-Rows are (path, key, idx, shape, data): one for each index of an array's first axis, data its values as doubles in
-row-major order, shape the remaining axes. Options: path (files, comma-separated), keys (only these arrays),
+Rows are (path, key, idx, shape, data, whole): one for each index of an array's first axis, data its values as doubles in
+row-major order, whole the same as longs where they are integers, shape the remaining axes. Options: path (files,
+comma-separated), paths (the same as a JSON list, for names with commas), keys (only these arrays),
 records (JSON list of fields, for files of plain records). "tensors" reads the header only, plans one partition per
 block of rows, and every task reads its own byte runs."""
 
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loom.sources.files import opened
 from loom.sources.readers import TENSOR_TYPES, TensorFile, block_of, plain, read_arrays
 
-SCHEMA = "path string, key string, idx long, shape array<int>, data array<double>"
+SCHEMA = "path string, key string, idx long, shape array<int>, data array<double>, whole array<long>"
 BLOCK_BYTES = 32 << 20
 
 
@@ -31,11 +33,16 @@ def rows_as_batches(path: str, key: str, values: np.ndarray, first: int = 0):
     width = math.prod(shape)
     step = max(1, BLOCK_BYTES // max(1, 8 * width))
     for a in range(0, len(values), step):
-        part = values[a : a + step].astype(np.float64).reshape(-1)
+        own = values[a : a + step].reshape(-1)
         n = len(values[a : a + step])
-        data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(part))
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+        data, whole = pa.ListArray.from_arrays(ends, pa.array(own.astype(np.float64))), pa.nulls(n, pa.list_(pa.int64()))
+        if own.dtype.kind in "iu":
+            if own.dtype.itemsize == 8 and own.dtype.kind == "u" and len(own) and own.max() >> np.uint64(63):
+                raise ValueError(f"array {key!r} has integers of over 63 bits")
+            whole = pa.ListArray.from_arrays(ends, pa.array(own.astype(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([path] * n), pa.array([key] * n), pa.array(np.arange(first + a, first + a + n)), pa.array([shape] * n, pa.list_(pa.int32())), data], names=["path", "key", "idx", "shape", "data"]
+            [pa.array([path] * n), pa.array([key] * n), pa.array(np.arange(first + a, first + a + n)), pa.array([shape] * n, pa.list_(pa.int32())), data, whole], names=["path", "key", "idx", "shape", "data", "whole"]
         )
 
 
@@ -50,6 +57,8 @@ class _Block(InputPartition):
 
 
 def _paths(options: dict) -> list[str]:
+    if options.get("paths"):
+        return json.loads(options["paths"])
     if not options.get("path"):
         raise ValueError("the option path is needed")
     return [p.strip() for p in options["path"].split(",") if p.strip()]
@@ -65,7 +74,7 @@ class _ArraysReader(DataSourceReader):
         return [_File(p) for p in self.files]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             data = plain(f.read())
         keys = None if self.keys is None else {int(k) if k.isdigit() else k for k in self.keys} | set(self.keys)
         for key, values in read_arrays(data, keys, self.records).items():

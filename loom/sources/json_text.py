@@ -1,7 +1,9 @@
-"""JSON values with // and /* */ comments."""
+"""JSON values with // and /* */ comments, and values as JSON."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,3 +11,18 @@ from pyspark.sql import functions as F
 def parsed(text: Column, schema: str) -> Column:
     """The value as a struct of `schema`; comments count as white space. Null where the text isn't JSON."""
     return F.from_json(text, schema, {"allowComments": "true", "mode": "PERMISSIVE"})
+
+
+#: What JSON writes for these characters; other control characters are written by their numbers.
+SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def escaped(text: Column) -> Column:
+    """The text as it stands between the quotes of a JSON string."""
+    marks = SHORT | {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in SHORT}
+    return reduce(lambda out, m: F.replace(out, F.lit(m[0]), F.lit(m[1])), marks.items(), text)
+
+
+def dumped(*columns: str) -> Column:
+    """The columns as one JSON object, keys in order, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
