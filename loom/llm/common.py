@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loom.operators.stored import fresh_path, shared_dir, written  # noqa: F401
 
 #: The white space of the contracts: space, \t, \n, \v, \f, \r.
 WHITE = " \t\n\x0b\x0c\r"
@@ -16,44 +15,6 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only where that is unset and the session runs on this machine alone (tests, a laptop), a folder is made and set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder under shared_dir, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
