@@ -31,6 +31,8 @@ from loom.llm.words import mix, shingles_of
 
 SHINGLE, SIMILARITY, TREES, DEEPEST, RECALL = 5, 0.8, 16, 8, 0.995
 TILE = 512
+#: A node of so many classes or more is crowded; there are at most HOT_NODES of them (16 bytes each), by a higher limit if need be.
+LEAST_HOT, HOT_NODES = 1024, 100_000
 #: Tiles of more classes compare the sizes of sets before texts travel; this changes no result.
 SMALL_NODE = 64
 #: Wanted classes up to this many (24 bytes each) are sent to all executors to pick texts; more are joined by a shuffle.
@@ -278,8 +280,12 @@ def _linked(docs: DataFrame, id_col, text_col, similarity=SIMILARITY, size=SHING
 
     # the forest: nodes with at least two classes
     paths = classes.select("cls", F.col("ng_count").alias("size"), F.posexplode("ng_nodes").alias("tree", "node"))
-    count = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = written(paths.join(count, "node").select("cls", "size", "tree", "node", "n"), "nodes")
+    count = written(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    # crowded nodes, HOT_NODES at most whatever the input, meet their classes where these lie; the others by a shuffle
+    least = max(LEAST_HOT, -(-trees * classes.count() // HOT_NODES))
+    hot = F.broadcast(count.filter(F.col("n") >= least))
+    few = paths.join(hot.select("node"), "node", "left_anti").join(count.filter(F.col("n") < least), "node")
+    found = written(paths.join(hot, "node").unionByName(few.select("node", *paths.columns[:-1], "n")).select("cls", "size", "tree", "node", "n"), "nodes")
 
     # all node numbers of a class, by tree; a class's own number, which nobody shares, where it has none
     all_nodes = found.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("at"))

@@ -172,6 +172,7 @@ def jaccard_by_hand(rows, size=5, least=0.8):
 def test_ngram_join(odd, monkeypatch, tile, small, broadcast):
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "SMALL_NODE", small)
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", small)
     df, rows = odd
     got = [tuple(r) for r in ngram_join.near_duplicates(df, broadcast_classes=broadcast).collect()]
     assert Counter(got) == Counter(jaccard_by_hand(rows))
