@@ -210,9 +210,10 @@ def json_escape(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(escaped(F.concat("text", F.lit('\t"\\\x01')))).alias("h"))
 
 
-@query("""SELECT CAST(to_json(struct_pack(n_name := n_name, n_nationkey := n_nationkey, n_regionkey := nullif(n_regionkey, 0))) AS VARCHAR) AS line FROM nation""")
+@query("""SELECT doc_id, CAST(to_json(struct_pack(lang := lang, n_chars := n_chars, source := nullif(source, 'src1'))) AS VARCHAR) AS line FROM documents""")
 def json_dump(spark, sf_dir):
+    """Keys in order; a null is kept."""
     from loom.sources.json_text import dumped
 
-    nation = load(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") != 0, F.col("n_regionkey")))
-    return nation.select(dumped("n_regionkey", "n_name", "n_nationkey").alias("line"))
+    docs = load(spark, sf_dir, "documents").withColumn("source", F.when(F.col("source") != "src1", F.col("source")))
+    return docs.select("doc_id", dumped("source", "n_chars", "lang").alias("line"))
