@@ -34,6 +34,20 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Fewer keys than this are sent to all executors because many rows have them.
+OFTEN = 65_536
+
+
+def met(rows: DataFrame, groups: DataFrame, on, count: str, total: int, often: int = OFTEN) -> DataFrame:
+    """rows joined with `groups`, which has one row for each key and the number of its rows in `count`, `total` together.
+    Keys of more than total / often rows, which are fewer than `often` at any size, are broadcast, so that none of them is
+    one task's join; the others, none of which has a larger share, meet by a shuffle."""
+    most = max(1, total // max(1, often))
+    hot = F.broadcast(groups.filter(F.col(count) > most))
+    cold = groups.filter(F.col(count) <= most)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(cold, on))
+
+
 def ranges(column, most: int = 1 << 20):
     """Index ranges of a string or binary Arrow array whose values are about `most` bytes together (one longer value alone)."""
     import numpy as np

@@ -5,7 +5,8 @@ partitions of a range exchange runs binomially: run i goes to the task of run i
 merges the sorted runs that meet there (the JVM's external sort is the multiway merge; a streaming
 pass in Arrow batches folds equal neighbours). A fold keeps, for each digest, the smallest identifier
 by the keeping rule and the number of rows, and only folds rows whose second fingerprint agrees.
-A text that a third of all rows share is one row of each run, so no task ever gets its group.
+A text that a third of all rows share is one row of each run, so no task ever gets its group; its rows
+learn their group from a bounded broadcast, those of smaller groups by a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import WHITE, named, parts_for, text_of, written
+from loom.llm.common import WHITE, met, named, parts_for, text_of, written
 
 FAN_BITS = 3
 RUN = ["xd_range", "xd_run", "xd_sha", "xd_len", "xd_check"]
@@ -82,7 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.monotonically_increasing_id().alias("xd_uid"),
     )
     rows = written(rows, "digests")
-    n = parts_for(spark, 100 * rows.count())  # a row of a run has about 100 bytes
+    total = rows.count()
+    n = parts_for(spark, 100 * total)  # a row of a run has about 100 bytes
     digest_range = F.pmod(F.conv(F.hex(F.substring("xd_sha", 1, 4)), 16, 10).cast("long"), F.lit(8 * n)).cast("int")
     runs = rows.select(
         digest_range.alias("xd_range"), F.shiftright("xd_uid", 33).alias("xd_run"), "xd_sha", "xd_len", "xd_check", "xd_chars",
@@ -103,7 +105,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     best = written(best, "groups")
     on = (F.col("xd_sha") == F.col("xd_sha_b")) & (F.col("xd_len") == F.col("xd_len_b")) & (F.col("xd_check") == F.col("xd_check_b"))
-    return rows.join(best, on).select(
+    return met(rows, best, on, "group_size", total).select(
         F.col("xd_id").cast(ids).alias(id_col), F.col("keep_id").cast(ids).alias("keep_id"), "group_size",
         (F.col("xd_uid") == F.col("xd_best")).alias("kept"), F.lower(F.hex("xd_sha")).alias("text_sha256"),
     )

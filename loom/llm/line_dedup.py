@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import WHITE, text_of, written
+from loom.llm.common import WHITE, met, text_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Frequent lines up to this many are sent to all executors (24 bytes each); more are joined by a shuffle.
+#: Frequent lines up to this many are sent to all executors (32 bytes each); of more, those that most rows hold are, and the
+#: others are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
 
@@ -72,15 +73,16 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs:
         "lines",
     )
     hot = (
-        lines.select("__ld_k1", "__ld_k2", "__ld_id").distinct()
-        .groupBy("__ld_k1", "__ld_k2").agg(F.count(F.lit(1)).alias("__ld_docs"), F.max("__ld_id").alias("__ld_keep"))
+        lines.groupBy("__ld_k1", "__ld_k2", "__ld_id").agg(F.count(F.lit(1)).alias("__ld_rows"))
+        .groupBy("__ld_k1", "__ld_k2").agg(F.count(F.lit(1)).alias("__ld_docs"), F.max("__ld_id").alias("__ld_keep"), F.sum("__ld_rows").alias("__ld_rows"))
         .filter(F.col("__ld_docs") >= min_docs).drop("__ld_docs")
     )
     hot = written(hot, "hot-lines")
-    few = hot.count() <= broadcast_lines
+    size = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("__ld_rows").alias("rows")).first()
+    key = ["__ld_k1", "__ld_k2"]
+    held = lines.join(F.broadcast(hot), key) if size["n"] <= broadcast_lines else met(lines, hot, key, "__ld_rows", size["rows"], broadcast_lines)
     dropped = (
-        lines.join(F.broadcast(hot) if few else hot, ["__ld_k1", "__ld_k2"])
-        .filter(~F.col("__ld_id").eqNullSafe(F.col("__ld_keep")))
+        held.filter(~F.col("__ld_id").eqNullSafe(F.col("__ld_keep")))
         .groupBy("__ld_id", "__ld_h", "__ld_n").agg(F.collect_set("__ld_pos").alias("__ld_drop"))
     )
     own = docs.columns

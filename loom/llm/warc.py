@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import fresh_path, named, parts, slices, text_of, written
+from loom.llm.common import fresh_path, met, named, parts, slices, text_of, written
 from loom.sources.files import filesystem
 
 CHUNK = 256 * 1024
@@ -47,14 +47,16 @@ def base32_of_hex(hexed):
 def decided(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None, least: int) -> DataFrame:
     """Each row with its payload's digest and size and the id that responds for equal payloads.
 
-    Groups meet as one row per digest and map task; the payloads themselves move once, to join it (an
-    ordinary sort-merge join, whose hot keys Spark splits)."""
+    Groups meet as one row per digest and map task. Payloads that many rows share stay where they lie and learn
+    their group from a bounded broadcast; the others move once, to join it."""
     payload = F.encode(text_of(payload_col), "UTF-8")
     rows = pages.select(
         named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url") if url_col else F.lit(None).cast("string").alias("url"), payload.alias("payload"),
     ).withColumns({"sha": F.sha2("payload", 256), "sha1": F.sha1("payload"), "full_bytes": F.octet_length("payload").cast("long")})
-    best = rows.groupBy("sha").agg(F.max("page_id").alias("best")).select(F.col("sha").alias("best_sha"), "best")
-    both = rows.join(best, F.col("sha") == F.col("best_sha"))
+    best = rows.groupBy("sha").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("best_rows"))
+    best = written(best.select(F.col("sha").alias("best_sha"), "best", "best_rows"), "responses")
+    total = best.agg(F.sum("best_rows")).first()[0] or 0
+    both = met(rows, best, F.col("sha") == F.col("best_sha"), "best_rows", total)
     alone = (F.col("full_bytes") < least) | F.col("page_id").eqNullSafe(F.col("best"))
     return both.select("page_id", "url", "payload", "full_bytes", base32_of_hex(F.col("sha1")).alias("digest"), F.when(~alone, F.col("best")).alias("refers_to"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loom.llm import exact_dedup, line_dedup, mixing, ngram_join, warc
-from loom.llm.common import written
+from loom.llm.common import met, written
 from loom.llm.words import Words
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -84,7 +84,7 @@ def lines_by_hand(rows, least_chars=40, least_docs=5):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("broadcast", [0, 2, 1000])
 def test_line_dedup(odd, broadcast):
     df, rows = odd
     out = line_dedup.line_dedup(df, broadcast_lines=broadcast)
@@ -95,6 +95,14 @@ def test_line_dedup(odd, broadcast):
     assert line_dedup.deduplicated(df).columns == df.columns
 
 
+def test_keys_of_many_rows_meet_by_a_broadcast(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k long")
+    groups = written(rows.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top")), "groups")
+    for often in (0, 1, 2, 1000):
+        got = met(rows, groups, F.col("k") == F.col("key"), "n", 300, often)
+        assert sorted((r.i, r.top) for r in got.collect()) == [(i, 299 if i % 3 or not i else i) for i in range(300)]
+
+
 def mix_by_hand(rows, weights=(5, 2, 1), share=1.5, most=2):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = defaultdict(int)
