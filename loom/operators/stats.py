@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loom.operators.vectors import _against, rows_of
@@ -38,7 +38,7 @@ def unit_blocks(m: DataFrame, by: str, rows_in_block: int, floor: float = 1e-12)
     """(by, i, j, x) with each block of rows scaled to unit Frobenius norm."""
     block = F.floor(F.col("i") / rows_in_block)
     norms = m.groupBy(F.col(by).alias("__k"), block.alias("__b")).agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(floor)).alias("__n"))
-    return m.join(F.broadcast(norms), (F.col(by) == F.col("__k")) & (block == F.col("__b"))).select(by, "i", "j", (F.col("x") / F.col("__n")).alias("x"))
+    return m.join(norms, (F.col(by) == F.col("__k")) & (block == F.col("__b"))).select(by, "i", "j", (F.col("x") / F.col("__n")).alias("x"))
 
 
 def pair_sums(x: DataFrame, y: DataFrame, power: int, most: int) -> DataFrame:
@@ -129,14 +129,9 @@ def gathered(rows: DataFrame, rank: str, order: str) -> DataFrame:
     from loom.operators.ordering import in_order
 
     own = in_order(rows, "__at", order, (rank,))
-    sizes = own.groupBy(F.col(rank).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).collect()  # one row for each rank
-    base, offset = {}, 0
-    for r in sorted(sizes, key=lambda r: r["__k"]):
-        base[r["__k"]], offset = offset, offset + r["__n"]
-    start = F.lit(0).cast("long")
-    for k, b in base.items():
-        start = F.when(F.col(rank) == k, F.lit(b).cast("long")).otherwise(start)
-    return own.select((start + F.col("__at")).alias("pos"), rank, order)
+    sizes = own.groupBy(F.col(rank).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    start = (F.sum("__n").over(Window.orderBy("__k")) - F.col("__n")).alias("__start")  # a row for each rank
+    return own.join(sizes.select("__k", start), F.col(rank).eqNullSafe(F.col("__k"))).select((F.col("__start") + F.col("__at")).alias("pos"), rank, order)
 
 
 def reduced(rows: DataFrame, key: str, value: str) -> DataFrame:

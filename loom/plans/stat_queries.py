@@ -205,22 +205,23 @@ def ridge_normal_equations(spark, sf_dir):
 
 
 def _flag_matrices(spark, sf_dir):
-    """(batch_id, m): a positive definite 4 x 4 matrix for each label: G + I of four column sums."""
-    v = vectors(spark, sf_dir)
-    cell = lambda i, j: F.sum(F.get("v", F.lit(i)) * F.get("v", F.lit(j))) + (1.0 if i == j else 0.0)
-    return v.groupBy(F.col("label").cast("long").alias("batch_id")).agg(F.array(*[F.array(*[cell(i, j) for j in range(4)]) for i in range(4)]).alias("m"))
+    """(batch_id, m): a positive definite D x D matrix for each label: G + I of its rows."""
+    rows = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("batch_id"), F.col("v").alias("a"), F.col("v").alias("b"))
+    cells = st.outer_sums(rows, "batch_id").withColumn("x", F.col("x") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
+    in_order = lambda at, x: F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda s: s[x])
+    return cells.groupBy("batch_id", "i").agg(in_order("j", "x").alias("r")).groupBy("batch_id").agg(in_order("i", "r").alias("m"))
 
 
 @query("SELECT DISTINCT CAST(label AS BIGINT) AS batch_id, 0.0::DOUBLE AS off FROM embeddings")
 def inverse_identity(spark, sf_dir):
-    return la.batched(_flag_matrices(spark, sf_dir), lambda m: [[float(np.abs(m @ la.inverse(m) - np.eye(4)).max())]]).select("batch_id", r(F.col("m")[0][0]).alias("off"))
+    return la.batched(_flag_matrices(spark, sf_dir), lambda m: [[float(np.abs(m @ la.inverse(m) - np.eye(len(m))).max())]]).select("batch_id", r(F.col("m")[0][0]).alias("off"))
 
 
 @query("SELECT DISTINCT CAST(label AS BIGINT) AS batch_id, 0.0::DOUBLE AS off FROM embeddings")
 def gram_schmidt_orthonormal(spark, sf_dir):
     def work(m):
         q = la.orthogonalize(m)
-        return [[float(np.abs(q.T @ q - np.eye(4)).max())]]
+        return [[float(np.abs(q.T @ q - np.eye(len(m))).max())]]
 
     return la.batched(_flag_matrices(spark, sf_dir), work).select("batch_id", r(F.col("m")[0][0]).alias("off"))
 
