@@ -1,4 +1,4 @@
-"""The queries of this subpackage, op1 to op10, and their SQL where SQL can express them."""
+"""The queries of this subpackage, op1 to op13, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ MODULES = {
     "op8_pseudo_likelihood": "lm",
     "op9_line_dedup": "line_dedup",
     "op10_quality": "quality",
+    "op11_url_filter": "url_filter",
+    "op12_spelling": "spelling",
+    "op13_ball_tree": "ball_tree",
 }
 
 
