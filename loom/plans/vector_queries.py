@@ -209,7 +209,7 @@ def _container(kind):
             width = v.select(F.size("v")).first()[0]
             source = source.option("records", json.dumps([["rows", "<f8", [width + 1]]]))
         rows = source.load()
-        return rows.select(F.element_at("data", 1).cast("long").alias("vec_id"), F.transform(F.slice("data", 2, 1 << 20), lambda x: F.round(x, 6) + 0.0).alias("v"))
+        return rows.select(F.element_at("data", 1).cast("long").alias("vec_id"), F.transform(F.slice("data", F.lit(2), F.size("data") - 1), lambda x: F.round(x, 6) + 0.0).alias("v"))
 
     return run
 
@@ -218,6 +218,29 @@ for _kind in ("idx", "mat", "safetensors", "records"):
     query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0) AS v FROM embeddings", f"read_{_kind}")(_container(_kind))
 
 
+def _stepped(index: str):
+    """Some columns of the written arrays, by an index of every row: only their bytes are read."""
+
+    def run(spark, sf_dir):
+        import json
+
+        from loom.sources.arrays import register
+        from loom.sources.writers import write_vectors
+
+        v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        files = [r["file"] for r in write_vectors(v.repartition(3, "id"), "safetensors").collect()]
+        register(spark)
+        rows = spark.read.format("arrays").option("paths", json.dumps(files)).option("index", index).schema("key string, data array<double>").load().filter("key = 'rows'")
+        return rows.select(F.element_at("data", 1).cast("long").alias("vec_id"), F.transform(F.slice("data", F.lit(2), F.size("data") - 1), lambda x: F.round(x, 6) + 0.0).alias("v"))
+
+    return run
+
+
+_PICKED = "SELECT vec_id, [round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 FOR i IN {}] AS v FROM embeddings"
+query(_PICKED.format("range(8, 65, 8)"), "read_stepped_columns")(_stepped("..., 0:65:8"))
+query(_PICKED.format("[64, 3, 3, 17]"), "read_listed_columns")(_stepped(":, [0, 64, 3, -62, 17]"))
+
+
 @query(f"""WITH {V_SQL}, {C_SQL} SELECT id AS vec_id, CAST(arg_min(cid, struct_pack(d := -d, c := cid)) AS BIGINT) AS cid, max(d) + 0.0 AS score
     FROM (SELECT id, cid, round(list_dot_product(v, c), 6) AS d FROM v, c) GROUP BY id""")
 def ridge_classes(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Array containers as files: idx, MAT-file version 5, safetensors and plain records of a table of vectors.
 
-Every partition becomes one file, written under the name of its task's attempt; the manifest of committed files is a
-written table, so a task that is run again leaves at most a file that nobody reads."""
+A partition becomes files of about FILE_BYTES, so a task holds the rows of one file at most; they are written under the name of the
+task's attempt. The manifest of committed files is a written table, so a task that is run again leaves at most files that nobody
+reads."""
 
 from __future__ import annotations
 
@@ -43,7 +44,29 @@ def record_bytes(m: np.ndarray) -> bytes:
 KINDS = {"idx": idx_bytes, "mat": mat_bytes, "safetensors": safetensors_bytes, "records": record_bytes}
 
 
-def write_vectors(df: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
+FILE_BYTES = 64 << 20
+
+
+def matrices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """The rows (id, values) of Arrow batches as matrices of about `most` bytes, in order."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        m = np.column_stack([b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)])
+        step = max(1, most // max(1, 8 * m.shape[1]))
+        for a in range(0, len(m), step):
+            piece = m[a : a + step]
+            if held and size + piece.nbytes > most:
+                yield np.concatenate(held)
+                held, size = [], 0
+            held.append(piece)
+            size += piece.nbytes
+    if held:
+        yield np.concatenate(held)
+
+
+def write_vectors(df: DataFrame, kind: str, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a table (id long, v array<double>) as matrices whose first column is the id: (file, rows)."""
     encode = KINDS[kind]
     folder = folder or fresh_path(df.sparkSession, "arrays")
@@ -51,12 +74,10 @@ def write_vectors(df: DataFrame, kind: str, folder: str | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = [np.column_stack([b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)]) for b in batches if b.num_rows]
-        if parts:
-            m, task = np.concatenate(parts), TaskContext.get()
-            fs, root = filesystem(folder)
+        task, (fs, root) = TaskContext.get(), filesystem(folder)
+        for i, m in enumerate(matrices(batches, file_bytes)):
             fs.create_dir(root, recursive=True)
-            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.{kind}"
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{i:04d}.{kind}"
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(encode(m))
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "rows": [len(m)]})
