@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,25 +10,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loom.operators.stored import written
 from loom.operators.vectors import _against, rows_of
 
 
+#: A task hands on the sums of its groups when they are so large.
+SUM_BYTES = 64 << 20
+
+
 def outer_sums(pairs: DataFrame, by: str | None = None) -> DataFrame:
-    """([by,] i, j, x): sum of b[i] * a[j] over rows (by, a, b): one matrix per group and partition, then one per group."""
+    """([by,] i, j, x): sum of b[i] * a[j] over rows (by, a, b): one matrix per group and task (more where
+    a task's groups are many), then one per group."""
     key = by or "k"
     kind = dict(pairs.dtypes)[by] if by else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+        size = 0
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for k, m in sums.items():
+                i, j = np.indices(m.shape, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * m.size, key_type), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], names=[key, "i", "j", "x"])
+
         for t in batches:
-            keys = t.column(0).to_pylist()
-            a, b = rows_of(t.column(1)), rows_of(t.column(2))
-            for k in set(keys):
-                at = np.array([x == k for x in keys])
-                sums[k] = sums.get(k, 0) + b[at].T @ a[at]
-        for k, m in sums.items():
-            i, j = np.indices(m.shape, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * m.size), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], names=[key, "i", "j", "x"])
+            if not t.num_rows:
+                continue
+            key_type, codes = t.column(0).type, t.column(0).dictionary_encode(null_encoding="encode")
+            code = codes.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            ends = np.flatnonzero(np.diff(code[order], append=-1)) + 1
+            a, b, names = rows_of(t.column(1))[order], rows_of(t.column(2))[order], codes.dictionary.to_pylist()
+            begin = 0
+            for end in ends:
+                k = names[code[order[begin]]]
+                m = b[begin:end].T @ a[begin:end]
+                size += 0 if k in sums else m.nbytes
+                sums[k] = sums.get(k, 0) + m
+                begin = end
+            if size > SUM_BYTES:
+                yield from held()
+                sums, size = {}, 0
+        yield from held()
 
     rows = pairs.select(F.col(by) if by else F.lit(0).cast("long").alias("k"), "a", "b")
     out = rows.mapInArrow(run, f"{key} {kind}, i int, j int, x double").groupBy(key, "i", "j").agg(F.sum("x").alias("x"))
@@ -75,14 +99,59 @@ def ewc_penalty(theta: DataFrame, star: DataFrame, fisher: DataFrame, key: str,
     return theta.join(star, key).join(fisher, key).agg((F.lit(lam / 2) * F.sum(F.col("f") * d * d)).alias("penalty"))
 
 
+def scanned(value: np.ndarray, begins: np.ndarray, gamma: float) -> np.ndarray:
+    """f_t = gamma * f_(t-1) + value_t, anew from every place where `begins` is true: by doubling, all places together."""
+    f, place = value.astype(float), np.arange(len(value))
+    place = place - np.maximum.accumulate(np.where(begins, place, 0))
+    step = 1
+    while step <= place.max(initial=0):
+        reach = place >= step
+        f[reach] += (gamma**step * np.concatenate([np.zeros(step), f[:-step]]))[reach]
+        step *= 2
+    return f
+
+
 def running_fold(terms: DataFrame, key: str, order: str, value: str, gamma: float) -> DataFrame:
-    """(key, order, f): f_t = gamma * f_(t-1) + value_t along `order` within each key; one row per task, so short lists."""
-    got = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).alias("v")))).alias("s"))
-    step = F.transform(
-        F.sequence(F.lit(1), F.size("s")),
-        lambda n: F.struct(F.element_at("s", n)["t"].alias("t"), F.aggregate(F.slice("s", 1, n), F.lit(0.0), lambda f, x: f * gamma + x["v"]).alias("f")),
-    )
-    return got.select(key, F.explode(step).alias("x")).select(key, F.col("x.t").alias(order), F.col("x.f").alias("f"))
+    """(key, order, f): f_t = gamma * f_(t-1) + value_t along `order` within each key; of equal places the smaller value comes first.
+
+    Steps compose: a stretch of n steps takes f to gamma^n f + b. Rows are dealt into ranges of (key, order), every range is
+    folded by itself, and what precedes a range in its key is composed from one row for each key and range. So a key of any
+    number of steps is worked on by many tasks, and nothing is folded twice. A null value counts as 0."""
+    n = max(1, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {f.name: f.dataType.simpleString() for f in terms.schema.fields}
+    rows = terms.select(F.col(key).alias("k"), F.col(order).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    rows = rows.repartitionByRange(n, "k", "t", "v").sortWithinPartitions("k", "t", "v").withColumn("range", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried, steps = None, 0.0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()  # sorted: a key's rows are together
+            begins = np.diff(code, prepend=-1) != 0
+            f = scanned(b.column(2).to_numpy(), begins, gamma)
+            place = np.arange(1, len(f) + 1)
+            place = place - np.maximum.accumulate(np.where(begins, place - 1, 0))
+            first = b.column(0)[0].as_py()
+            if last is not None and last[0] == first:  # goes on from the batch before
+                own = int(np.flatnonzero(begins)[1]) if begins.sum() > 1 else len(f)
+                f[:own] += gamma ** place[:own] * carried
+                place[:own] += steps
+            last, carried, steps = (b.column(0)[-1].as_py(),), f[-1], place[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(place), pa.array(f)], names=["k", "t", "range", "steps", "f"])
+
+    rows = written(rows.mapInArrow(run, f"k {kinds[key]}, t {kinds[order]}, range int, steps long, f double"), "fold")
+    ends = rows.groupBy("k", "range").agg(F.max_by("f", "steps").alias("b"), F.max("steps").alias("n"))
+    # a row for each range that a key has rows in: no more than there are ranges
+    lists = ends.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("range", "n", "b"))).alias("s")).filter(F.size("s") > 1)
+    start = F.array(F.struct(F.lit(-1).alias("range"), F.lit(0.0).alias("f")))
+    one = lambda done, x: F.concat(done, F.array(F.struct(x["range"].alias("range"), (F.element_at(done, -1)["f"] * F.pow(F.lit(float(gamma)), x["n"]) + x["b"]).alias("f"))))
+    after = F.aggregate("s", start, one)
+    before = lists.select("k", F.explode(F.zip_with(F.slice(after, 1, F.size("s")), "s", lambda f, x: F.struct(x["range"].alias("range"), f["f"].alias("f")))).alias("x"))
+    before = before.select(F.col("k").alias("bk"), F.col("x.range").alias("brange"), F.col("x.f").alias("bf"))
+    out = rows.join(before, F.col("k").eqNullSafe(F.col("bk")) & (F.col("range") == F.col("brange")), "left")
+    f = F.col("f") + F.coalesce(F.col("bf"), F.lit(0.0)) * F.pow(F.lit(float(gamma)), F.col("steps"))
+    return out.select(F.col("k").alias(key), F.col("t").alias(order), f.alias("f"))
 
 
 def coda_weights(q: Column, a: Column, k: Column) -> Column:
@@ -141,27 +210,29 @@ def reduced(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def class_sums(x: DataFrame, hold: Column, classes: int) -> dict[bool, tuple[np.ndarray, np.ndarray, int]]:
     """{held out: (H'H, H'Y, rows)} of rows (v, label) and a boolean column, labels one-hot."""
-    width = x.select(F.max(F.size("v"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {h: np.zeros((width, width + classes)) for h in (False, True)}
-        count = {False: 0, True: 0}
+        sums, count = None, {False: 0, True: 0}
         for b in batches:
             if b.num_rows:
                 m, y, h = rows_of(b.column(0)), b.column(1).to_numpy(), np.asarray(b.column(2).to_pylist(), bool)
                 both = np.concatenate([m, np.eye(classes)[y]], 1)
-                for k in (False, True):
+                sums = sums or {k: np.zeros((m.shape[1], both.shape[1])) for k in count}
+                for k in count:
                     sums[k] += m[h == k].T @ both[h == k]
                     count[k] += int((h == k).sum())
-        for k in (False, True):
-            yield pa.RecordBatch.from_pydict({"h": [k], "n": pa.array([count[k]], pa.int64()), "s": [sums[k].ravel().tolist()]})
-
-    parts = x.select("v", "label", hold.alias("h")).mapInArrow(run, "h boolean, n long, s array<double>")
-    counts = {r["h"]: r["n"] for r in parts.groupBy("h").agg(F.sum("n").alias("n")).collect()}
-    out = {h: np.zeros(width * (width + classes)) for h in (False, True)}
-    for r in parts.select("h", F.posexplode("s").alias("p", "x")).groupBy("h", "p").agg(F.sum("x").alias("x")).collect():
+        for k in count if sums else ():
+            yield pa.RecordBatch.from_pydict({"h": [k], "s": [[float(count[k]), *sums[k].ravel().tolist()]]})
+
+    parts = x.select("v", "label", hold.alias("h")).mapInArrow(run, "h boolean, s array<double>")
+    got = parts.select("h", F.posexplode("s").alias("p", "x")).groupBy("h", "p").agg(F.sum("x").alias("x")).collect()
+    size = max((r["p"] for r in got), default=0)  # width * (width + classes)
+    width = (math.isqrt(classes * classes + 4 * size) - classes) // 2
+    out = {h: np.zeros(1 + size) for h in (False, True)}
+    for r in got:
         out[r["h"]][r["p"]] = r["x"]
-    return {h: (m.reshape(width, -1)[:, :width], m.reshape(width, -1)[:, width:], counts.get(h, 0)) for h, m in out.items()}
+    cut = {h: (int(m[0]), m[1:].reshape(width, width + classes)) for h, m in out.items()}
+    return {h: (m[:, :width], m[:, width:], n) for h, (n, m) in cut.items()}
 
 
 def relu_projection(x: DataFrame, weight: np.ndarray | None = None) -> DataFrame:

@@ -63,23 +63,37 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def collected(df: DataFrame, most: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
-    """(ids, matrix) of a table (id long, v array<double>) in id order, or None where it is beyond `most` bytes.
+def finite_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows of a list column hold finite numbers only, and these as a matrix)."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    held = column.filter(pa.array(known)) if not known.all() else column
+    m = rows_of(held)
+    good = np.isfinite(m).all(1)
+    known[known] = good
+    return known, m if good.all() else m[good]
+
+
+def collected(df: DataFrame, most: int = BLOCK_BYTES, finite: bool = False) -> tuple[np.ndarray, ...] | None:
+    """(ids, matrix, further columns ...) of a table (id long, v array<double>, ...) in id order, or None where it is beyond
+    `most` bytes. finite: without the rows whose vector is null or holds null, NaN or infinite numbers.
 
     The size is measured before anything is collected."""
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size(df.columns[1]))).first()
-    if n * ((width or 0) * 8 + 8) > most:
+    more = len(df.columns) - 2
+    if n * ((width or 0) * 8 + 8 + 8 * more) > most:
         return None
     if not n:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
+        return np.zeros(0, np.int64), np.zeros((0, 0)), *[np.zeros(0, np.int64)] * more
     got = df.toArrow()
-    ids, values = got.column(0).to_numpy(), rows_of(got.column(1).combine_chunks())
-    order = np.argsort(ids, kind="stable")
-    return ids[order], values[order]
+    ids, column = got.column(0).to_numpy(), got.column(1).combine_chunks()
+    known, values = finite_rows(column) if finite else (np.ones(n, bool), rows_of(column))
+    order = np.argsort(ids[known], kind="stable")
+    return ids[known][order], values[order], *[got.column(c + 2).to_numpy()[known][order] for c in range(more)]
 
 
-def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """work(ids of x, matrix of x, ids of y, matrix of y) -> Arrow table, for every pair of blocks of x and y."""
+def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_ROWS, finite: bool = False) -> DataFrame:
+    """work(ids of x, matrix of x, ids of y, matrix of y) -> Arrow table, for every pair of blocks of x and y. finite: of the
+    rows that hold finite numbers only."""
     nx, ny = (max(1, math.ceil(t.count() / rows)) for t in (x, y))
     deal = lambda t, n: F.pmod(F.xxhash64(t.columns[0]), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -88,20 +102,27 @@ def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_R
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         ids = [t.column("id").to_numpy() for t in (a, b)]
-        both = [rows_of(t.column("v").combine_chunks()) if t.num_rows else np.zeros((0, 0)) for t in (a, b)]
+        both = [rows_of(t.column("v").combine_chunks()) if t.num_rows and not finite else np.zeros((0, 0)) for t in (a, b)]
+        for i, t in enumerate((a, b)):
+            if finite and t.num_rows:
+                known, both[i] = finite_rows(t.column("v").combine_chunks())
+                ids[i] = ids[i][known]
         return work(ids[0], both[0], ids[1], both[1])
 
     return left.groupBy("bx", "by").cogroup(right.groupBy("bx", "by")).applyInArrow(tile, schema)
 
 
-def over_block(x: DataFrame, ids: np.ndarray, y: np.ndarray, work, schema: str) -> DataFrame:
+def over_block(x: DataFrame, ids: np.ndarray, y: np.ndarray, work, schema: str, finite: bool = False) -> DataFrame:
     """work(ids of x, matrix of x, ids, y) -> Arrow table, a batch of x at a time."""
     held = x.sparkSession.sparkContext.broadcast((ids, y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y_ids, block = held.value
         for b in batches:
-            if b.num_rows:
+            if b.num_rows and finite:
+                known, m = finite_rows(b.column(1))
+                yield from work(b.column(0).to_numpy()[known], m, y_ids, block).to_batches()
+            elif b.num_rows:
                 yield from work(b.column(0).to_numpy(), rows_of(b.column(1)), y_ids, block).to_batches()
 
     return x.mapInArrow(run, schema)
@@ -125,68 +146,128 @@ def distance_matrix(x: DataFrame, y: DataFrame, metric: str | int, most: int = B
 
 def candidates(a: np.ndarray, b: np.ndarray, k: int, p: int, skip: np.ndarray | None, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows of a, rows of b) of pairs that hold every row's k nearest and all ties with them: by a matrix product where the
-    metric has one, with room for its rounding and for `slack`, by how much distances may be rounded later."""
+    metric has one, with room for its rounding and for `slack`, by how much distances may be rounded later. Rows are finite;
+    where their powers wouldn't be, all are scaled down together, which leaves the order."""
+    top = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
+    if p and top > 1e-20 and top > (1e300 ** (1 / p)) / 1e4:
+        a, b, slack = a / top, b / top, slack / top
     if p == 2:
         x, y = (a * a).sum(1), (b * b).sum(1)
         far = y[None, :] - 2 * (a @ b.T) + x[:, None]
+        error = 1e-12 * (x[:, None] + y[None, :])
     else:
-        far = distance_block(a, b, p)
+        far = distance_pairs_block(a, b, p)
+        error = 1e-12 * (1 + far)
     if skip is not None:
         far[skip] = np.inf
     if len(b) <= k:
         return np.nonzero(np.isfinite(far))
-    last = np.partition(far, k - 1, axis=1)[:, k - 1]
-    known = np.where(np.isfinite(last), np.maximum(last, 0), 0)
-    if p == 2:  # squares: rounding grows with the norms, and slack with the distance
-        error = 1e-12 * (x + y.max(initial=0.0))
-        room = 2 * error + 4 * slack * (np.sqrt(known + error) + slack)
-    else:
-        room = 1e-12 * (1 + known) + 2 * slack
-    return np.nonzero((far <= (last + room)[:, None]) & np.isfinite(far))
+    last = np.partition(far + error, k - 1, axis=1)[:, k - 1]  # no less than the k-th distance (p = 2: its square)
+    known = np.where(np.isfinite(last), np.maximum(last, 0), np.inf)
+    room = 4 * slack * (np.sqrt(known) + slack) if p == 2 else np.full(len(known), 2 * slack)
+    return np.nonzero((far - error <= (known + room)[:, None]) & np.isfinite(far))
+
+
+def distance_pairs_block(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """distance_block, where norms beyond double are no obstacle to cosines."""
+    if p:
+        return distance_block(a, b, p)
+    small = lambda m: m / np.where((t := np.abs(m).max(1, initial=0.0, keepdims=True)) > 1e150, t * 1e-100, 1.0)
+    return distance_block(small(a), small(b), 0)
 
 
 def distance_pairs(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """Distances of a's rows to the same rows of b."""
-    if p == 0:
-        return 1 - np.clip((a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)) + 1e-8), -1, 1)
-    d = np.abs(a - b)
-    return d.sum(1) if p == 1 else np.sqrt((d * d).sum(1)) if p == 2 else (d**p).sum(1) ** (1 / p)
+    """Distances of a's rows to the same rows of b; those whose powers are beyond double, or below it, from scaled differences."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        if p == 0:
+            small = lambda m: m / np.where((t := np.abs(m).max(1, initial=0.0, keepdims=True)) > 1e150, t * 1e-100, 1.0)
+            a, b = small(a), small(b)
+            return 1 - np.clip((a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)) + 1e-8), -1, 1)
+        d = np.abs(a - b)
+        out = d.sum(1) if p == 1 else np.sqrt((d * d).sum(1)) if p == 2 else (d**p).sum(1) ** (1 / p)
+        top = d.max(1, initial=0.0)
+        odd = np.isfinite(top) & (top > 0) & (~np.isfinite(out) | (top < 1e-290 ** (1 / p)))
+        if odd.any():
+            out[odd] = top[odd] * ((d[odd] / top[odd][:, None]) ** p).sum(1) ** (1 / p)
+        return out
+
+
+def nearest_rows(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int, metric: int, exclude_same: bool, digits: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows of a, rows of b, distances, ranks from 0) of the k nearest, in order, some rows of a at a time."""
+    slack = 0.0 if digits is None else 10.0**-digits
+    step = max(1, (1 << 21) // max(1, len(j)))
+    for s in range(0, len(i) if len(j) else 0, step):
+        ids, own = i[s : s + step], a[s : s + step]
+        r, c = candidates(own, b, k, metric, ids[:, None] == j[None, :] if exclude_same else None, slack)
+        d = distance_pairs(own[r], b[c], metric)
+        d = d if digits is None else np.round(d, digits)
+        ok = np.isfinite(d)
+        r, c, d = r[ok], c[ok], d[ok]
+        order = np.lexsort((j[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        ok = rank < k
+        yield r[ok] + s, c[ok], d[ok], rank[ok]
 
 
 def nearest(x: DataFrame, y: DataFrame, k: int, metric: str | int = 2, exclude_same: bool = False, most: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
     """The k nearest rows of y for each row of x: (i, rank from 1, j, dist); ties to the smaller j. With `digits`,
     distances are rounded before they are compared, so that engines that sum in other orders agree on ties.
 
+    Vectors that are null, or hold null, NaN or infinite components, are nobody's neighbours and have none; neither are pairs whose
+    distance is beyond double.
+
     A matrix product finds the candidates of a block, a few more than k for each row; their distances are then computed
     one by one. Where y is one block that every task gets, a row's neighbours are final there and nothing is shuffled."""
     from pyspark.sql import Window
 
     metric = metric_of(metric)
-    slack = 0.0 if digits is None else 10.0**-digits
     schema = "i long, j long, dist double, rank int"
 
     def work(i, a, j, b) -> pa.Table:
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
-        step = max(1, (1 << 21) // max(1, len(j)))
-        for s in range(0, len(i) if len(j) else 0, step):
-            ids, own = i[s : s + step], a[s : s + step]
-            r, c = candidates(own, b, k, metric, ids[:, None] == j[None, :] if exclude_same else None, slack)
-            d = distance_pairs(own[r], b[c], metric)
-            d = d if digits is None else np.round(d, digits)
-            ok = np.isfinite(d)
-            r, c, d = r[ok], c[ok], d[ok]
-            order = np.lexsort((j[c], d, r))
-            r, c, d = r[order], c[order], d[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            ok = rank < k
-            found.append((ids[r[ok]], j[c[ok]], d[ok], rank[ok] + 1))
+        for r, c, d, rank in nearest_rows(i, a, j, b, k, metric, exclude_same, digits):
+            found.append((i[r], j[c], d, rank + 1))
         return pa.table({n: np.concatenate(v).astype(t) for n, v, t in zip(("i", "j", "dist", "rank"), zip(*found), ("i8", "i8", "f8", "i4"))})
 
-    small = collected(y, most)
+    small = collected(y, most, finite=True)
     if small is not None:
-        return over_block(x, *small, work, schema).select("i", "rank", "j", "dist")
+        return over_block(x, *small, work, schema, finite=True).select("i", "rank", "j", "dist")
     best = Window.partitionBy("i").orderBy("dist", "j")
-    return blocks_of(x, y, work, schema).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
+    return blocks_of(x, y, work, schema, finite=True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
+
+
+def label_votes(x: DataFrame, k: int, metric: str | int = 2, most: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
+    """(id, label, predicted) of a table (id, v, label int): the label that most of a row's k nearest others have, ties to the
+    smaller; rows without neighbours (see `nearest`) are left out.
+
+    Where the table is one block, labels travel in it and votes are counted where neighbours are found: nothing is shuffled."""
+    from pyspark.sql import Window
+
+    rows, metric = x.select("id", "v", "label"), metric_of(metric)
+    small = collected(rows, most, finite=True)
+    if small is not None:
+        held = rows.sparkSession.sparkContext.broadcast(small)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            j, block, of = held.value
+            names, code = np.unique(of, return_inverse=True)
+            for batch in batches:
+                known, a = finite_rows(batch.column(1))
+                batch = batch.filter(pa.array(known))
+                ids = batch.column(0).to_numpy()
+                for r, c, *_ in nearest_rows(ids, a, j, block, k, metric, True, digits):
+                    own, at = np.unique(r, return_inverse=True)
+                    votes = np.bincount(at * len(names) + code[c], minlength=len(own) * len(names)).reshape(len(own), len(names))
+                    some = batch.take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(names[votes.argmax(1)].astype(np.int32))], names=["id", "label", "predicted"])
+
+        return rows.mapInArrow(run, "id long, label int, predicted int")
+    labels = rows.select("id", "label")
+    near = nearest(rows.select("id", "v"), rows.select("id", "v"), k, metric, exclude_same=True, most=most, digits=digits)
+    votes = near.join(labels, F.col("j") == F.col("id")).groupBy("i", F.col("label").alias("predicted")).agg(F.count(F.lit(1)).alias("votes"))
+    first = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("votes"), "predicted"))
+    return votes.withColumn("rk", first).filter("rk = 1").join(labels, F.col("i") == F.col("id")).select("id", "label", "predicted")
 
 
 def column_sums(x: DataFrame, columns: list[str], products: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
@@ -213,8 +294,8 @@ def column_sums(x: DataFrame, columns: list[str], products: bool = True) -> tupl
     return n, s, g
 
 
-def vector_products(x: DataFrame, centred: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of rows, column sums, Gram matrix XᵀX) of a table (id, v): D x D partial sums per partition."""
+def vector_products(x: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of rows, column sums, Gram matrix XᵀX) of a table (id, v): one job, 1 + D + D x D partial sums a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, g = 0, None, None
@@ -223,10 +304,13 @@ def vector_products(x: DataFrame, centred: np.ndarray | None = None) -> tuple[in
                 m = rows_of(b.column(b.num_columns - 1))
                 n, s, g = n + len(m), m.sum(0) + (0 if s is None else s), m.T @ m + (0 if g is None else g)
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
-
-    parts = x.mapInArrow(run, "n long, s array<double>, g array<double>")
-    n = parts.agg(F.sum("n")).first()[0] or 0
-    add = lambda c: [r["x"] for r in parts.select(F.posexplode(c).alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).orderBy("p").collect()]
-    s, g = np.array(add("s")), np.array(add("g"))
-    return n, s, g.reshape(len(s), len(s))
+            yield pa.RecordBatch.from_pydict({"s": [[float(n), *s.tolist(), *g.ravel().tolist()]]})
+
+    parts = x.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("p", "x"))
+    got = parts.groupBy("p").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros(got.num_rows)
+    total[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    if not len(total):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    width = (math.isqrt(4 * len(total) - 3) - 1) // 2  # of 1 + D + D * D
+    return int(total[0]), total[1 : 1 + width], total[1 + width :].reshape(width, width)

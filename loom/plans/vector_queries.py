@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loom.operators import kmeans as km
-from loom.operators.vectors import collected, column_sums, distance_matrix, nearest, vector_products
+from loom.operators.vectors import collected, column_sums, distance_matrix, label_votes, nearest, vector_products
 from loom.plans.registry import query
 from loom.plans.views import C_SQL, V_SQL, centroids, load, r, uniform_sql, vectors
 
@@ -53,15 +53,9 @@ SELECT v.label AS label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN predi
        round(sum(CASE WHEN predicted = v.label THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
 FROM w JOIN v ON v.id = w.i WHERE rk = 1 GROUP BY v.label""")
 def knn_label_vote(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    x = v.select("id", "v")
-    near = nearest(x, x, K_VOTE, exclude_same=True, digits=6)
-    labels = v.select("id", "label")
-    votes = near.join(labels, F.col("j") == F.col("id")).groupBy("i", F.col("label").alias("predicted")).agg(F.count(F.lit(1)).alias("votes"))
-    first = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("votes"), "predicted"))
-    best = votes.withColumn("rk", first).filter("rk = 1")
+    votes = label_votes(vectors(spark, sf_dir), K_VOTE, digits=6)
     hit = F.sum((F.col("predicted") == F.col("label")).cast("long"))
-    return best.join(labels, F.col("i") == F.col("id")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), hit.alias("hits"), F.round(hit / F.count(F.lit(1)), 6).alias("accuracy"))
+    return votes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), hit.alias("hits"), F.round(hit / F.count(F.lit(1)), 6).alias("accuracy"))
 
 
 @query(f"""WITH {V_SQL}, {_PAIRS}, k AS (SELECT least(count(*) - 1, 3 * 5 + 1) AS k FROM v)
@@ -73,6 +67,18 @@ def knn_graph(spark, sf_dir):
     return nearest(x, x, k, exclude_same=True, digits=6).select("i", "j", r("dist").alias("dist"))
 
 
+@query(f"""WITH {V_SQL}, b AS (SELECT id, v FROM (SELECT id, id AS vec_id, v FROM v) WHERE vec_id % 7 NOT IN (3, 5)),
+p AS (SELECT a.id AS i, c.id AS j, round(list_distance(a.v, c.v), 6) AS d FROM b a JOIN b c ON a.id <> c.id)
+SELECT i, CAST(rn AS INTEGER) AS rank, j, d + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM p) WHERE rn <= 3""")
+def knn_broken_rows(spark, sf_dir):
+    """Neighbours where two rows of seven have a null vector, or one with a null, NaN or infinite component."""
+    v = vectors(spark, sf_dir).select("id", "v")
+    odd = F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf")), F.lit(float("-inf")), F.lit(None).cast("double")), (F.col("id") % 4 + 1).cast("int"))
+    broken = F.transform("v", lambda x, i: F.when(i == 1, odd).otherwise(x))
+    x = v.select("id", F.when(F.col("id") % 7 == 5, broken).when(F.col("id") % 7 != 3, F.col("v")).alias("v"))
+    return nearest(x, x, 3, exclude_same=True, digits=6).select("i", "rank", "j", r("dist").alias("dist"))
+
+
 @query("""SELECT vec_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) - 0.5) / 0.25, 6) + 0.0) AS v FROM embeddings""")
 def normalize_vectors(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: r((x.cast("double") - 0.5) / 0.25)).alias("v"))
