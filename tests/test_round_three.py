@@ -106,3 +106,39 @@ def test_running_fold_over_ranges(spark, gamma):
         f[k] = f.get(k, 0.0) * gamma + (v or 0.0)
         want[k, t] = f[k]
     assert got.keys() == want.keys() and all(np.isclose(got[x], want[x], rtol=1e-9, atol=1e-9 * max(1, abs(gamma) ** 3000)) for x in want)
+
+
+def test_singular_factors(spark):
+    from loom.operators.lowrank import singular_factors
+
+    rng = np.random.default_rng(5)
+    for m in (rng.standard_normal((90, 7)), rng.standard_normal((9, 30)), rng.standard_normal((60, 4)) @ rng.standard_normal((4, 11)), np.zeros((5, 3)), rng.standard_normal((40, 6)) * 10.0 ** -np.arange(0, 12, 2)):
+        x = frame(spark, enumerate(m)).repartition(3)
+        f = singular_factors(x)
+        s = np.linalg.svd(m, compute_uv=False)
+        assert np.allclose(f.s, s, rtol=1e-6 if s[-1] > 1e-13 else 0, atol=1e-12 * max(1, s[0])) and f.residual <= 1e-10
+        u = np.array([r.u for r in sorted(f.u.collect(), key=lambda r: r.id)])
+        live = f.s > 0
+        assert np.allclose(u.T @ u, np.diag(live.astype(float)), atol=1e-5) and np.allclose(f.v.T @ f.v, np.eye(len(s)), atol=1e-9)
+        assert np.allclose([r.v for r in sorted(f.rebuilt().collect(), key=lambda r: r.id)], m, atol=1e-9)
+    assert singular_factors(x.limit(0)).s.shape == (0,)
+    m = rng.standard_normal((80, 5)) + 3
+    f = singular_factors(frame(spark, enumerate(m)), 2, centred=True)
+    assert np.allclose(f.s, np.linalg.svd(m - m.mean(0), compute_uv=False)[:2]) and np.allclose(f.mean, m.mean(0))
+
+
+def test_low_rank_of_a_wide_table(spark):
+    """20,000 columns: neither the driver nor a task holds a square of them."""
+    import pyarrow as pa
+
+    from loom.operators.lowrank import singular_factors
+
+    rng = np.random.default_rng(6)
+    s = 2.0 ** -np.arange(30)
+    u, v = np.linalg.qr(rng.standard_normal((300, 30)))[0], np.linalg.qr(rng.standard_normal((20_000, 30)))[0]
+    m = (u * s) @ v.T
+    x = spark.createDataFrame(pa.table({"id": np.arange(300), "v": list(m)})).repartition(4)
+    f = singular_factors(x, 16, threshold=1e-8)
+    assert np.allclose(f.s, s[:16], rtol=1e-6) and f.iterations < 20 and f.v.shape == (20_000, 16)
+    got = np.array([r.u for r in sorted(f.u.collect(), key=lambda r: r.id)])
+    assert np.allclose(np.abs((got * u[:, :16]).sum(0)), 1, atol=1e-6)
