@@ -142,3 +142,44 @@ def test_low_rank_of_a_wide_table(spark):
     assert np.allclose(f.s, s[:16], rtol=1e-6) and f.iterations < 20 and f.v.shape == (20_000, 16)
     got = np.array([r.u for r in sorted(f.u.collect(), key=lambda r: r.id)])
     assert np.allclose(np.abs((got * u[:, :16]).sum(0)), 1, atol=1e-6)
+
+
+def exact_repulsion(m):
+    diff = m[:, None] - m[None]
+    w = 1 / (1 + (diff * diff).sum(2))
+    np.fill_diagonal(w, 0)
+    return w.sum(1), ((w * w)[:, :, None] * diff).sum(1)
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_repulsion_by_cells(spark, monkeypatch, d):
+    from loom.operators import repulsion as rp
+
+    monkeypatch.setattr(rp, "ASKERS", 100)
+    rng = np.random.default_rng(d)
+    m = np.concatenate([rng.standard_normal((150, d)), rng.standard_normal((150, d)) * 0.01 + 5, np.tile(np.full((1, d), 2.0), (60, 1)), [[0.0] * d, [-0.0] * d]])
+    x = frame(spark, [*enumerate(m), (900, [float("nan")] * d), (901, [None] * d)])
+    z, f = exact_repulsion(m)
+    for angle, leaf, tol in ((0.0, 8, 1e-9), (0.0, 1000, 1e-9), (0.3, 8, 0.02), (0.5, 1, 0.05)):
+        got = sorted((r.i, r.z, r.f) for r in rp.repulsion(x, angle, leaf).collect())
+        assert [g[0] for g in got] == list(range(len(m)))
+        assert np.allclose([g[1] for g in got], z, rtol=tol)
+        off = np.linalg.norm(np.array([g[2] for g in got]) - f, axis=1)
+        assert off.max() <= max(tol, 1e-9) * np.linalg.norm(f, axis=1).max() * 2
+    assert rp.repulsion(frame(spark, [(1, m[0])])).first().z == 0 and rp.repulsion(x.limit(0)).count() == 0
+
+
+def test_repulsion_of_coincident_points(spark):
+    """100,000 points at one place and 20,000 others, in bounded memory."""
+    import pyarrow as pa
+
+    from loom.operators import repulsion as rp
+
+    rng = np.random.default_rng(9)
+    m = np.concatenate([np.full((100_000, 2), 0.25), rng.standard_normal((20_000, 2)) * 3])
+    x = spark.createDataFrame(pa.table({"id": np.arange(len(m)), "v": list(m)})).repartition(8)
+    got = {r.i: r.z for r in rp.repulsion(x, 0.5).filter("i % 5000 = 0").collect()}
+    for i in got:
+        w = 1 / (1 + ((m - m[i]) ** 2).sum(1))
+        assert np.isclose(got[i], w.sum() - 1, rtol=0.02)
+    assert len(got) == 24
