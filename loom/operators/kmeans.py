@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loom.operators.ordering import uniform_number
+from loom.operators.stored import fresh_path
 from loom.operators.vectors import distance_block, metric_of, rows_of
+from loom.sources.files import filesystem
 
 
 def assign(x: DataFrame, centroids: np.ndarray, metric: str | int = 2, digits: int | None = None) -> DataFrame:
@@ -60,8 +63,8 @@ def update(centroids: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
 
 
-#: k-means++ looks at so many ranges of ids at a time.
-RANGES = 1024
+#: Rows of a chunk of k-means++: 8 bytes each are written a pick.
+CHUNK = 4096
 
 
 def random_rows(x: DataFrame, k: int, seed: int = 0) -> np.ndarray:
@@ -72,39 +75,90 @@ def random_rows(x: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return np.array([r["v"] for r in got], float)
 
 
+def chunked(x: DataFrame) -> str:
+    """Writes (id, v) as chunks of rows in the order of their ids, in folders by range of ids; where they lie."""
+    n = max(1, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = x.select("id", "v").repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("range", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = 0, None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            while t.num_rows >= CHUNK:
+                yield one(t.slice(0, CHUNK), at)
+                t, at = t.slice(CHUNK), at + 1
+            held = t
+        if held is not None and held.num_rows:
+            yield one(held, at)
+
+    def one(t: pa.Table, at: int) -> pa.RecordBatch:
+        m = rows_of(t.column(1).combine_chunks())
+        return pa.RecordBatch.from_pydict({"range": pa.array([t.column(2)[0].as_py()], pa.int32()), "chunk": pa.array([at], pa.int32()), "ids": [t.column(0).to_numpy().astype("<i8").tobytes()], "rows": [m.astype("<f8").tobytes()]})
+
+    path = fresh_path(x.sparkSession, "chunks")
+    rows.mapInArrow(run, "range int, chunk int, ids binary, rows binary").write.partitionBy("range").parquet(path)
+    return path
+
+
+def of_range(path: str, at: int, columns: list[str]) -> list[dict]:
+    """The rows of one range's folder, read where they are needed: by a task for the chunks it has, by the driver for one range."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, root = filesystem(path)
+    found = fs.get_file_info(FileSelector(f"{root}/range={at}", allow_not_found=True))
+    return [r for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet") for r in pq.ParquetFile(fs.open_input_file(f.path)).read(columns).to_pylist()]
+
+
 def plus_plus(x: DataFrame, k: int, seed: int = 0, metric: str | int = 2, power: float = 1.0) -> list[int]:
     """Ids of k rows: the first by md5 order, each further one with a chance in proportion to its distance
     to the nearest row so far (to the power given). Rows stand in the order of their ids; a pick is where the
-    cumulative weight passes a uniform number made of seed and step. The cumulative sums are taken by ranges
-    of ids: only one total for each range comes to the driver."""
-    from loom.plans.views import uniform  # the same numbers in SQL
+    cumulative weight passes a uniform number made of seed and step.
 
+    A pick is two jobs. The first takes every row's distance to the newest pick alone and writes the least so far, 8 bytes a row,
+    a chunk beside each chunk of vectors; vectors are written once. The second sums weights by range of ids. The range that is hit,
+    one folder of the least distances, is looked at by itself. With fewer rows of any weight than asked for, the last are taken."""
     spark = x.sparkSession
-    rows = x.select("id", "v").persist()
-    first = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(1).first()
-    picks, chosen = [first["id"]], [first["v"]]
-    first_id, last_id = rows.agg(F.min("id"), F.max("id")).first()
+    first = x.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").select("id", "v").first()
+    picks, newest = [first["id"]], np.array([first["v"]], float)
+    path, before = chunked(x), None
+    base = spark.read.parquet(path)
     while len(picks) < k:
-        weighted = lambda some: assign(some, np.array(chosen, float), metric).select("id", F.pow(F.round("dist", 9), F.lit(power)).alias("w"))  # noqa: B023, E731
-        u = spark.range(1).select(uniform(seed, F.lit(1_000_000 + len(picks)))).first()[0]
-        low, high, aim, before = first_id, last_id, None, 0.0
-        while True:  # 1,024 ranges of ids at a time, until the range that is hit has that many ids at most
-            width = max(1, -(-(high - low + 1) // RANGES))
-            inside = weighted(rows.filter(F.col("id").between(low, high)))  # distances of these rows only
-            totals = inside.groupBy(F.floor((F.col("id") - low) / width).alias("g")).agg(F.sum("w").alias("w")).orderBy("g").collect()
-            aim = u * sum(t["w"] for t in totals) if aim is None else aim
-            for t in totals:
-                if before + t["w"] > aim:
-                    break
-                before += t["w"]
-            else:
-                before -= t["w"]  # sums of another order fell short: the last range it is
-            low, high = low + t["g"] * width, min(high, low + (t["g"] + 1) * width - 1)
-            if width == 1:
+        u, least = uniform_number(seed, 1_000_000 + len(picks)), fresh_path(spark, "least")
+        held = spark.sparkContext.broadcast((newest, before))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            newest, before = held.value  # noqa: B023
+            known: tuple = (None, {})
+            for b in batches:
+                for i in range(b.num_rows):
+                    at, chunk, rows = (b.column(c)[i].as_py() for c in range(3))
+                    if before and known[0] != at:
+                        known = (at, {r["chunk"]: r["least"] for r in of_range(before, at, ["chunk", "least"])})
+                    d = distance_block(np.frombuffer(rows, "<f8").reshape(-1, newest.shape[1]), newest, metric)[:, 0]
+                    if before:
+                        d = np.minimum(d, np.frombuffer(known[1][chunk], "<f8"))
+                    w = float((np.round(d, 9) ** power).sum())
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([at], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "least": [d.astype("<f8").tobytes()], "w": [w]})
+
+        base.select("range", "chunk", "rows").mapInArrow(run, "range int, chunk int, least binary, w double").write.partitionBy("range").parquet(least)
+        totals = spark.read.parquet(least).groupBy("range").agg(F.sum("w").alias("w")).orderBy("range").collect()
+        aim, passed = u * sum(t["w"] for t in totals), 0.0
+        at = len(totals) - 1
+        for i, t in enumerate(totals):
+            if passed + t["w"] > aim:
+                at = i
                 break
-        picks.append(low)
-        chosen.append(rows.filter(F.col("id") == low).first()["v"])
-    rows.unpersist()
+            passed += t["w"] if i < len(totals) - 1 else 0.0
+        at = totals[at]["range"]
+        chunks = sorted(of_range(least, at, ["chunk", "least"]), key=lambda r: r["chunk"])
+        weights = np.concatenate([np.round(np.frombuffer(r["least"], "<f8"), 9) ** power for r in chunks])
+        over = np.flatnonzero(passed + np.cumsum(weights) > aim)
+        hit = int(over[0]) if len(over) else len(weights) - 1  # sums of another order fell short
+        row = next(r for r in of_range(path, at, ["chunk", "ids", "rows"]) if r["chunk"] == chunks[hit // CHUNK]["chunk"])
+        picks.append(int(np.frombuffer(row["ids"], "<i8")[hit % CHUNK]))
+        newest = np.frombuffer(row["rows"], "<f8").reshape(-1, newest.shape[1])[hit % CHUNK][None, :].copy()
+        before = least
     return picks
 
 

@@ -6,6 +6,8 @@ before its range; nothing is sorted or scanned a second time, and no group or ga
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def shuffle_key(seed: int, c: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+def uniform_number(seed: int, value) -> float:
+    """[0, 1) from the first 13 hexadecimal digits of the same md5."""
+    return int(hashlib.md5(f"{seed}:{value}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
 def positions(df: DataFrame, name: str, order: list, by: tuple[str, ...] = ()) -> DataFrame:
     """df with `name` (long): the position from 0 in `order` within each group of the columns `by`."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

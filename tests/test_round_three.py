@@ -183,3 +183,25 @@ def test_repulsion_of_coincident_points(spark):
         w = 1 / (1 + ((m - m[i]) ** 2).sum(1))
         assert np.isclose(got[i], w.sum() - 1, rtol=0.02)
     assert len(got) == 24
+
+
+@pytest.mark.parametrize("power", [1.0, 2.0])
+def test_plus_plus_equals_running_sums(spark, monkeypatch, power):
+    import hashlib
+
+    from loom.operators import kmeans as km
+
+    monkeypatch.setattr(km, "CHUNK", 13)
+    rng = np.random.default_rng(10)
+    ids = np.sort(rng.choice(10**12, 300, replace=False))
+    m = np.concatenate([rng.standard_normal((200, 3)), np.ones((100, 3))])
+    x = frame(spark, [(int(i), v) for i, v in zip(ids, m)]).repartition(5)
+    h = lambda v: hashlib.md5(f"4:{v}".encode()).hexdigest()
+    want = [min(ids.tolist(), key=h)]
+    while len(want) < 6:
+        d = vectors.distance_block(m, m[[ids.tolist().index(i) for i in want]], 2).min(1)
+        run = np.cumsum(np.round(d, 9) ** power)
+        want.append(int(ids[np.flatnonzero(run > run[-1] * int(h(1_000_000 + len(want))[:13], 16) / 2**52)[0]]))
+    assert km.plus_plus(x, 6, seed=4, power=power) == want
+    same = frame(spark, [(i, [1.0, 2.0]) for i in range(30)])
+    assert len(km.plus_plus(same, 3)) == 3  # no distance at all
