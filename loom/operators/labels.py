@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loom.operators.ordering import in_order, shuffled
+from loom.operators.ordering import in_order, numbered, shuffled
 
 UNLABELED = -1
 
 
 def class_index(df: DataFrame, class_col: str, name: str = "target", classes: list[str] | None = None) -> DataFrame:
     """df with the place of its class among the sorted distinct classes, or in the list given (rows of other
-    classes are dropped then). Only distinct classes are sorted together."""
+    classes are dropped then). Distinct classes are sorted; more than a few by ranges, in many tasks."""
     if classes is None:
-        found = df.select(class_col).distinct().withColumn(name, (F.row_number().over(Window.orderBy(class_col)) - 1).cast("int"))
+        found = numbered(df.select(class_col).distinct(), name, [class_col])
     else:
         found = df.sparkSession.createDataFrame(list(zip(classes, range(len(classes)))), f"{class_col} string, {name} int")
     return df.join(found, class_col)
@@ -95,7 +95,7 @@ def numeric_first(names: DataFrame, col: str) -> DataFrame:
     """Distinct names with their place: digits in numeric order, then the others by code point."""
     digits = F.col(col).rlike("^[0-9]+$")
     order = [F.when(digits, 0).otherwise(1), F.when(digits, F.expr(f"try_cast({col} AS BIGINT)")), F.col(col)]
-    return names.select(col).distinct().withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    return numbered(names.select(col).distinct(), "pos", order)
 
 
 def name_list(lines: DataFrame) -> DataFrame:

@@ -80,8 +80,40 @@ def folder_signature(spark, folder: str, kind: str = "sha256", but: str | None =
     names = directory(spark, folder).select("path", "rel")
     if but:
         names = names.filter(~F.regexp_replace("path", "^file:/+", "/").eqNullSafe(F.regexp_replace(F.lit(but), "^file:/+", "/")))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("from"), "content")
-    return signature(names.join(files, F.col("path") == F.col("from")), "rel", "content", kind)
+    return file_hashes(names.filter(~hidden(F.col("rel"))), "path", kind).select("rel", "hash")
+
+
+#: Bytes of a file that a task holds at a time.
+PIECE = 4 << 20
+
+
+def file_hashes(files: DataFrame, path_col: str, kind: str = "sha256") -> DataFrame:
+    """files with `hash`: the digest of each file's bytes, read a piece at a time by the task that has its path."""
+    import hashlib
+
+    if kind not in ("sha256", "sha1", "md5"):
+        raise ValueError(f"unknown kind {kind!r} of hash")
+    at = files.columns.index(path_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from loom.sources.files import opened
+
+        for b in batches:
+            out = []
+            for path in b.column(at).to_pylist():
+                digest = hashlib.new(kind)
+                with opened(path) as f:
+                    while piece := f.read(PIECE):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "hash"])
+
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(files.schema.fields))
+    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = files.toDF(*[f"c{i}" for i in range(len(files.columns))]).repartition(n).mapInArrow(run, f"{schema}, hash string")
+    return out.toDF(*files.columns, "hash")
 
 
 def validate_folder(spark, folder: str, kind: str = "sha256", signed: str | None = None) -> None:

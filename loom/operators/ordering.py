@@ -48,3 +48,14 @@ def shuffled(df: DataFrame, name: str, seed: int, id_col: str, by: tuple[str, ..
 
 def in_order(df: DataFrame, name: str, id_col: str, by: tuple[str, ...] = ()) -> DataFrame:
     return positions(df, name, [F.col(id_col)], by)
+
+
+#: Distinct values up to so many are numbered in one task.
+FEW = 100_000
+
+
+def numbered(values: DataFrame, name: str, order: list) -> DataFrame:
+    """values, which are distinct, with `name` (int): their position from 0 in `order`. A few in one task, more by ranges."""
+    if values.limit(FEW + 1).count() <= FEW:
+        return values.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    return positions(values, name, [F.col(c) if isinstance(c, str) else c for c in order]).withColumn(name, F.col(name).cast("int"))

@@ -1,7 +1,7 @@
 """Splitting labelled samples into tasks: disjoint and blurry categories, exposure, shares and batches.
 
 Random permutations are orders of md5(seed:id). Samples are numbered by ranges (ordering.positions), so a
-task or category that holds most samples is still many tasks' work; only categories are sorted in one place."""
+task or category that holds most samples is still many tasks' work; so are categories where there are many."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loom.operators.labels import UNLABELED
-from loom.operators.ordering import in_order, shuffle_key, shuffled
+from loom.operators.ordering import in_order, numbered, shuffle_key, shuffled
 
 
 def checked_axes(samples: DataFrame, axes: list[str]) -> DataFrame:
@@ -30,7 +30,7 @@ def checked_axes(samples: DataFrame, axes: list[str]) -> DataFrame:
 def categories(samples: DataFrame, key: str) -> DataFrame:
     """(category, at): sorted distinct keys without UNLABELED."""
     found = samples.select(F.col(key).alias("category")).filter(F.col("category") != UNLABELED if dict(samples.dtypes)[key] != "string" else F.lit(True)).distinct()
-    return found.withColumn("at", (F.row_number().over(Window.orderBy("category")) - 1).cast("int"))
+    return numbered(found, "at", ["category"])
 
 
 def category_product(samples: DataFrame, axes: list[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def category_product(samples: DataFrame, axes: list[str]) -> DataFrame:
     numbers of distinct labels, never of samples."""
     parts = [samples.select(a).filter(F.col(a) != UNLABELED).distinct() for a in axes]
     both = reduce(lambda a, b: a.join(b), parts)
-    return both.withColumn("at", (F.row_number().over(Window.orderBy(*axes)) - 1).cast("int"))
+    return numbered(both, "at", axes)
 
 
 def cut_sizes(total: int, tasks: int, seed: int) -> list[int]:
@@ -60,7 +60,7 @@ def split_categories(cats: DataFrame, tasks: int, n: int, seed: int, varying: bo
     c = cats.count()
     disjoint = c * n // 100 // tasks * tasks
     blurry = (c - disjoint) // tasks * tasks
-    order = cats.withColumn("pos", F.row_number().over(Window.orderBy(shuffle_key(seed, F.col("at")), "at")) - 1)
+    order = numbered(cats, "pos", [shuffle_key(seed, F.col("at")), "at"])
     kind = F.when(F.col("pos") < disjoint, "disjoint").when(F.col("pos") < disjoint + blurry, "blurry")
     place = F.when(F.col("pos") < disjoint, F.col("pos")).otherwise(F.col("pos") - disjoint)
 

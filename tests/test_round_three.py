@@ -205,3 +205,199 @@ def test_plus_plus_equals_running_sums(spark, monkeypatch, power):
     assert km.plus_plus(x, 6, seed=4, power=power) == want
     same = frame(spark, [(i, [1.0, 2.0]) for i in range(30)])
     assert len(km.plus_plus(same, 3)) == 3  # no distance at all
+
+
+def test_hierarchy_of_paths(spark):
+    from loom.operators import hierarchy as hi
+
+    paths = ["a/b/c.txt", "a/b/d.txt", "a/e", "f", "a/b/g/h/i/j", "a/b/c.txt", "a/b", "", None]
+    files = spark.createDataFrame([(p, 10 + i) for i, p in enumerate(paths)], "path string, size long")
+    tree = hi.nodes(files, size_col="size").cache()
+    got = {r.path: r for r in tree.collect()}
+    assert set(got) == {"", "a", "a/b", "a/b/c.txt", "a/b/d.txt", "a/e", "f", "a/b/g", "a/b/g/h", "a/b/g/h/i", "a/b/g/h/i/j"}
+    assert got["a/b/c.txt"].size == 25 and got["a/b"].size == 16 and got["a/b"].kind == "directory" and got["a/b/g"].parent == "a/b" and got["f"].parent == "" and got[""].parent is None
+    pairs = hi.closure(tree).cache()
+    want = {("", p, len(p.split("/")) if p else 0) for p in got} | {(p, q, q.count("/") - p.count("/")) for p in got if p for q in got if q == p or q.startswith(p + "/")}
+    assert {tuple(r) for r in pairs.collect()} == want and pairs.count() == len(want)
+    total = {r.path: (r["size"], r.files) for r in hi.sizes(tree, pairs).collect()}
+    assert total[""] == (sum(10 + i for i in range(7)), 5) and total["a/b"] == (10 + 11 + 14 + 15 + 16, 3) and total["f"] == (13, 1)
+    assert sorted(r.path for r in hi.children(tree, "a/b").collect()) == ["a/b/c.txt", "a/b/d.txt", "a/b/g"]
+    asked = spark.createDataFrame([("a/b/g",), ("f",), ("f",), ("none",)], "p string")
+    assert sorted((r.top, r.path, r.distance) for r in hi.below(tree, pairs, asked, "p").collect()) == [("a/b/g", "a/b/g", 0), ("a/b/g", "a/b/g/h", 1), ("a/b/g", "a/b/g/h/i", 2), ("a/b/g", "a/b/g/h/i/j", 3), ("f", "f", 0)]
+    assert [r.path for r in hi.found(tree, "e").collect()] == ["a/e"] and sorted(r.name for r in hi.found(tree, ".txt").collect()) == ["c.txt", "d.txt"]
+    cut = {r.path: (r.kind, r["size"]) for r in hi.nodes(files, size_col="size", depth=2).collect()}
+    assert cut["a/b"] == ("file", 10 + 11 + 14 + 15 + 16) and "a/b/g" not in cut
+    for loop in ([(1, 2), (2, 3), (3, 1)], [(1, 1)]):
+        with pytest.raises(ValueError, match="back"):
+            hi.closure(spark.createDataFrame(loop, "path long, parent long"))
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "path long, parent long")
+    assert hi.closure(chain).count() == 40 * 41 // 2
+
+
+class Reader:
+    """The rules of `strict`, one character after the other."""
+
+    def __init__(self, text):
+        self.t, self.i = text.split("\0")[0], 0
+
+    def peek(self):
+        return self.t[self.i] if self.i < len(self.t) else ""
+
+    def want(self, ok):
+        if not ok:
+            raise ValueError(self.i)
+
+    def space(self):
+        while True:
+            if self.peek() and self.peek() in " \t\n\v\f\r":
+                self.i += 1
+            elif self.t.startswith("//", self.i):
+                while self.peek() not in ("", "\n"):
+                    self.i += 1
+            elif self.t.startswith("/*", self.i):
+                end = self.t.find("*/", self.i + 2)
+                self.want(end >= 0)
+                self.i = end + 2
+            else:
+                return
+
+    def string(self):
+        self.want(self.peek() == '"')
+        self.i += 1
+        while self.peek() != '"':
+            self.want(self.peek())
+            if self.peek() == "\\":
+                self.i += 1
+                c = self.peek()
+                self.want(c and c in '"\\/bfnrtu')
+                if c == "u":
+                    h = self.t[self.i + 1 : self.i + 5]
+                    self.want(len(h) == 4 and all(x in "0123456789abcdefABCDEF" for x in h) and not 0xD800 <= int(h, 16) <= 0xDFFF)
+                    self.i += 4
+            self.i += 1
+        self.i += 1
+
+    def number(self):
+        a = self.i
+        digit = lambda: self.peek() and self.peek() in "0123456789"
+
+        def digits():
+            while digit():
+                self.i += 1
+
+        self.i += self.peek() == "-"
+        if self.peek() == "0":
+            self.i += 1
+            self.want(not digit())
+        digits()
+        real = False
+        if self.peek() == ".":
+            self.i, real = self.i + 1, True
+            self.want(digit())
+            digits()
+        if self.peek() and self.peek() in "eE":
+            self.i, real = self.i + 1, True
+            self.i += bool(self.peek() and self.peek() in "+-")
+            self.want(digit())
+            digits()
+        n = self.t[a : self.i]
+        self.want(n != "-")
+        v = float(n)  # ValueError where there are no digits
+        self.want(abs(v) < float("inf") and (abs(v) >= 2.2250738585072014e-308 or not any(c in "123456789" for c in n.lower().split("e")[0])) if real else -(2**63) <= int(n) < 2**63)
+
+    def value(self):
+        self.space()
+        c = self.peek()
+        if c == '"':
+            return self.string()
+        if c and c in "-0123456789":
+            return self.number()
+        for word in ("true", "false", "null"):
+            if c == word[0]:
+                self.want(self.t.startswith(word, self.i))
+                self.i += len(word)
+                return None
+        self.want(c and c in "[{")
+        close, self.i = {"[": "]", "{": "}"}[c], self.i + 1
+        self.space()
+        if self.peek() == close:
+            self.i += 1
+            return None
+        while True:
+            self.space()
+            if close == "}":
+                self.string()
+                self.space()
+                self.want(self.peek() == ":")
+                self.i += 1
+            self.value()
+            self.space()
+            if self.peek() == close:
+                self.i += 1
+                return None
+            self.want(self.peek() == ",")
+            self.i += 1
+
+    def accepts(self):
+        try:
+            self.value()
+            self.space()
+            return self.i == len(self.t)
+        except ValueError:
+            return False
+
+
+def test_strict_json(spark):
+    import random
+
+    from loom.sources.json_text import strict
+
+    r = random.Random(11)
+    bits = ["{", "}", "[", "]", ":", ",", '"a"', '"a"', "1", "0", "-", "-0", "01", "-.5", ".5", "1.", "1e5", "1E+2", "-e5", "1e400", "1e-310", "0.0e-999", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "true", "false", "null", "nul", "truex", " ", "\n", "\v", "\f", "// x\n", "// \"x", "/* \" */", "/* * */", "/*", "*/", "/", '"\\n"', '"\\x"', '"\\u00e9"', '"\\ud83d\\ude00"', '"\\u12"', '"\n\t"', '"\\\\"', '"\\"', '"', "\\", "é", "NaN", "Infinity", "'a'", "+1", "\0", "/**/", '"/*"', '"//"', "1 2", "s"]
+    texts = ["", " ", "{}", "[]", "[1,]", '{"a":1,}', '{"a":1,"a":2}', "1]", "[1", "1, 2", "1] [2", '1},{"a":1', '{"a" 1}', "[,1]", '{"a":[{"b":[]},-.5e1,"x\\/"]} // end', "[" * 300 + "]" * 300, '"' + "\\n" * 20_000 + '"', "[" + "1," * 20_000 + "1]", "/*" + "*" * 20_000 + "*/ 1", "1\0 x", '"a\0"', "-", "--1", "1-1", "tru", "truefalse", "[true false]", "1/**/2", '"a""b"']
+    for _ in range(1500):
+        texts.append("".join(r.choice(bits) for _ in range(r.randrange(1, 7))))
+
+    def made(depth):
+        k = r.randrange(7)
+        if k == 0 and depth < 4:
+            return "[" + ",".join(made(depth + 1) for _ in range(r.randrange(3))) + r.choice(["]"] * 9 + [",]"])
+        if k == 1 and depth < 4:
+            return "{" + ",".join(r.choice(['"k"', ' "k" ', '/**/"k"']) + ":" + made(depth + 1) for _ in range(r.randrange(3))) + r.choice(["}"] * 9 + [",}"])
+        return r.choice(bits)
+
+    texts += [made(0) for _ in range(800)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string").repartition(4)
+    got = {x.i: x.ok for x in df.select("i", strict(F.col("t")).alias("ok")).collect()}
+    assert got.pop(-1) is None
+    wrong = [(t[:60], got[i]) for i, t in enumerate(texts) if got[i] != Reader(t).accepts()]
+    assert not wrong, wrong[:10]
+    assert sum(got.values()) > 200
+
+
+def test_codes_of_many_classes(spark, monkeypatch):
+    from loom.operators import labels, ordering
+
+    monkeypatch.setattr(ordering, "FEW", 50)
+    df = spark.range(1000).select("id", F.concat(F.lit("c"), F.col("id") % 300).alias("class"))
+    names = sorted({f"c{i}" for i in range(300)})
+    got = labels.class_index(df, "class").collect()
+    assert len(got) == 1000 and all(names[r.target] == r["class"] for r in got)
+    order = labels.numeric_first(spark.createDataFrame([(str(i),) for i in range(200)] + [("x",), ("a",)], "n string"), "n").collect()
+    assert [r.n for r in sorted(order, key=lambda r: r.pos)] == [*map(str, range(200)), "a", "x"]
+
+
+def test_file_hashes_by_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from loom.operators import manifest as mf
+
+    monkeypatch.setattr(mf, "PIECE", 7)
+    (tmp_path / "a").write_bytes(b"0123456789" * 5)
+    (tmp_path / "b").write_bytes(b"")
+    df = spark.createDataFrame([(str(tmp_path / "a"), 1), (f"file://{tmp_path}/b", 2)], "path string, `x.y` int")
+    for kind in ("sha256", "sha1", "md5"):
+        got = {r["x.y"]: r.hash for r in mf.file_hashes(df, "path", kind).collect()}
+        assert got == {1: hashlib.new(kind, b"0123456789" * 5).hexdigest(), 2: hashlib.new(kind, b"").hexdigest()}
+    with pytest.raises(ValueError):
+        mf.file_hashes(df, "path", "crc")
