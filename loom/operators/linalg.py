@@ -119,6 +119,14 @@ def batched(df: DataFrame, work) -> DataFrame:
     return df.select("batch_id", "m").mapInArrow(run, "batch_id long, m array<array<double>>")
 
 
+def batched_cells(df: DataFrame, work) -> DataFrame:
+    """(batch_id, i, j, x): the cells of work(matrix), for every row of (batch_id, m array<array<double>>)."""
+    from pyspark.sql import functions as F
+
+    cells = batched(df, work).select("batch_id", F.posexplode("m").alias("i", "row"))
+    return cells.select("batch_id", "i", F.posexplode("row").alias("j", "x"))
+
+
 def ridge(gram: np.ndarray, q: np.ndarray, r: float) -> np.ndarray:
     """(G + rI)^-1 Q"""
     return np.linalg.solve(gram + r * np.eye(len(gram)), q)

@@ -58,12 +58,12 @@ def scan_keep(spark, sf_dir):
 @query(f"""WITH {_PATHS}, leaf AS (SELECT idx, string_split(path, '/')[-1] AS name FROM paths), exact AS (SELECT * FROM leaf WHERE name = '25')
 SELECT * FROM exact UNION ALL SELECT * FROM leaf WHERE name <> '25' AND contains(name, '25') AND NOT EXISTS (SELECT 1 FROM exact)""")
 def path_find(spark, sf_dir):
-    """Leaves of exactly this name, else those that contain it."""
-    leaf = paths(spark, sf_dir).select("idx", F.element_at(F.split("path", "/"), -1).alias("name"))
-    same = leaf.filter(F.col("name") == "25")
-    none = same.limit(1).agg((F.count(F.lit(1)) == 0).alias("none"))
-    like = leaf.filter(F.contains("name", F.lit("25")) & (F.col("name") != "25"))
-    return same.unionByName(like.join(F.broadcast(none), F.col("none")).select("idx", "name"))
+    """Leaves of exactly this name, else those that contain it; a page is a leaf of its path."""
+    from loom.operators import hierarchy as hi
+
+    p = paths(spark, sf_dir)
+    leaves = hi.found(p.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("file").alias("kind"), "idx"), "25")
+    return leaves.select("idx", "name")
 
 
 @query("SELECT doc_id AS idx, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

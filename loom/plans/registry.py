@@ -18,7 +18,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 #: Modules of this package whose queries are registered.
-MODULES = ["vector_queries", "label_queries", "scalar_queries", "stat_queries"]
+MODULES = ["vector_queries", "label_queries", "scalar_queries", "stat_queries", "matrix_queries"]
 
 
 def _all() -> dict[str, tuple]:
