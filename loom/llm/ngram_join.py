@@ -1,11 +1,13 @@
 """Near-duplicate join on word shingles by a MinHash LSH forest, with exact verification.
 
 1. Signatures. Texts become sets of 5-word shingles; texts with equal sets are one class. A class has TREES
-   min-hash sequences of `depth` values, each a path in a prefix trie.
-2. Forest. Two classes are candidates where they share a trie node. Prefixes are shortened from the deepest
-   level until 1 - (1 - s^d)^TREES, the chance that a pair of similarity s shares a node, reaches the target,
-   and once more, which misses less; a node's size plays no part in it. The trie is never built: a level is a grouping by the hash of a prefix, counted with map-side
-   sums, so a node that holds a third of all classes is one row of each map task.
+   min-hash sequences, each a path in a prefix trie.
+2. Forest. Two classes are candidates where they share a trie node. Prefixes begin at the deepest level at which a pair just at the
+   similarity s shares a node with the target probability, 1 - (1 - s^d)^TREES, and are shortened, a value at a time, until the
+   recall measured on the texts themselves reaches the target: while signatures are made, every text is compared
+   exactly with SAMPLE texts chosen by hash, and the links found are counted by the longest prefix that the two share. All nodes
+   have the same depth then, so a node's size plays no part. The trie is never built: a level is a grouping by the hash of a
+   prefix, counted with map-side sums, so a node that holds a third of all classes is one row of each map task.
 3. Canonical nodes. A pair that shares several nodes is dealt with in the first tree where it does. Nodes are
    cut into tiles of at most TILE by TILE classes; a light pass over 8-byte node numbers finds which classes
    have a pair to verify in which tile, and only their texts travel there. In crowded tiles, pairs whose sets
@@ -18,15 +20,17 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.llm.common import WHITE, named, parts_for, ranges, slices, text_of, texts_of, written
+from loom.llm.common import WHITE, met, named, parts_for, ranges, slices, text_of, texts_of, written
 from loom.llm.words import mix, shingles_of
 
 SHINGLE, SIMILARITY, TREES, DEEPEST, RECALL = 5, 0.8, 16, 8, 0.995
@@ -39,6 +43,15 @@ SMALL_NODE = 64
 BROADCAST_CLASSES = 300_000
 
 
+#: Texts chosen by hash (of at most SAMPLE_BYTES each) that all texts are compared with to measure recall, and how many links to
+#: them it takes to measure: with fewer the depth is that of the formula, less one.
+SAMPLE, SAMPLE_BYTES, LEAST_LINKS = 1024, 16_384, 200
+#: Shingles that more of the sampled texts hold don't find pairs to compare; they count in the comparison.
+COMMON = 32
+
+log = logging.getLogger(__name__)
+
+
 def depth_for(similarity: float, trees: int, recall: float, deepest: int = DEEPEST) -> int:
     """The deepest prefix at which a pair of that similarity shares a node with probability >= recall."""
     for d in range(deepest, 1, -1):
@@ -59,11 +72,72 @@ def min_hashes(s: np.ndarray, offsets: np.ndarray, k: int, seed: int = 1) -> np.
     return out
 
 
-def signatures(trees: int, depth: int, size: int):
-    """Arrow function: (id, text hash, text) -> (ng_id, ng_mark, ng_set, ng_set2, ng_count, ng_nodes): a
-    row for each text with words; ng_nodes are its node numbers at `depth`."""
-
-    def batch(ids: list, marks: list, texts: list[bytes]) -> pa.RecordBatch | None:
+@dataclass
+class Sample:
+    """Some texts' sets, none near another, by which recall is measured."""
+
+    shingles: np.ndarray  # ascending; those of at most COMMON texts
+    owner: np.ndarray
+    rare: np.ndarray  # how many of these each text has
+    sets: list[np.ndarray]
+    paths: np.ndarray  # (texts, trees, depth)
+
+    def longest(self, text: np.ndarray, s: np.ndarray, starts: np.ndarray, paths: np.ndarray, similarity: float) -> np.ndarray:
+        """Numbers of links between the texts given (the sorted sets s, text by text) and sampled ones of other sets, by the
+        length of the longest prefix that the two have in common in any tree."""
+        out = np.zeros(self.paths.shape[2] + 1, np.int64)
+        if not len(self.shingles):
+            return out
+        first = np.searchsorted(self.shingles, s)
+        hit = np.flatnonzero(self.shingles[np.minimum(first, len(self.shingles) - 1)] == s)
+        many = np.searchsorted(self.shingles, s[hit], side="right") - first[hit]
+        own = np.repeat(text[hit], many)
+        other = self.owner[np.repeat(first[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        pair, common = np.unique(own * len(self.sets) + other, return_counts=True)
+        # of a linked text most of what is rare is shared; the rest is decided exactly
+        for p in pair[2 * common >= self.rare[pair % len(self.sets)]]:
+            i, j = divmod(int(p), len(self.sets))
+            mine, theirs = s[starts[i] : starts[i + 1]], self.sets[j]
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if both < max(len(mine), len(theirs)) or len(mine) != len(theirs):
+                if both >= similarity * (len(mine) + len(theirs) - both) - 1e-9:
+                    same = np.logical_and.accumulate(paths[i] == self.paths[j], axis=1)
+                    out[same.sum(1).max()] += 1
+        return out
+
+
+def sampled(given: DataFrame, total: int, trees: int, depth: int, size: int) -> Sample:
+    """SAMPLE texts by hash, equal ones once; of those near each other (half or more in common) the first."""
+    some = given.filter(F.octet_length("ng_text") <= SAMPLE_BYTES).filter(F.pmod(F.xxhash64(F.lit(9), "ng_mark"), F.lit(max(1, total))) < SAMPLE)
+    texts = some.groupBy("ng_mark").agg(F.first("ng_text").alias("text")).orderBy("ng_mark").limit(2 * SAMPLE).toArrow()
+    s, off = shingles_of(texts_of(texts.column("text").combine_chunks()), size) if texts.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    sets = [np.unique(s[off[i] : off[i + 1]]) for i in range(len(off) - 1) if off[i + 1] > off[i]]
+    kept: list[int] = []
+    if sets:
+        n, every = np.array([len(x) for x in sets]), np.arange(len(sets))
+        both = common_counts(sets, every, every)
+        near = both >= 0.5 * (n[:, None] + n[None, :] - both)
+        for i in every:
+            if not near[i, kept].any():
+                kept.append(int(i))
+    sets = [sets[i] for i in kept]
+    if not sets:
+        return Sample(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros((0, trees, depth), np.uint32))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    paths = min_hashes(flat, np.concatenate([[0], np.cumsum([len(x) for x in sets])]), trees * depth).reshape(len(sets), trees, depth)
+    _, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+    few = times[back] <= COMMON
+    order = np.argsort(flat[few], kind="stable")
+    owner = owner[few][order]
+    return Sample(flat[few][order], owner, np.bincount(owner, minlength=len(sets)), sets, paths)
+
+
+def signatures(trees: int, depth: int, size: int, similarity: float, sent):
+    """Arrow function: (id, text hash, text) -> (ng_id, ng_mark, ng_set, ng_set2, ng_count, ng_paths): a
+    row for each text with words; ng_paths are its paths, `depth` values a tree. A row with ng_count 0 has numbers of
+    links to sampled texts by length of prefix instead."""
+
+    def batch(ids: list, marks: list, texts: list[bytes], seen: np.ndarray) -> pa.RecordBatch | None:
         s, off = shingles_of(texts, size)
         has = np.flatnonzero(np.diff(off) > 0)
         if not len(has):
@@ -80,25 +154,41 @@ def signatures(trees: int, depth: int, size: int):
         with np.errstate(over="ignore"):
             one = mix(np.add.reduceat(mix(s), starts[:-1]) + count.astype(np.uint64))
             two = mix(np.bitwise_xor.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts[:-1]) + np.uint64(1))
-            m = min_hashes(s, starts, trees * depth).reshape(len(has), trees, depth).astype(np.uint64)
-            node = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64) + np.uint64(77)), (len(has), trees))
-            for d in range(depth):
-                node = mix(node * np.uint64(0x9E3779B97F4A7C15) + m[:, :, d])
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(has) + 1) * trees, trees, dtype=np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
+            m = min_hashes(s, starts, trees * depth)
+        seen += sent.value.longest(text, s, starts, m.reshape(len(has), trees, depth), similarity)
+        return rows([ids[i] for i in has], [marks[i] for i in has], one.view(np.int64), two.view(np.int64), count.astype(np.int32), m.view(np.int32))
+
+    def rows(ids, marks, one, two, count, paths: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(paths) + 1, dtype=np.int32) * paths.shape[1]), pa.array(paths.ravel()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in has], pa.int64()), pa.array([marks[i] for i in has], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count.astype(np.int32)), lists(node)],
-            names=["ng_id", "ng_mark", "ng_set", "ng_set2", "ng_count", "ng_nodes"],
+            [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(count, pa.int32()), lists],
+            names=["ng_id", "ng_mark", "ng_set", "ng_set2", "ng_count", "ng_paths"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(depth + 1, np.int64)
         for b in slices(batches, most=1 << 20):
-            out = batch(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)))
+            out = batch(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), seen)
             if out is not None:
                 yield out
+        if seen.any():
+            yield rows([None], [0], [0], [0], [0], np.minimum(seen, np.iinfo(np.int32).max).astype(np.int32)[None, :])
 
     return run
 
 
+def shortened(seen: np.ndarray, deepest: int, recall: float) -> tuple[int, float | None]:
+    """(depth, its measured recall) from numbers of links by the longest shared prefix: from `deepest` on, shortened until the links
+    that share so long a prefix are `recall` of all. With fewer than LEAST_LINKS nothing is measured, and it is one less."""
+    total = int(seen.sum())
+    if total < LEAST_LINKS:
+        return max(1, deepest - 1), None
+    depth = deepest
+    while depth > 1 and seen[depth:].sum() < recall * total:
+        depth -= 1
+    return depth, float(seen[depth:].sum() / total)
+
+
 def first_shared(left: np.ndarray, right: np.ndarray, tree: int) -> np.ndarray:
     """Which pairs share a node in no tree before `tree`. left (a, TREES), right (b, TREES): node numbers."""
     seen = np.zeros((len(left), len(right)), bool)
@@ -227,7 +317,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
     n_copies (long: rows with the same shingle set).
 
     Similarity is Jaccard's over sets of `size` words (by 64-bit hashes); words are split at white space. Links are
-    verified exactly; each is found with at least the probability `recall`.
+    verified exactly; one just at the similarity is found with about the probability `recall`, and of all links, as measured on
+    a sample, that share is.
 
     Defined cases: a text of fewer words is one shingle of all its words; null, empty and white texts have
     no shingles and are linked to nothing, each a group of its own; rows with a null id take part, and an id
@@ -267,16 +358,25 @@ def _linked(docs: DataFrame, id_col, text_col, similarity=SIMILARITY, size=SHING
     """(ng_id, ng_mark, ng_text of all rows; ng_id, ng_mark, best, copy_id, copies, links of the rows with words). ng_mark is a
     hash of the text; best (none, id, mark) is the row of the group that stands for it."""
     spark = docs.sparkSession
-    depth = max(1, depth_for(similarity, trees, recall) - 1)
+    deepest = depth_for(similarity, trees, recall)
     text = text_of(text_col)
     given = docs.select(named(id_col).cast("long").alias("ng_id"), F.xxhash64(text).alias("ng_mark"), text.alias("ng_text"))
-    schema = "ng_id long, ng_mark long, ng_set long, ng_set2 long, ng_count int, ng_nodes array<long>"
-    rows = written(given.mapInArrow(signatures(trees, depth, size), schema), "signatures")
+    total = docs.count()
+    sent = spark.sparkContext.broadcast(sampled(given, total, trees, deepest, size))
+    schema = "ng_id long, ng_mark long, ng_set long, ng_set2 long, ng_count int, ng_paths array<int>"
+    made = written(given.mapInArrow(signatures(trees, deepest, size, similarity, sent), schema), "signatures")
+    seen = np.zeros(deepest + 1, np.int64)
+    for r in made.filter("ng_count = 0").select(F.posexplode("ng_paths").alias("length", "n")).groupBy("length").agg(F.sum("n").alias("n")).collect():
+        seen[r["length"]] = r["n"]
+    depth, reached = shortened(seen, deepest, recall)
+    log.info("prefixes of %d, measured recall %s of %d links", depth, reached, seen.sum())
+    rows = made.filter("ng_count > 0")
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.slice("ng_paths", t * deepest + 1, depth))).alias("ng_nodes")
     same_set = ["ng_set", "ng_set2", "ng_count"]
     # classes of equal sets; their smallest id and their number of rows
     rep = F.min(F.struct(F.col("ng_id").isNull().alias("none"), F.col("ng_id").alias("id"), F.col("ng_mark").alias("mark"))).alias("rep")
-    classes = rows.groupBy(*same_set).agg(rep, F.count(F.lit(1)).alias("copies"), F.first("ng_nodes").alias("ng_nodes"))
-    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "rep", "copies", "ng_nodes"), "classes")
+    classes = rows.groupBy(*same_set).agg(rep, F.count(F.lit(1)).alias("copies"), F.first("ng_paths").alias("ng_paths"))
+    classes = written(classes.select(*same_set, F.xxhash64(*same_set).alias("cls"), "rep", "copies", nodes), "classes")
 
     # the forest: nodes with at least two classes
     paths = classes.select("cls", F.col("ng_count").alias("size"), F.posexplode("ng_nodes").alias("tree", "node"))
@@ -313,7 +413,8 @@ def _linked(docs: DataFrame, id_col, text_col, similarity=SIMILARITY, size=SHING
     best = comp.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("best"))
     of_class = classes.join(links, "cls", "left").join(comp.join(best, "root").select("cls", "best"), "cls", "left")
     of_class = of_class.select(*same_set, F.col("rep.id").alias("copy_id"), F.coalesce("best", "rep").alias("best"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return given, rows.select("ng_id", "ng_mark", *same_set).join(of_class, same_set).drop(*same_set)
+    # a set that many rows have meets them by a broadcast
+    return given, met(rows.select("ng_id", "ng_mark", *same_set), of_class, same_set, "copies", total).drop(*same_set)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -208,13 +208,13 @@ def test_crowded_nodes_miss_no_more(spark, monkeypatch):
     """Links don't depend on what counts as a crowded node, and one tree of prefixes of 4 finds what it must."""
     rng = np.random.default_rng(3)
     base, rows = [f"v{rng.integers(1 << 30)}" for _ in range(104)], []
-    for k in range(100):  # any two have 90 of 110 shingles in common, or more
+    for k in range(140):  # any two have 90 of 110 shingles in common, or more
         own = base[:]
         own[5 + k % 95] = f"u{k}"
         rows.append((k, " ".join(own)))
     df, found = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), []
     s, off = Words([t for _, t in rows]).shingles(5)
-    mins = ngram_join.min_hashes(s, off, 4)
+    mins = np.ascontiguousarray(ngram_join.min_hashes(s, off, 5)[:, :4])  # paths are 5 long, prefixes shortened to 4
     together = Counter(map(bytes, mins))
     assert max(together.values()) > 64  # crowded
     for small in (1000, 64, 2):
@@ -228,6 +228,44 @@ def test_depth_follows_recall():
     assert ngram_join.depth_for(0.8, 16, 0.9999) < 5 <= ngram_join.depth_for(0.9, 16, 0.995)
 
 
+def test_prefixes_are_shortened_until_the_measured_recall():
+    few, many = np.array([0, 1, 2, 3, 4, 5]), np.array([0, 1, 10, 40, 350, 9600])
+    assert ngram_join.shortened(few, 5, 0.995) == (4, None)
+    assert ngram_join.shortened(many, 5, 0.95) == (5, 9600 / 10001)
+    assert [ngram_join.shortened(many, 5, r)[0] for r in (0.96, 0.99, 0.995, 0.999, 1.0)] == [4, 4, 3, 2, 1]
+    assert ngram_join.shortened(many, 3, 0.5)[0] == 3 and ngram_join.shortened(np.array([300, 0]), 1, 0.9) == (1, 0.0)
+
+
+def test_recall_is_measured_on_sampled_texts(spark):
+    """Counts of links to the sample by their longest common prefix are those of a comparison of all pairs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{rng.integers(1 << 30)}" for _ in range(100)]
+        for _ in range(30):
+            own = base[:]
+            for at in rng.integers(0, 100, rng.integers(0, 4)):
+                own[at] = f"u{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(9000 + i, t) for i, t in enumerate(["", None, "one", "x " * 30_000])]
+    df = spark.createDataFrame(rows, "ng_id long, ng_text string").withColumn("ng_mark", F.xxhash64("ng_text"))
+    sample = ngram_join.sampled(df.select("ng_id", "ng_mark", "ng_text"), len(rows), 16, 5, 5)
+    assert 40 <= len(sample.sets) <= 43 and sample.paths.shape == (len(sample.sets), 16, 5)
+    got, want = np.zeros(6, np.int64), np.zeros(6, np.int64)
+    sets = [np.unique(Words([t or ""]).shingles(5)[0]) for _, t in rows]
+    for s in sets:
+        if not len(s):
+            continue
+        m = ngram_join.min_hashes(s, np.array([0, len(s)]), 80).reshape(1, 16, 5)
+        got += sample.longest(np.zeros(len(s), np.int64), s, np.array([0, len(s)]), m, 0.8)
+        for j, other in enumerate(sample.sets):
+            both = len(np.intersect1d(s, other))
+            if not np.array_equal(s, other) and both >= 0.8 * (len(s) + len(other) - both):
+                want[max(int(np.logical_and.accumulate(m[0, t] == sample.paths[j, t]).sum()) for t in range(16))] += 1
+    assert (got == want).all() and want.sum() > 200
+    assert ngram_join.near_duplicates(df.select(F.col("ng_id").alias("doc_id"), F.col("ng_text").alias("text"))).select("group_id").distinct().count() == 44
+
+
 def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.cls: r.root for r in ngram_join.components(edges).collect()}
