@@ -16,7 +16,7 @@ from loom.operators.vectors import collected, vector_products
 from loom.plans.label_queries import _PATHS, paths
 from loom.plans.registry import query
 from loom.plans.stat_queries import _W, _Y, _flag_matrices, _ridge_sums, plane
-from loom.plans.views import C_SQL, V_SQL, centroids, load, r, vectors
+from loom.plans.views import C_SQL, V_SQL, centroids, load, r, uniform, uniform_sql, vectors
 
 #: G + I of the rows of each label, as rows of lists.
 _SPD = f"""{V_SQL}, cell AS (SELECT label, i, j, sum(v[i] * v[j]) + CASE WHEN i = j THEN 1 ELSE 0 END AS x FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY label, i, j),
@@ -181,3 +181,24 @@ def relu_projected(spark, sf_dir):
     v = vectors(spark, sf_dir)
     _, c = collected(centroids(v))
     return st.relu_projection(v, c.T).select(F.col("id").alias("vec_id"), F.transform("v", lambda x: r(x)).alias("v"))
+
+
+@query("""SELECT vec_id, 4 AS height, 4 AS width, 4 AS channels, [round(CAST(embedding[(p % 4 * 4 + p // 16) * 4 + p // 4 % 4 + 1] AS DOUBLE), 6) + 0.0 FOR p IN range(64)] AS data FROM embeddings""")
+def image_frames(spark, sf_dir):
+    """Vectors as frames of 4 channels by 4 rows by 4 columns, channels last."""
+    from loom.operators.images import as_frames
+
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.lit(4)] * 3).alias("shape"), F.transform("embedding", lambda x: r(x.cast("double"))).alias("data"))
+    return as_frames(rows, "CHW")
+
+
+@query(f"""WITH e AS (SELECT event_id, 64 + event_id % 100 AS w, 48 + event_id % 77 AS h, {uniform_sql(3, 'event_id')} AS ux, {uniform_sql(4, 'event_id')} AS uy FROM events),
+c AS (SELECT *, CAST(floor(w * 0.75) AS BIGINT) AS cw, CAST(floor(h * 0.75) AS BIGINT) AS ch FROM e)
+SELECT event_id, cw AS crop_w, ch AS crop_h, CAST(floor(ux * (w - cw + 1)) AS BIGINT) AS crop_x, CAST(floor(uy * (h - ch + 1)) AS BIGINT) AS crop_y FROM c""")
+def random_crop_boxes(spark, sf_dir):
+    """A crop of three quarters at a place that the event's number draws."""
+    from loom.functions.scalars import random_crop
+
+    e = F.col("event_id")
+    box = random_crop(64 + e % 100, 48 + e % 77, 0.75, uniform(3, e), uniform(4, e))
+    return load(spark, sf_dir, "events").select("event_id", *[box[c].cast("long").alias(c) for c in ("crop_w", "crop_h", "crop_x", "crop_y")])

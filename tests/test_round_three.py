@@ -401,3 +401,30 @@ def test_file_hashes_by_pieces(spark, tmp_path, monkeypatch):
         assert got == {1: hashlib.new(kind, b"0123456789" * 5).hexdigest(), 2: hashlib.new(kind, b"").hexdigest()}
     with pytest.raises(ValueError):
         mf.file_hashes(df, "path", "crc")
+
+
+def test_frames_of_any_layout(spark, tmp_path):
+    import itertools
+
+    from loom.operators.images import as_frames
+    from loom.sources import arrays as sa
+    from loom.sources import readers as rd
+    from tests.test_sources import idx_bytes
+
+    sa.register(spark)
+    for letters in [*itertools.permutations("HWC"), ("H", "W"), ("W", "H")]:
+        size = {"H": 5, "W": 7, "C": 3}
+        a = np.arange(4 * np.prod([size[x] for x in letters])).reshape(4, *[size[x] for x in letters])
+        (tmp_path / "a").write_bytes(idx_bytes(a, 0x0C, ">i4"))
+        rows = spark.read.format("arrays").option("path", str(tmp_path / "a")).load().filter("idx >= 2")
+        want = rd.frames_of(a, "N" + "".join(letters))
+        for r in as_frames(rows, "".join(letters)).collect():
+            assert np.array_equal(np.array(r.data).reshape(r.height, r.width, r.channels), want[r.idx]) and r.idx >= 2
+        if letters in (("H", "W", "C"), ("C", "H", "W"), ("H", "W")):
+            out = as_frames(rows, color=True).first()
+            three = np.repeat(want[out.idx], 3, 2) if len(letters) == 2 else want[out.idx]
+            assert out.channels == 3 and np.array_equal(np.array(out.data).reshape(5, 7, 3), three)
+    with pytest.raises(ValueError):
+        as_frames(rows, "HHW")
+    with pytest.raises(Exception, match="no layout"):
+        as_frames(spark.createDataFrame([([2, 2, 5], [0.0] * 20)], "shape array<int>, data array<double>")).collect()

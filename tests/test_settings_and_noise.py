@@ -49,3 +49,9 @@ def test_fresh_blocks_are_orthogonal():
     a = stats.fresh_block(None, 3, 10, 1)
     b = stats.fresh_block(a, 4, 10, 2)
     assert np.allclose(a @ a.T, np.eye(3)) and np.allclose(b @ b.T, np.eye(4)) and np.allclose(a @ b.T, 0)
+
+
+def test_a_setting_is_a_value_or_has_settings():
+    with pytest.raises(ValueError, match="'a'"):
+        settings.nested({"a": 1, "a.b": 2})
+    assert settings.nested({"a.b": 1, "ab": 2}) == {"a": {"b": 1}, "ab": 2}
