@@ -47,7 +47,7 @@ def gram_schmidt_cells(spark, sf_dir):
     return la.batched_cells(_flag_matrices(spark, sf_dir), la.orthogonalize).select("batch_id", "i", "j", r("x", 5).alias("x"))
 
 
-@query(f"""WITH {V_SQL} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(v[i] * v[j]), 4) + 0.0 AS x, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS product, true AS descending
+@query(f"""WITH {V_SQL} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(v[i] * v[j]), 4) + 0.0 AS x, CAST(i = j AS DOUBLE) AS product, true AS descending
 FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j""")
 def eigen_parts(spark, sf_dir):
     """V L V' against the Gram matrix that SQL sums, V'V against the identity, and L in descending order."""
