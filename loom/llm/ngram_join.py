@@ -45,7 +45,7 @@ BROADCAST_CLASSES = 300_000
 
 #: Texts chosen by hash (of at most SAMPLE_BYTES each) that all texts are compared with to measure recall, and how many links to
 #: them it takes to measure: with fewer the depth is that of the formula, less one.
-SAMPLE, SAMPLE_BYTES, LEAST_LINKS = 1024, 16_384, 200
+SAMPLE, SAMPLE_BYTES, LEAST_LINKS = 512, 16_384, 200
 #: Shingles that more of the sampled texts hold don't find pairs to compare; they count in the comparison.
 COMMON = 32
 

@@ -252,3 +252,14 @@ def test_pieces_add_up(monkeypatch):
     cut = quality.Attention().fit(bags, y, w, epochs=3)
     assert np.allclose(whole.mean, np.concatenate(bags).mean(0), atol=1e-5) and np.allclose(whole.sd, np.concatenate(bags).std(0), atol=1e-5)
     assert all(np.allclose(whole.p[k], cut.p[k], atol=1e-6) for k in whole.p)
+
+
+def test_natural_order_scores_above_shuffled_copies(spark):
+    """Of 150 documents and their own copies in random word order, all trained on together, the natural ones score higher."""
+    rng = np.random.default_rng(12)
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    natural = {r.doc_id: r.text for r in docs.filter("length(text) between 300 and 3000").orderBy("doc_id").limit(150).collect()}
+    copies = [(i + 10**6, " ".join(rng.permutation(t.split()))) for i, t in natural.items()]
+    both = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in lm.pseudo_likelihood(both, within=True).collect()}
+    assert sum(got[i] > got[i + 10**6] for i in natural) >= 0.9 * len(natural)
