@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loom.operators.stored import written
+from loom.operators.stored import dropped, written
 
 #: Doublings at most: no path is longer than 2^MOST_ROUNDS.
 MOST_ROUNDS = 32
@@ -44,8 +44,10 @@ def closure(parents: DataFrame, node: str = "path", parent: str = "parent") -> D
         if not pairs.filter("distance > 0 and ancestor = descendant").isEmpty():
             break
         further = pairs.join(jump, F.col("ancestor") == F.col("node")).select("descendant", F.col("far").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        last = (pairs, jump)
         pairs = written(pairs.unionByName(further), "closure")
         jump = written(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("next")), "far").select("node", F.col("next").alias("far")), "closure-jump")
+        dropped(*last)
     raise ValueError("parents lead back to a node")
 
 

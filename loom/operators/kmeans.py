@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loom.operators.ordering import uniform_number
-from loom.operators.stored import fresh_path
+from loom.operators.stored import dropped, fresh_path
 from loom.operators.vectors import distance_block, metric_of, rows_of
 from loom.sources.files import filesystem
 
@@ -158,7 +158,10 @@ def plus_plus(x: DataFrame, k: int, seed: int = 0, metric: str | int = 2, power:
         row = next(r for r in of_range(path, at, ["chunk", "ids", "rows"]) if r["chunk"] == chunks[hit // CHUNK]["chunk"])
         picks.append(int(np.frombuffer(row["ids"], "<i8")[hit % CHUNK]))
         newest = np.frombuffer(row["rows"], "<f8").reshape(-1, newest.shape[1])[hit % CHUNK][None, :].copy()
+        if before:
+            dropped(before)
         before = least
+    dropped(path, *([before] if before else []))
     return picks
 
 

@@ -39,3 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
+
+
+def dropped(*tables: DataFrame | str) -> None:
+    """Deletes tables that `written` gave, or folders of `fresh_path`, before the session ends. Only for what nothing still reads: a
+    round's tables once the next round's are written."""
+    for t in tables:
+        path = t
+        if not isinstance(t, str):
+            files = t.inputFiles()
+            path = files[0].rsplit("/", 1)[0] if files else None
+        if path and "/loom-" in path:
+            sc = (SparkSession.active() if isinstance(t, str) else t.sparkSession).sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -428,3 +428,20 @@ def test_frames_of_any_layout(spark, tmp_path):
         as_frames(rows, "HHW")
     with pytest.raises(Exception, match="no layout"):
         as_frames(spark.createDataFrame([([2, 2, 5], [0.0] * 20)], "shape array<int>, data array<double>")).collect()
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    import glob
+
+    from loom.operators import hierarchy as hi
+    from loom.operators import kmeans as km
+    from loom.operators.stored import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)], "path long, parent long")
+    before = set(glob.glob(f"{folder}/loom-*"))
+    assert hi.closure(chain).count() == 45
+    assert sorted(p.rsplit("/loom-", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/loom-*")) - before) == ["closure", "closure-jump"]
+    before = set(glob.glob(f"{folder}/loom-*"))
+    km.plus_plus(frame(spark, [(i, [float(i)]) for i in range(20)]), 4)
+    assert set(glob.glob(f"{folder}/loom-*")) == before
