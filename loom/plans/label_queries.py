@@ -8,7 +8,7 @@ from loom.operators import labels as lb
 from loom.operators import tasks as tk
 from loom.operators.ordering import shuffled
 from loom.plans.registry import query
-from loom.plans.views import axes, load, r
+from loom.plans.views import axes, load, r, uniform_sql
 
 SEED = 3
 MD5 = "md5('{}:' || CAST({} AS VARCHAR))"
@@ -183,6 +183,19 @@ def disjoint_blurry_split(spark, sf_dir):
     return _split(spark, sf_dir)
 
 
+def _cuts_sql(total: str, seed: int) -> str:
+    return "list_sort([" + ", ".join(f"CAST(floor({uniform_sql(seed, str(k))} * {total}) AS BIGINT)" for k in range(1, T)) + "])"
+
+
+@query(f"""WITH {_CATS}, cuts AS (SELECT dj, bl, {_cuts_sql('dj', SEED + 1)} AS dc, {_cuts_sql('bl', SEED + 2)} AS bc FROM bn)
+SELECT category, CAST(ci AS INTEGER) AS "at", CASE WHEN pos < dj THEN 'disjoint' ELSE 'blurry' END AS kind,
+  CAST(len(list_filter(CASE WHEN pos < dj THEN dc ELSE bc END, lambda c: c <= CASE WHEN pos < dj THEN pos ELSE pos - dj END)) AS INTEGER) AS task
+FROM co, cuts WHERE pos < dj + bl""")
+def varying_split(spark, sf_dir):
+    """Tasks of unequal sizes, by cuts that the seed draws."""
+    return _split(spark, sf_dir, varying=True)
+
+
 @query(f"WITH {_HOME} SELECT * FROM home")
 def task_assignment(spark, sf_dir):
     return _home(spark, sf_dir)
@@ -195,6 +208,12 @@ def task_config_split(spark, sf_dir):
     return tk.homes(rows, "lang", tk.configured(tk.categories(rows, "lang"), [["de", "en"], ["fr", "de"]]))
 
 
+@query(f"WITH {_DEALT.replace(f'count(*) * {M} // 100', 'least(count(*), [5, 400, 2][task + 1])')} SELECT idx, kind, task FROM ex")
+def counted_exchange(spark, sf_dir):
+    """So many samples of each task change hands, or all that it has."""
+    return tk.exchanged(_home(spark, sf_dir), M, SEED + 10, counts=[5, 400, 2])
+
+
 @query(f"WITH {_DEALT} SELECT idx, kind, task FROM ex")
 def blurred_exchange(spark, sf_dir):
     return tk.exchanged(_home(spark, sf_dir), M, SEED + 10)

@@ -47,6 +47,20 @@ def gram_schmidt_cells(spark, sf_dir):
     return la.batched_cells(_flag_matrices(spark, sf_dir), la.orthogonalize).select("batch_id", "i", "j", r("x", 5).alias("x"))
 
 
+@query(f"""WITH RECURSIVE {_SPD}, c AS (SELECT label, m, list_transform(range(1, 65), lambda j: list_transform(m, lambda row: row[j] / sqrt(list_sum(list_transform(m, lambda z: z[j] * z[j]))))) AS c FROM m),
+g(label, k, m, c, q) AS (SELECT label, 1, m, c, CAST([] AS DOUBLE[][]) FROM c UNION ALL
+  SELECT label, k + 1, m, c, q || [list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12))] FROM (
+    SELECT label, k, m, c, q, list_reduce(q, lambda v, u: list_transform(list_zip(v, u), lambda z: z[1] - list_dot_product(u, v) * z[2]), c[k]) AS v FROM g WHERE k <= 4)),
+t AS (SELECT label, m, q, list_transform(q, lambda u: list_transform(range(1, 65), lambda j: list_sum(list_transform(range(1, 65), lambda i: u[i] * m[i][j])))) AS t FROM g WHERE k = 5),
+o AS (SELECT label, q, list_transform(m, lambda row, i: list_transform(row, lambda x, j: x - list_sum(list_transform(list_zip(q, t), lambda z: z[1][i] * z[2][j])))) AS m FROM t),
+done AS (SELECT label, list_transform(m, lambda row: list_transform(row, lambda x, j: x - list_sum(list_transform(q, lambda u: list_dot_product(u, row) * u[j])))) AS m FROM o)
+{_CELLS.format(of="done", digits=4, rows=64, cols=64)}""")
+def projected_out_cells(spark, sf_dir):
+    """(I - BB') C (I - BB'), B being four orthonormal directions of C's columns."""
+    work = lambda m: la.project_out(m, la.orthogonalize(m)[:, :4])
+    return la.batched_cells(_flag_matrices(spark, sf_dir), work).select("batch_id", "i", "j", r("x", 4).alias("x"))
+
+
 @query(f"""WITH {V_SQL} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(v[i] * v[j]), 4) + 0.0 AS x, CAST(i = j AS DOUBLE) AS product, true AS descending
 FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j""")
 def eigen_parts(spark, sf_dir):
