@@ -44,8 +44,9 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rare_bigrams(words: DataFrame) -> DataFrame:
     """words with g and at: a row for each of the RARE bigrams of the word that come first in the order by frequency, and their places."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.struct(F.substr("word", i, F.lit(2)).alias("g"), i.alias("at")))
-    grams = words.filter(F.length("word") >= 2).select("*", F.inline(pairs))
+    # letters once, as a place in a string is found by counting from its beginning
+    pairs = F.transform(F.slice("letters", F.lit(1), F.size("letters") - 1), lambda x, i: F.struct(F.concat(x, F.get("letters", i + 1)).alias("g"), (i + 1).alias("at")))
+    grams = words.filter(F.length("word") >= 2).withColumn("letters", F.split("word", "")).select(*words.columns, F.inline(pairs))
     order = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
     # as many rows as pairs of letters there are: 90 by 90 in this alphabet
     ranked = grams.join(F.broadcast(order), "g").groupBy("word", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "g", "at"))), 1, RARE).alias("rare"))
