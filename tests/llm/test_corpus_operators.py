@@ -307,7 +307,7 @@ def test_queries_equal_their_sql(spark):
     from loom.llm import queries
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, d)
