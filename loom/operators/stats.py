@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loom.operators.stored import written
-from loom.operators.vectors import _against, rows_of
+from loom.operators.vectors import SIDE_BYTES, _against, rows_of, vector_products
 
 
 #: A task hands on the sums of its groups when they are so large.
@@ -65,13 +65,28 @@ def unit_blocks(m: DataFrame, by: str, rows_in_block: int, floor: float = 1e-12)
     return m.join(norms, (F.col(by) == F.col("__k")) & (block == F.col("__b"))).select(by, "i", "j", (F.col("x") / F.col("__n")).alias("x"))
 
 
+#: Products of a task that are in memory at once.
+PRODUCTS, MOST_GRAM = 1 << 20, 1024
+
+
 def pair_sums(x: DataFrame, y: DataFrame, power: int, most: int) -> DataFrame:
-    """(s): sum of |x_i . y_j| ** power over all pairs: one number per block of pairs."""
+    """(s): sum of |x_i . y_j| ** power over all pairs: one number per block of pairs, PRODUCTS of them at a time; null without pairs. Squares need no
+    pairs: their sum is that of the products of X'X and Y'Y, cell by cell (for rows of up to MOST_GRAM numbers)."""
+    width = x.agg(F.max(F.size(x.columns[1]))).first()[0] if power == 2 else None
+    if width is not None and width <= MOST_GRAM:
+        (n, _, g), (m, _, h) = (vector_products(t) for t in (x, y))
+        return x.sparkSession.createDataFrame([(float((g * h).sum()) if n and m else None,)], "s double")
 
     def work(i, a, j, b) -> pa.Table:
-        return pa.table({"s": [float((np.abs(a @ b.T) ** power).sum()) if len(i) and len(j) else 0.0]})
-
-    return _against(x, y, work, "s double", most).agg(F.sum("s").alias("s"))
+        total, step = 0.0, 512
+        for s in range(0, len(i), step):
+            for t in range(0, len(j), PRODUCTS // step):
+                d = a[s : s + step] @ b[t : t + PRODUCTS // step].T
+                np.abs(d, out=d)
+                total += float((d if power == 1 else d**power).sum())
+        return pa.table({"s": pa.array([total if len(i) and len(j) else None], pa.float64())})
+
+    return _against(x, y, work, "s double", most, SIDE_BYTES).agg(F.sum("s").alias("s"))
 
 
 def softmax(logits: DataFrame, row: str, col: str, value: str, temperature: float = 1.0) -> DataFrame:

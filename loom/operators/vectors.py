@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+#: Where a task returns less than its pairs, a block's bytes on the left side (on the right: BLOCK_BYTES), and the pairs of rows
+#: for which one task is made where the right side is one block.
+SIDE_BYTES, TASK_PAIRS = 16 << 20, 1 << 28
 METRICS = {"cosine": 0, "manhattan": 1, "euclidean": 2}
 
 
@@ -91,10 +94,15 @@ def collected(df: DataFrame, most: int = BLOCK_BYTES, finite: bool = False) -> t
     return ids[known][order], values[order], *[got.column(c + 2).to_numpy()[known][order] for c in range(more)]
 
 
-def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_ROWS, finite: bool = False) -> DataFrame:
+def blocks_of(x: DataFrame, y: DataFrame, work, schema: str, rows: int = BLOCK_ROWS, finite: bool = False, side: int = 0) -> DataFrame:
     """work(ids of x, matrix of x, ids of y, matrix of y) -> Arrow table, for every pair of blocks of x and y. finite: of the
-    rows that hold finite numbers only."""
-    nx, ny = (max(1, math.ceil(t.count() / rows)) for t in (x, y))
+    rows that hold finite numbers only. side: blocks are not of `rows` rows but of so many bytes of x and four times as many of
+    y, so that tables travel seldom; for work whose memory doesn't grow with the pairs."""
+    if side:
+        sizes = [t.agg(F.count(F.lit(1)), F.max(F.size(t.columns[1]))).first() for t in (x, y)]
+        nx, ny = (max(1, math.ceil(n * (8 * (width or 0) + 8) / most)) for (n, width), most in zip(sizes, (side, 4 * side)))
+    else:
+        nx, ny = (max(1, math.ceil(t.count() / rows)) for t in (x, y))
     deal = lambda t, n: F.pmod(F.xxhash64(t.columns[0]), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = x.select(deal(x, nx).alias("bx"), each(ny).alias("by"), F.col(x.columns[0]).alias("id"), F.col(x.columns[1]).alias("v"))
@@ -128,9 +136,26 @@ def over_block(x: DataFrame, ids: np.ndarray, y: np.ndarray, work, schema: str,
     return x.mapInArrow(run, schema)
 
 
-def _against(x: DataFrame, y: DataFrame, work, schema: str, most: int) -> DataFrame:
+def dealt(x: DataFrame, others: int) -> DataFrame:
+    """x in as many parts as its pairs with so many other rows ask for; as it is where these are few."""
+    tasks = math.ceil(x.count() * others / TASK_PAIRS) if others > BLOCK_ROWS else 0
+    return x.repartition(tasks, x.columns[0]) if tasks > 1 else x
+
+
+def _against(x: DataFrame, y: DataFrame, work, schema: str, most: int, side: int = 0) -> DataFrame:
+    """side: see blocks_of."""
     small = collected(y, most)
-    return blocks_of(x, y, work, schema) if small is None else over_block(x, *small, work, schema)
+    if small is None:
+        return blocks_of(x, y, work, schema, side=side)
+    return over_block(dealt(x, len(small[0])) if side else x, *small, work, schema)
+
+
+def same_ids(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in i, places in j) of all pairs of equal ids."""
+    order = np.argsort(j, kind="stable")
+    first, last = (np.searchsorted(j[order], i, at) for at in ("left", "right"))
+    many = last - first
+    return np.repeat(np.arange(len(i)), many), order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
 
 
 def distance_matrix(x: DataFrame, y: DataFrame, metric: str | int, most: int = BLOCK_BYTES) -> DataFrame:
@@ -144,7 +169,7 @@ def distance_matrix(x: DataFrame, y: DataFrame, metric: str | int, most: int = B
     return _against(x, y, work, "i long, j long, dist double", most)
 
 
-def candidates(a: np.ndarray, b: np.ndarray, k: int, p: int, skip: np.ndarray | None, slack: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(a: np.ndarray, b: np.ndarray, k: int, p: int, skip: tuple[np.ndarray, np.ndarray] | None, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows of a, rows of b) of pairs that hold every row's k nearest and all ties with them: by a matrix product where the
     metric has one, with room for its rounding and for `slack`, by how much distances may be rounded later. Rows are finite;
     where their powers wouldn't be, all are scaled down together, which leaves the order."""
@@ -192,14 +217,69 @@ def distance_pairs(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
         return out
 
 
+def quick_candidates(a: np.ndarray, b: np.ndarray, k: int, skip: tuple[np.ndarray, np.ndarray] | None, slack: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """candidates for Euclidean distances by one product in single precision, b being `augmented`. None where its rounding
+    leaves too many of them.
+
+    A product gives x.y - |y|^2 / 2, which falls with the distance. The k-th largest of the maxima of groups of columns is no
+    larger than a row's k-th largest value, so what is below that by more than the rounding is none of the k nearest."""
+    block, scale, norm, n, groups = b
+    if n <= k:
+        return None
+    own = a * scale
+    x = (own * own).sum(1)
+    s = np.concatenate([own.astype(np.float32), np.ones((len(a), 1), np.float32)], 1) @ block
+    if skip is not None:
+        s[skip] = -np.inf
+    best = s.reshape(len(a), groups, -1).max(1)
+    last = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k].astype(float)
+    error = (own.shape[1] + 16) * 2.0**-24 * (np.sqrt(x) * norm + norm * norm / 2) + 1e-30
+    some, slack = last > -1e30, slack * scale
+    last = np.where(some, last, 0)
+    known = np.sqrt(np.maximum(x - 2 * (last - error), 0))
+    least = np.where(some, last - 2 * error - 2 * slack * (known + slack), -1e30).astype(np.float32)
+    least = np.nextafter(least, np.float32(-np.inf))[:, None]
+    r, c = np.nonzero(best >= least)
+    if len(r) > 16 * k * len(a) + 4096:
+        return None
+    c = (c[:, None] + best.shape[1] * np.arange(groups)[None, :]).ravel()
+    r = np.repeat(r, groups)
+    ok = s[r, c] >= least[r, 0]
+    return (r[ok], c[ok]) if ok.sum() <= 16 * k * len(a) + 4096 else None
+
+
+def augmented(b: np.ndarray, k: int, top: float) -> tuple:
+    """What quick_candidates takes of b; top: the largest absolute number of both sides."""
+    groups = max(1, min(32, len(b) // (8 * k)))
+    width = -(-len(b) // groups)
+    scale = 2.0 ** -np.ceil(np.log2(top)) if top > 1e-300 else 1.0
+    own = b * scale
+    y = (own * own).sum(1)
+    block = np.zeros((b.shape[1] + 1, width * groups), np.float32)
+    block[:-1, : len(b)] = own.T
+    block[-1, : len(b)], block[-1, len(b) :] = -y / 2, -2e30
+    return block, scale, float(np.sqrt(y.max(initial=0.0))), len(b), groups
+
+
+#: Products that a task has in memory at once, and pairs whose distances it computes one by one.
+TILE, ONE_BY_ONE = 1 << 23, 1 << 15
+
+
 def nearest_rows(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int, metric: int, exclude_same: bool, digits: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     """(rows of a, rows of b, distances, ranks from 0) of the k nearest, in order, some rows of a at a time."""
     slack = 0.0 if digits is None else 10.0**-digits
-    step = max(1, (1 << 21) // max(1, len(j)))
+    top = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
+    quick = augmented(b, k, top) if metric == 2 and len(b) > k and top < 1e300 else None
+    step = max(1, TILE // max(1, len(j)))
     for s in range(0, len(i) if len(j) else 0, step):
         ids, own = i[s : s + step], a[s : s + step]
-        r, c = candidates(own, b, k, metric, ids[:, None] == j[None, :] if exclude_same else None, slack)
-        d = distance_pairs(own[r], b[c], metric)
+        skip = same_ids(ids, j) if exclude_same else None
+        found = quick_candidates(own, quick, k, skip, slack) if quick else None
+        if found is None:  # fewer at once, as double precision has several such blocks
+            parts = [(u, candidates(own[u : u + step // 8 + 1], b, k, metric, None if skip is None else _within(skip, u, step // 8 + 1), slack)) for u in range(0, len(own), step // 8 + 1)]
+            found = tuple(np.concatenate(z) for z in zip(*[(r + u, c) for u, (r, c) in parts]))
+        r, c = found
+        d = np.concatenate([distance_pairs(own[r[u : u + ONE_BY_ONE]], b[c[u : u + ONE_BY_ONE]], metric) for u in range(0, max(1, len(r)), ONE_BY_ONE)])
         d = d if digits is None else np.round(d, digits)
         ok = np.isfinite(d)
         r, c, d = r[ok], c[ok], d[ok]
@@ -210,6 +290,11 @@ def nearest_rows(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k:
         yield r[ok] + s, c[ok], d[ok], rank[ok]
 
 
+def _within(skip: tuple[np.ndarray, np.ndarray], begin: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    some = (skip[0] >= begin) & (skip[0] < begin + many)
+    return skip[0][some] - begin, skip[1][some]
+
+
 def nearest(x: DataFrame, y: DataFrame, k: int, metric: str | int = 2, exclude_same: bool = False, most: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
     """The k nearest rows of y for each row of x: (i, rank from 1, j, dist); ties to the smaller j. With `digits`,
     distances are rounded before they are compared, so that engines that sum in other orders agree on ties.
@@ -232,9 +317,9 @@ def nearest(x: DataFrame, y: DataFrame, k: int, metric: str | int = 2, exclude_s
 
     small = collected(y, most, finite=True)
     if small is not None:
-        return over_block(x, *small, work, schema, finite=True).select("i", "rank", "j", "dist")
+        return over_block(dealt(x, len(small[0])), *small, work, schema, finite=True).select("i", "rank", "j", "dist")
     best = Window.partitionBy("i").orderBy("dist", "j")
-    return blocks_of(x, y, work, schema, finite=True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
+    return blocks_of(x, y, work, schema, finite=True, side=SIDE_BYTES).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
 def label_votes(x: DataFrame, k: int, metric: str | int = 2, most: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
@@ -262,7 +347,7 @@ def label_votes(x: DataFrame, k: int, metric: str | int = 2, most: int = BLOCK_B
                     some = batch.take(pa.array(own))
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(names[votes.argmax(1)].astype(np.int32))], names=["id", "label", "predicted"])
 
-        return rows.mapInArrow(run, "id long, label int, predicted int")
+        return dealt(rows, len(small[0])).mapInArrow(run, "id long, label int, predicted int")
     labels = rows.select("id", "label")
     near = nearest(rows.select("id", "v"), rows.select("id", "v"), k, metric, exclude_same=True, most=most, digits=digits)
     votes = near.join(labels, F.col("j") == F.col("id")).groupBy("i", F.col("label").alias("predicted")).agg(F.count(F.lit(1)).alias("votes"))
