@@ -9,7 +9,8 @@
 4. These rows meet the leaf's atoms by a shuffle, a leaf's askers being dealt into so many groups that none is large; there every
    atom counts by itself. Sums come back by atom and from atoms to points.
 
-Angle 0 is exact, as it opens every cell (and so makes all pairs of atoms)."""
+Angle 0 is exact. It would open every cell, so each atom would ask every leaf; there the atoms meet in tiles instead, each of which
+returns a row of sums an atom (`pushes`)."""
 
 from __future__ import annotations
 
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loom.operators.stored import written
-from loom.operators.vectors import rows_of
+from loom.operators.vectors import BLOCK_BYTES, SIDE_BYTES, _against, rows_of, same_ids
 
 DEPTH, LEAF, MOST_CELLS = 16, 256, 200_000
 #: Pairs of an atom and a cell that a task works on together, and askers of a leaf in one group.
 PAIRS, ASKERS = 1 << 20, 65_536
+#: Pairs of two atoms that a task works on together.
+TILE = 1 << 17
 ATOM = "atom long, z double, f array<double>"
 
 
@@ -86,6 +89,51 @@ def added(y: np.ndarray, point: np.ndarray, other: np.ndarray, count: np.ndarray
         f[:, k] += np.bincount(point, count * w * w * diff[:, k], len(z))
 
 
+def pushes(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over b's rows, each counting n, of w and of w^2 (a - b), without rows of the same id: some rows of a at a time, so
+    that a block of pairs stays near the processor."""
+    z, f = np.zeros(len(a)), np.zeros(a.shape)
+    own, other = same_ids(i, j)
+    step = max(1, TILE // max(1, len(b)))
+    for s in range(0, len(a) if len(b) else 0, step):
+        e = min(len(a), s + step)
+        w = np.ones((e - s, len(b)))
+        for k in range(a.shape[1]):
+            diff = np.subtract.outer(a[s:e, k], b[:, k])
+            np.multiply(diff, diff, out=diff)
+            w += diff
+        np.reciprocal(w, out=w)
+        first, last = np.searchsorted(own, [s, e])
+        w[own[first:last] - s, other[first:last]] = 0
+        z[s:e] = w @ n
+        w *= w
+        for k in range(a.shape[1]):
+            diff = np.subtract.outer(a[s:e, k], b[:, k])
+            diff *= w
+            f[s:e, k] = diff @ n
+    return z, f
+
+
+def repulsion_exact(y: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """(i, z, f) of a table (id, v) or (id, v, n), n being how many points lie there: all pairs, in tiles of bounded memory. The
+    others at a row's own place count nothing."""
+
+    def work(i, a, j, b, n=None) -> pa.Table:
+        if not len(i) or not len(j):
+            return pa.table({"i": pa.array([], pa.int64()), "z": pa.array([], pa.float64()), "f": pa.array([], pa.list_(pa.float64()))})
+        z, f = pushes(i, a, j, b, np.ones(len(j)) if n is None else n)
+        return pa.table({"i": i, "z": z, "f": list(f)})
+
+    if len(y.columns) == 2:
+        parts = _against(y, y, work, "i long, z double, f array<double>", most, SIDE_BYTES)
+    else:
+        # the count travels as a last number of the vector
+        held = y.select(y.columns[0], F.concat(F.col(y.columns[1]), F.array(F.col(y.columns[2]).cast("double"))).alias("v"))
+        parts = _against(held, held, lambda i, a, j, b: work(i, a[:, :-1], j, b[:, :-1], b[:, -1]), "i long, z double, f array<double>", most, SIDE_BYTES)
+    sums = parts.select("i", "z", F.posexplode("f").alias("p", "x")).groupBy("i", "p").agg(F.sum("z").alias("z"), F.sum("x").alias("x"))
+    return sums.groupBy("i").agg(F.max("z").alias("z"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("f"))
+
+
 def repulsion(y: DataFrame, angle: float = 0.5, leaf: int = LEAF, most_cells: int = MOST_CELLS) -> DataFrame:
     """(i, z, f) of a table (id long, v array<double> of 1 to 3 numbers): the sums over all other points of w and of
     w^2 (y_i - y_j), w = 1 / (1 + |y_i - y_j|^2). Exact at angle 0.
@@ -100,6 +148,9 @@ def repulsion(y: DataFrame, angle: float = 0.5, leaf: int = LEAF, most_cells: in
         return y.select(F.col("id").alias("i"), F.lit(0.0).alias("z"), "v").limit(0).toDF("i", "z", "f")
     if not 1 <= d <= 3:
         raise ValueError("a tree is of 1 to 3 dimensions")
+    if not angle:
+        others = repulsion_exact(atoms.select("atom", "v", "n")).withColumnRenamed("i", "atom").join(atoms, "atom")
+        return rows.join(others.select("v", (F.col("z") + F.col("n") - 1).alias("z"), "f"), "v").select(F.col("id").alias("i"), "z", "f")
     box = atoms.agg(F.count(F.lit(1)), *[g(F.col("v")[k]) for k in range(d) for g in (F.min, F.max)]).first()
     low, high = np.array(box[1::2]), np.array(box[2::2])
     width = max(float((high - low).max()), 1e-300) * (1 + 1e-6)
@@ -125,7 +176,7 @@ def repulsion(y: DataFrame, angle: float = 0.5, leaf: int = LEAF, most_cells: in
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
-        step = max(1, PAIRS // 4096) if angle else max(1, PAIRS // max(1, len(tree.code)))
+        step = max(1, PAIRS // 4096)
         for b in batches:
             ids, m, n, code = b.column(0), rows_of(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
             for a in range(0, len(m), step):
@@ -170,14 +221,7 @@ def repulsion(y: DataFrame, angle: float = 0.5, leaf: int = LEAF, most_cells: in
             return pa.table({"atom": pa.array([], pa.int64()), "z": pa.array([], pa.float64()), "f": pa.array([], pa.list_(pa.float64()))})
         own, other = (rows_of(t.column("v").combine_chunks()) for t in (left, right))
         ids, theirs, n = left.column("atom").to_numpy(), right.column("atom").to_numpy(), right.column("n").to_numpy()
-        z, f = np.zeros(len(own)), np.zeros(own.shape)
-        step = max(1, PAIRS // len(other))
-        for a in range(0, len(own), step):
-            diff = own[a : a + step, None, :] - other[None, :, :]
-            w = 1 / (1 + (diff * diff).sum(2))
-            w = np.where(ids[a : a + step, None] == theirs[None, :], 0, w)
-            z[a : a + step] = w @ n
-            f[a : a + step] = ((w * w * n)[:, :, None] * diff).sum(1)
+        z, f = pushes(ids, own, theirs, other, n)
         return pa.table({"atom": ids, "z": z, "f": list(f)})
 
     found = askers.groupBy("cell", "g").cogroup(inside.groupBy("cell", "g")).applyInArrow(near, ATOM)

@@ -122,7 +122,7 @@ def perplexity_edges(spark, sf_dir):
 @query(f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), {_Y}, {_W}
 SELECT i, round(sum(w), 6) AS z, round(sum(w * w * da), 6) + 0.0 AS fa, round(sum(w * w * db), 6) + 0.0 AS fb FROM w GROUP BY i""")
 def tsne_repulsion(spark, sf_dir):
-    """Partition sums and repulsion of every point, by the tree of cells at angle 0."""
+    """Partition sums and repulsion of every point at angle 0, which is exact: all pairs, in tiles."""
     out = repulsion(plane(spark, sf_dir), 0.0, leaf=32)
     return out.select("i", F.round("z", 6).alias("z"), r(F.col("f")[0]).alias("fa"), r(F.col("f")[1]).alias("fb"))
 
