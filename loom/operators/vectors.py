@@ -303,7 +303,7 @@ def nearest(x: DataFrame, y: DataFrame, k: int, metric: str | int = 2, exclude_s
     distance is beyond double.
 
     A matrix product finds the candidates of a block, a few more than k for each row; their distances are then computed
-    one by one. Where y is one block that every task gets, a row's neighbours are final there and nothing is shuffled."""
+    one by one. Where y is one block that every task gets, a row's neighbours are final there; only x is dealt into parts by its pairs."""
     from pyspark.sql import Window
 
     metric = metric_of(metric)
@@ -326,7 +326,7 @@ def label_votes(x: DataFrame, k: int, metric: str | int = 2, most: int = BLOCK_B
     """(id, label, predicted) of a table (id, v, label int): the label that most of a row's k nearest others have, ties to the
     smaller; rows without neighbours (see `nearest`) are left out.
 
-    Where the table is one block, labels travel in it and votes are counted where neighbours are found: nothing is shuffled."""
+    Where the table is one block, labels travel in it and votes are counted where neighbours are found; only large tables are dealt into parts."""
     from pyspark.sql import Window
 
     rows, metric = x.select("id", "v", "label"), metric_of(metric)
