@@ -261,12 +261,38 @@ def augmented(b: np.ndarray, k: int, top: float) -> tuple:
     return block, scale, float(np.sqrt(y.max(initial=0.0))), len(b), groups
 
 
+def without_copies(j: np.ndarray, b: np.ndarray, k: int) -> np.ndarray | None:
+    """Places of the rows of b without those that k + 1 equal rows of smaller ids come before, which are nobody's k nearest
+    even where a row's own id takes no part. None where that leaves none out."""
+    with np.errstate(over="ignore"):
+        norm = (b * b).sum(1)
+    order = np.argsort(norm)
+    first = np.flatnonzero(np.append(True, norm[order][1:] != norm[order][:-1]))
+    many = np.diff(np.append(first, len(b)))
+    if not (many > k + 1).any():
+        return None
+    some = order[np.repeat(many > k + 1, many)]  # only rows of equal norms are compared
+    whole = np.ascontiguousarray(b[some] + 0.0)
+    _, of = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 8))).ravel(), return_inverse=True)
+    by = np.lexsort((j[some], of))
+    of, ids = of[by], j[some][by]
+    new = np.append(True, of[1:] != of[:-1])
+    number = np.cumsum(np.append(True, new[1:] | (ids[1:] != ids[:-1])))  # rows of one id count once
+    keep = np.ones(len(b), bool)
+    keep[some[by]] = number - number[new][np.cumsum(new) - 1] <= k
+    return None if keep.all() else np.flatnonzero(keep)
+
+
 #: Products that a task has in memory at once, and pairs whose distances it computes one by one.
 TILE, ONE_BY_ONE = 1 << 23, 1 << 15
 
 
 def nearest_rows(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int, metric: int, exclude_same: bool, digits: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     """(rows of a, rows of b, distances, ranks from 0) of the k nearest, in order, some rows of a at a time."""
+    if len(b) > k + 1 and b.shape[1] and (kept := without_copies(j, b, k)) is not None:
+        for r, c, *rest in nearest_rows(i, a, j[kept], b[kept], k, metric, exclude_same, digits):
+            yield r, kept[c], *rest
+        return
     slack = 0.0 if digits is None else 10.0**-digits
     top = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
     quick = augmented(b, k, top) if metric == 2 and len(b) > k and top < 1e300 else None

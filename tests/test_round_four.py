@@ -104,3 +104,31 @@ def test_quick_candidates_are_few():
     b = np.random.default_rng(7).standard_normal((20_000, 64))
     r, c = ve.quick_candidates(b[:50], ve.augmented(b, 16, np.abs(b).max()), 16, None, 1e-6)
     assert 50 * 16 <= len(r) < 50 * 64
+
+
+def test_copies_cost_no_more_than_other_rows(monkeypatch):
+    """Ten vectors, 300 copies each, and a group of 2,000: single precision still does, and the smallest ids win all ties."""
+    from loom.operators import vectors as ve
+
+    def never(*a):
+        raise AssertionError("products in double")
+
+    monkeypatch.setattr(ve, "candidates", never)
+    rng = np.random.default_rng(8)
+    few = rng.standard_normal((11, 16))
+    few[3, 0] = 0.0
+    b = np.concatenate([np.repeat(few[:10], 300, 0), np.repeat(few[10:], 2000, 0), rng.standard_normal((1000, 16))])
+    b[900:1000, 0] = -0.0  # of the copies of few[3]
+    b = np.tile(b, (2, 1))
+    j = rng.permutation(len(b)).astype(np.int64)
+    j[7] = j[8] = j[9]  # one id thrice
+    asked = np.r_[0:40, 890:910, 3000:3020, 5500:5540]
+    for digits in (6, None):
+        got = {(r, z): (j[c], d) for part in ve.nearest_rows(j[asked], b[asked], j, b, 10, 2, True, digits) for r, c, d, z in zip(*part)}
+        assert len(got) == 10 * len(asked)
+        for r, q in enumerate(asked):
+            d = ve.distance_pairs(np.repeat(b[q : q + 1], len(b), 0), b, 2)
+            d = d if digits is None else np.round(d, digits)
+            near = np.lexsort((j, d))
+            near = near[j[near] != j[q]][:10]
+            assert [got[r, z] for z in range(10)] == [(j[w], d[w]) for w in near]
