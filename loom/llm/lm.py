@@ -37,6 +37,10 @@ MASK, EPOCHS, BATCH, RATE, FAN = 16, 2, 8192, 0.25, 64
 GROUP, LEAST_SHARD, MOST_SHARD, SPREAD = 1 << 18, 1 << 20, 1 << 24, 64
 VOCABULARY = CLASSES * SIZE
 KNOWN = 1 << 20
+#: Words of which each distinct one is looked up once, in the order of hashes.
+DISTINCT = 1 << 20
+#: Words whose scores are worked out together; scores within this bound need no shift before they are exponentiated.
+PIECE, SAFE = 4096, 60.0
 #: Stands before the first and after the last word of a text.
 EDGE = VOCABULARY
 
@@ -137,85 +141,114 @@ class Window:
             p = {k: (r.standard_normal(s) * scale.get(k, 0)).astype(np.float32) for k, s in self.SHAPES.items()}
         self.p = p
 
-    def hidden(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        h = np.tile(self.p["e"], (len(place), 1))
-        for k, o in enumerate(OFFSETS):
-            h += self.p["E"][k][ids[place + o]]
-        return np.tanh(h)
+    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
+        """A row for each word of which `near` has the neighbours' ids, offset by offset, and a 1 that the biases go with."""
+        h = np.ones((len(near[0]), DIMS + 1), self.p["e"].dtype)
+        sums = self.p["E"][0].take(near[0], 0)
+        for k in range(1, len(OFFSETS)):
+            sums += self.p["E"][k].take(near[k], 0)
+        sums += self.p["e"]
+        np.tanh(sums, out=h[:, :DIMS])
+        return h
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with their biases as a last row, of classes and of words, and whether no score can leave the numbers'
+        range: what is hidden lies between -1 and 1, so the sums of the weights bound the scores."""
+        p = self.p
+        c, w = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["W"], p["w"][:, None]], 1)
+        return c, w, bool(max(np.abs(c).sum(0).max(), np.abs(w).sum(1).max()) < SAFE)
 
     @staticmethod
-    def softmax(z: np.ndarray) -> np.ndarray:
-        """Probabilities down each column; works in place."""
-        z -= z.max(0)
-        np.exp(z, out=z)
-        z /= z.sum(0)
-        return z
+    def pieces(y: np.ndarray) -> Iterator[tuple[slice, list[tuple[int, int, int]]]]:
+        """Sorted words in pieces of PIECE: (where the piece is, (class, begin, end) of the runs of one class in it)."""
+        for at in range(0, len(y), PIECE):
+            own = slice(at, min(at + PIECE, len(y)))
+            ends = np.searchsorted(y[own], np.arange(CLASSES + 1) * SIZE).tolist()
+            yield own, [(g, a, z) for g, (a, z) in enumerate(zip(ends, ends[1:])) if a < z]
 
     def log_probabilities(self, ids: np.ndarray, place: np.ndarray, step: int = 4096) -> np.ndarray:
         """log p(word | both sides) of the words at `place`."""
-        p, out = self.p, np.empty(len(place))
-        to_class, to_word = np.ascontiguousarray(p["C"].T), np.ascontiguousarray(p["W"].transpose(0, 2, 1))
+        out = np.empty(len(place))
+        to_class, to_word, safe = self.joined()
+        room = np.empty((PIECE, SIZE), to_word.dtype)
         for a in range(0, len(place), step):
             some = place[a : a + step]
             y = ids[some]
-            # words in the order of their classes, each a column
+            # words in the order of their classes
             order = np.argsort(y.astype(np.int16), kind="stable")
             some, y = some[order], y[order]
             k, j = y // SIZE, y % SIZE
-            column = np.arange(len(some))
-            h = np.ascontiguousarray(self.hidden(ids, some).T)
-            score = self.chosen(to_class @ h + p["c"][:, None], k, column)
-            z = p["w"].T[:, k]
-            ends = np.searchsorted(k, np.arange(CLASSES + 1))
-            for g in np.flatnonzero(np.diff(ends)):
-                z[:, ends[g] : ends[g + 1]] += to_word[g] @ h[:, ends[g] : ends[g + 1]]
-            out[a + order] = score + self.chosen(z, j, column)
+            for own, runs in self.pieces(y):
+                h = self.hidden([ids[some[own] + o] for o in OFFSETS])
+                z = room[: len(h)]
+                score = self.chosen(np.matmul(h, to_class, out=z), k[own], safe)
+                for g, b, e in runs:
+                    np.matmul(h[b:e], to_word[g], out=z[b:e])
+                out[a + order[own]] = score + self.chosen(z, j[own], safe)
         return out
 
     @staticmethod
-    def chosen(z: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Logarithms of the softmax of each column, at one row of it; works in place."""
-        z -= z.max(0)
-        own = z[row, column]
+    def exponentials(z: np.ndarray, safe: bool) -> np.ndarray:
+        """Turns scores into what their probabilities are proportional to, in place; returns the sum of each row."""
+        if not safe:
+            z -= z.max(1)[:, None]
         np.exp(z, out=z)
-        return own - np.log(z.sum(0))
+        return z @ np.ones(z.shape[1], z.dtype)
+
+    @classmethod
+    def chosen(cls, z: np.ndarray, y: np.ndarray, safe: bool) -> np.ndarray:
+        """Logarithms of the softmax of each row, at one place of it; works in place."""
+        if not safe:
+            z -= z.max(1)[:, None]
+        own = z[np.arange(len(y)), y]
+        return own - np.log(cls.exponentials(z, True))
 
     def step(self, ids: np.ndarray, place: np.ndarray, rate: float, memory: dict) -> None:
         """One descent step on the mean cross-entropy of the words at `place`, scaled by past gradients."""
         p, n = self.p, len(place)
-        # words in the order of their classes, each a column
+        # words in the order of their classes
         place = place[np.argsort(ids[place].astype(np.int16), kind="stable")]
-        k, j = ids[place] // SIZE, ids[place] % SIZE
-        column = np.arange(n)
-        ends = np.searchsorted(k, np.arange(CLASSES + 1))
-        some = np.flatnonzero(np.diff(ends))
-        h = np.ascontiguousarray(self.hidden(ids, place).T)
-        d = self.softmax(p["C"].T @ h + p["c"][:, None])
-        d[k, column] -= 1
-        grad = {"C": h @ d.T, "c": d.sum(1), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        dh = p["C"] @ d
-        d = p["w"].T[:, k]
-        for g in some:
-            d[:, ends[g] : ends[g + 1]] += p["W"][g].T @ h[:, ends[g] : ends[g + 1]]
-        d = self.softmax(d)
-        d[j, column] -= 1
-        grad["w"][some] = np.add.reduceat(d, ends[some], axis=1).T
-        for g in some:
-            own = slice(ends[g], ends[g + 1])
-            grad["W"][g] = h[:, own] @ d[:, own].T
-            dh[:, own] += p["W"][g] @ d[:, own]
-        dh *= 1 - h * h
-        grad["e"] = dh.sum(1)
-        dh = np.ascontiguousarray(dh.T)
-        for name, x in grad.items():
-            self.apply(name, x / np.float32(n), rate, memory)
+        y = ids[place]
+        k, j = y // SIZE, y % SIZE
+        near = [ids[place + o] for o in OFFSETS]
+        h = self.hidden(near)
+        to_class, to_word, safe = self.joined()
+        from_class, from_word = to_class.T, to_word.transpose(0, 2, 1)
+        by_class, by_word = np.zeros(from_class.shape, h.dtype), np.zeros(from_word.shape, h.dtype)
+        dh, room, row = np.empty((n, DIMS), h.dtype), np.empty((PIECE, SIZE), h.dtype), np.arange(PIECE)
+        for own, runs in self.pieces(y):
+            # exponentials stay as they are: the narrower sides of the products are divided by their sums
+            x, d = h[own], dh[own]
+            z = room[: len(x)]
+            total = self.exponentials(np.matmul(x, to_class, out=z), safe)
+            z[row[: len(x)], k[own]] -= total
+            share = (1 / total)[:, None]
+            np.multiply(z @ from_class[:, :-1], share, out=d)
+            by_class += z.T @ (x * share)
+            for g, a, e in runs:
+                np.matmul(x[a:e], to_word[g], out=z[a:e])
+            total = self.exponentials(z, safe)
+            z[row[: len(x)], j[own]] -= total
+            share = (1 / total)[:, None]
+            scaled, back = x * share, np.empty_like(d)
+            for g, a, e in runs:
+                by_word[g] += z[a:e].T @ scaled[a:e]
+                np.matmul(z[a:e], from_word[g, :, :-1], out=back[a:e])
+            back *= share
+            d += back
+        dh *= 1 - h[:, :DIMS] ** 2
         dh /= n
-        for o, off in enumerate(OFFSETS):
-            c = ids[place + off].astype(np.int16)  # EDGE is the largest; sorted by digits
+        for x in (by_class, by_word):
+            x /= n
+        for name, x in (("C", by_class[:, :-1].T), ("c", by_class[:, -1]), ("W", by_word[:, :, :-1].transpose(0, 2, 1)), ("w", by_word[:, :, -1]), ("e", dh.sum(0))):
+            self.apply(name, x, rate, memory)
+        wide = np.result_type(dh.dtype, np.complex64)  # two numbers are added as one
+        for o, c in enumerate(near):
+            c = c.astype(np.int16)  # EDGE is the largest; sorted by digits
             order = np.argsort(c, kind="stable")
             c = c[order]
             first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            seen, x = c[first], np.add.reduceat(dh[order], first)
+            seen, x = c[first], np.add.reduceat(dh.take(order, 0).view(wide), first).view(dh.dtype)
             m = memory["E"][o][seen] + x * x
             memory["E"][o][seen] = m
             p["E"][o][seen] -= rate * x / (np.sqrt(m) + 1e-6)
@@ -347,15 +380,20 @@ def encoder(vocabulary, known=None):
         words = Vocabulary(vocabulary.value)
         for b in slices(batches):
             h, first = keys_of(texts_of(b.column(2)))
-            ids = words.of(h)
-            more, rest, ends = np.zeros(b.num_rows), np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
-            if known is not None:
-                at = np.flatnonzero(ids >= words.buckets)
-                found, share = shared(known.value, h[at])
-                text = np.searchsorted(first, at, side="right") - 1
-                more = np.bincount(text[found], share, b.num_rows)
-                rest, ends = h[at[~found]], np.searchsorted(at[~found], first)
-            ids = ids.astype(np.int16)
+            ids, more, lacking = np.empty(len(h), np.int16), np.zeros(b.num_rows), [np.zeros(0, np.int64)]
+            for a in range(0, len(h), DISTINCT):
+                own, back = np.unique(h[a : a + DISTINCT], return_inverse=True)
+                number = words.of(own)
+                ids[a : a + DISTINCT] = number[back]
+                if known is not None:
+                    found, some = shared(known.value, own)
+                    share = np.zeros(len(own))
+                    share[found] = some
+                    at = np.flatnonzero((number >= words.buckets)[back])
+                    more += np.bincount(np.searchsorted(first, a + at, side="right") - 1, share[back[at]], b.num_rows)
+                    lacking.append(a + at[~found[back[at]]])
+            lacking = np.concatenate(lacking)
+            rest, ends = h[lacking], np.searchsorted(lacking, first)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([ids[a:z].tobytes() for a, z in zip(first, first[1:])], pa.binary()), pa.array(more, pa.float64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rest.view(np.int64)))],
                 names=["lm_id", "lm_key", "ids", "more", "rest"],

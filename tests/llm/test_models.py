@@ -1,5 +1,11 @@
+import json
+import os
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -263,3 +269,97 @@ def test_natural_order_scores_above_shuffled_copies(spark):
     both = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
     got = {r.doc_id: r.score for r in lm.pseudo_likelihood(both, within=True).collect()}
     assert sum(got[i] > got[i + 10**6] for i in natural) >= 0.9 * len(natural)
+
+
+def plain_step(p, ids, place, rate, memory):
+    """A step of the window network with both softmaxes normalised as they stand, words as columns."""
+
+    def softmax(z):
+        z -= z.max(0)
+        np.exp(z, out=z)
+        z /= z.sum(0)
+        return z
+
+    def apply(name, x):
+        memory[name] += x * x
+        p[name] -= rate * x / (np.sqrt(memory[name]) + 1e-6)
+
+    place, n = place[np.argsort(ids[place].astype(np.int16), kind="stable")], len(place)
+    k, j, column = ids[place] // lm.SIZE, ids[place] % lm.SIZE, np.arange(n)
+    ends = np.searchsorted(k, np.arange(lm.CLASSES + 1))
+    some = np.flatnonzero(np.diff(ends))
+    h = np.tile(p["e"], (n, 1))
+    for o, off in enumerate(lm.OFFSETS):
+        h += p["E"][o][ids[place + off]]
+    h = np.ascontiguousarray(np.tanh(h).T)
+    d = softmax(p["C"].T @ h + p["c"][:, None])
+    d[k, column] -= 1
+    grad = {"C": h @ d.T, "c": d.sum(1), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+    dh = p["C"] @ d
+    d = p["w"].T[:, k]
+    for g in some:
+        d[:, ends[g] : ends[g + 1]] += p["W"][g].T @ h[:, ends[g] : ends[g + 1]]
+    d = softmax(d)
+    d[j, column] -= 1
+    grad["w"][some] = np.add.reduceat(d, ends[some], axis=1).T
+    for g in some:
+        own = slice(ends[g], ends[g + 1])
+        grad["W"][g] = h[:, own] @ d[:, own].T
+        dh[:, own] += p["W"][g] @ d[:, own]
+    dh *= 1 - h * h
+    grad["e"] = dh.sum(1)
+    dh = np.ascontiguousarray(dh.T)
+    for name, x in grad.items():
+        apply(name, x / n)
+    dh /= n
+    for o, off in enumerate(lm.OFFSETS):
+        c = ids[place + off].astype(np.int16)
+        order = np.argsort(c, kind="stable")
+        c = c[order]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        seen, x = c[first], np.add.reduceat(dh[order], first)
+        memory["E"][o][seen] += x * x
+        p["E"][o][seen] -= rate * x / (np.sqrt(memory["E"][o][seen]) + 1e-6)
+
+
+def timed_steps():
+    """Two networks trained alike, by lm and plainly: (differences, CPU seconds of the quickest steps, by lm and plainly)."""
+    r = np.random.default_rng(4)
+    words = np.minimum(np.floor(np.exp(r.uniform(0, np.log(lm.VOCABULARY + 1), 200_000))).astype(np.int32), lm.VOCABULARY) - 1
+    ids, place = lm.padded(words, np.arange(0, len(words) + 1, 400))
+    place = r.permutation(place)
+    nets = [lm.Window(seed=5), lm.Window(seed=5)]
+    memories = [{k: np.full(s, 1e-8, np.float32) for k, s in lm.Window.SHAPES.items()} for _ in nets]
+    best = [9e9, 9e9]
+    for a in range(0, 20 * lm.BATCH, lm.BATCH):
+        for i, step in enumerate((nets[0].step, lambda *x: plain_step(nets[1].p, *x))):
+            start = time.process_time()
+            step(ids, place[a : a + lm.BATCH], lm.RATE, memories[i])
+            best[i] = min(best[i], time.process_time() - start)
+    return [float(np.abs(nets[0].p[k] - nets[1].p[k]).max()) for k in lm.Window.SHAPES], *best
+
+
+def test_a_step_is_the_plain_one_in_less_time():
+    """On one thread, as in an executor."""
+    code = "import json; from tests.llm.test_models import timed_steps; print(json.dumps(timed_steps()))"
+    env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], env=env, capture_output=True, text=True, timeout=300, check=True)
+    apart, took, plain = json.loads(got.stdout.splitlines()[-1])
+    assert max(apart) < 2e-3 and took < 0.85 * plain, (apart, took, plain)
+
+
+def test_scores_beyond_the_range_of_exponentials():
+    """Where weights are so large that exponentials of scores overflow, steps and scores are those of double precision."""
+    r = np.random.default_rng(6)
+    net = lm.Window(seed=5)
+    net.p["C"] *= 400
+    net.p["w"][7] += 300
+    ids, place = lm.padded(r.integers(0, lm.VOCABULARY, 6000).astype(np.int32), np.arange(0, 6001, 60))
+    double = lm.Window({k: v.astype(np.float64) for k, v in net.p.items()})
+    got, want = net.log_probabilities(ids, place), double.log_probabilities(ids, place)
+    assert np.isfinite(got).all() and want.min() < -100 and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    memory = [{k: np.full(s, 1e-8, t) for k, s in lm.Window.SHAPES.items()} for t in (np.float32, np.float64)]
+    plain = {k: v.copy() for k, v in double.p.items()}
+    net.step(ids, place, 0.01, memory[0])
+    plain_step(plain, ids, place, 0.01, memory[1])
+    assert all(np.isfinite(v).all() and np.mean(np.abs(v - plain[k]) > 1e-3) < 1e-3 for k, v in net.p.items())
