@@ -46,13 +46,22 @@ def tree(x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         if split:
             p = own[far.argmax()]
             q = own[((own - p) ** 2).sum(1).argmax()]
-            half = (z - a) // 2
-            order[a:z] = order[a:z][np.argpartition(own @ (q - p), half)]
+            side = halved(own @ (q - p))
+            order[a:z] = np.concatenate([order[a:z][side], order[a:z][~side]])
+            half = int(side.sum())
             todo += [(a, a + half), (a + half, z)]
     first, last, left, mean, radius, total = zip(*nodes)
     return order, {"first": np.array(first, np.int32), "last": np.array(last, np.int32), "left": np.array(left, np.int32), "mean": np.array(mean), "radius": np.array(radius), "total": np.array(total, np.int64)}
 
 
+def halved(v: np.ndarray) -> np.ndarray:
+    """Which of the values are in the lower half, cut where that parts no equal ones, so that equal vectors stay together."""
+    half = len(v) // 2
+    middle = np.partition(v, half)[half]
+    sides = [x for x in (v < middle, v <= middle) if 0 < x.sum() < len(v)]
+    return min(sides, key=lambda x: abs(int(x.sum()) - half), default=np.arange(len(v)) < half)
+
+
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact squared distances of integer rows: in doubles while these hold them, else in longs."""
     top = max(int(np.abs(x).max(initial=0)), int(np.abs(c).max(initial=0)))
@@ -62,7 +71,7 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def asked(t: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(nodes, their centroid, True) for balls decided whole, and (points, their centroid, False) for those of other leaves."""
+    """(nodes, their centroid, True) for balls decided whole, those of equal points among them, and (points, their centroid, False) for those of other leaves."""
     front, centres = np.zeros(1, np.int64), c.astype(np.float64)
     while len(front):
         d = np.sqrt(((t["mean"][front][:, None, :] - centres[None, :, :]) ** 2).sum(2))
@@ -71,6 +80,10 @@ def asked(t: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> Iterator[tu
         alone = (d <= (best + room)[:, None]).sum(1) == 1
         yield front[alone], d[alone].argmin(1), True
         rest = front[~alone]
+        same = t["radius"][rest] == 0
+        if same.any():  # equal points, decided by one of them
+            yield rest[same], squared(x[t["first"][rest[same]]], c).argmin(1), True
+            rest = rest[~same]
         leaf = t["left"][rest] < 0
         if leaf.any():
             points = np.concatenate([np.arange(a, z) for a, z in zip(t["first"][rest[leaf]], t["last"][rest[leaf]])])

@@ -215,3 +215,22 @@ def test_balls_are_decided_as_their_points():
     d = ((x[:, None] - c[None]) ** 2).sum(2)
     assert (of == d.argmin(1)).all() and whole_points > 300
     assert t["last"][0] - t["first"][0] == len(x) and (t["total"][0] == x.sum(0)).all()
+
+
+def test_equal_vectors_are_one_ball():
+    """Wherever they lie among others, and where two centroids are as near."""
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+        x = r.permutation(np.concatenate([r.integers(-50, 50, (300, 3)), np.tile([[5, 5, 5]], (200, 1)), np.tile([[-9, 0, 7]], (90, 1))]))
+        c = np.array([[0, 0, 0], [10, 0, 0]])
+        order, t = ball_tree.tree(x)
+        x, leaf = x[order], t["left"] < 0
+        size, points = (t["last"] - t["first"])[leaf], x[t["first"]][leaf]
+        for point, n in (((5, 5, 5), 200), ((-9, 0, 7), 90)):
+            equal = np.flatnonzero((x == point).all(1))
+            assert equal[-1] - equal[0] == len(equal) - 1 >= n - 1 and ((points == point).all(1) & (size >= n)).sum() == 1
+        asked = [(which, cluster, whole) for which, cluster, whole in ball_tree.asked(t, x, c)]
+        compared = np.concatenate([which for which, _, whole in asked if not whole])
+        assert len(compared) <= 300 and not (x[compared] == (5, 5, 5)).all(1).any()
+        assert sorted(np.concatenate([np.concatenate([np.arange(t["first"][w], t["last"][w]) for w in which] or [[]]) if whole else which for which, _, whole in asked])) == list(range(len(x)))
+    assert ball_tree.halved(np.zeros(5)).tolist() == [True, True, False, False, False]
